@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import find_benchmark
+from .language import identify_language
 from .packing import pack_documents
+from .quality import quality_report
+from .repeats import remove_repeats
 from .sharding import shard_documents
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -22,14 +26,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def remainder(k: int):
+    """crc32 of doc_id as text, mod k; null for a null id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(k))
+
+
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(remainder(3) == 1, F.lit(False)))
+    out = identify_language(docs, docs.where(remainder(3) != 1), also=("held_out",))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(documents(spark, sf_dir)).drop("failed_rule")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), byte_bpe())
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = find_benchmark(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(documents(spark, sf_dir), byte_bpe(), END_ID))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), byte_bpe(), END_ID)
 
@@ -40,7 +71,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_token_counts": op3, "op6_token_files": op6, "op8_packing": op8, "op9_sharding": op9}
+    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9}
 
 
 def oracle_sql() -> dict[str, str]:

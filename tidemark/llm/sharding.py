@@ -16,6 +16,9 @@ from .common import shared_dir
 #: Bytes of records in a bucket, on average.
 BUCKET_BYTES = 4 << 20
 
+#: The buckets' bases are broadcast up to so many (24 bytes each), and joined by a shuffle beyond.
+BROADCAST_BUCKETS = 200_000
+
 
 def rendezvous(key: Column, n_shards: int, seed: int) -> Column:
     """The shard of a key. Null keys share one shard."""
@@ -59,6 +62,8 @@ def shard_documents(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if n_buckets <= BROADCAST_BUCKETS:
+        bases = F.broadcast(bases)
     return written.join(bases, ["shard", "bucket"]).select(
         F.col("id").alias(id_col),
         F.col("text").alias(text_col),
