@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import find_benchmark
 from .language import identify_language
+from .near_duplicates import near_duplicate_groups
 from .packing import pack_documents
 from .quality import quality_report
 from .repeats import remove_repeats
@@ -45,6 +46,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), byte_bpe())
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(documents(spark, sf_dir))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = find_benchmark(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
@@ -71,7 +76,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9}
+    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op4_near_duplicates": op4, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9}
 
 
 def oracle_sql() -> dict[str, str]:
