@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import find_benchmark
 from .language import identify_language
+from .language_model import score_texts
 from .near_duplicates import near_duplicate_groups
 from .packing import pack_documents
 from .quality import quality_report
@@ -75,8 +76,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(remainder(5) == 1, F.lit(False)))
+    return score_texts(docs, remainder(5) != 1, also=("held_out",))
+
+
 def queries() -> dict:
-    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op4_near_duplicates": op4, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9}
+    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op4_near_duplicates": op4, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9, "op10_language_model": op10}
 
 
 def oracle_sql() -> dict[str, str]:
