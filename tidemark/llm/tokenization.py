@@ -8,6 +8,7 @@ which a space stands before other white space are encoded whole. The ids are tho
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces that one worker remembers; later ones are encoded again in each batch.
 REMEMBERED = 400_000
+#: Longer ones are not remembered.
+LONGEST = 128
 
 # Bytes that may begin white space after a space: ASCII, and the lead bytes of all other white space.
 _SPACE_LEAD = np.zeros(256, bool)
@@ -58,24 +61,30 @@ class Pieces:
 
     def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where each unit's numbers start in the third array, and how many they are."""
-        get = self.rows.get
-        rows = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
-        missing = np.flatnonzero(rows < 0)
-        kept = (len(self.rows), self.used)
-        fresh = [units[i] for i in missing]
+        rows = np.fromiter(map(self.rows.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(rows < 0).tolist()
+        # Those to remember come first, so that the others can be forgotten by cutting the store.
+        short = [i for i in missing if len(units[i]) <= LONGEST][: max(REMEMBERED - len(self.rows), 0)]
+        kept = set(short)
+        missing = short + [i for i in missing if i not in kept]
         first = len(self.starts)
-        self._add(self.value(fresh))
+        self._add(self.value([units[i] for i in missing]))
         rows[missing] = first + np.arange(len(missing))
         starts, sizes = np.array(self.starts, np.int64)[rows], np.array(self.sizes, np.int64)[rows]
         flat = self.flat
-        if kept[0] + len(fresh) <= REMEMBERED:
-            self.rows.update(zip(fresh, range(first, first + len(fresh))))
-        else:
-            del self.starts[first:], self.sizes[first:]
-            self.flat, self.used = self.flat.copy(), kept[1]
+        self.rows.update(zip([units[i] for i in short], range(first, first + len(short))))
+        if len(short) < len(missing):
+            end = first + len(short)
+            used = self.starts[end]
+            del self.starts[end:], self.sizes[end:]
+            self.flat, self.used = flat[:used].copy() if used * 2 < len(flat) else flat.copy(), used
         return starts, sizes, flat
 
 
+# A run of common Latin letters before an ASCII character that is no letter: the split pattern always parts them.
+_LETTERS = r"(?s)^(?P<run>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)(?P<rest>[\x00-\x40\x5B-\x60\x7B-\x7F].*)$"
+
+
 def texts_to_runs(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """All texts' numbers joined, and each text's number of them."""
     parts, n_parts, whole = cut(texts)
@@ -87,13 +96,23 @@ def texts_to_runs(texts: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarr
         keep = ~whole[doc]
         flat, doc, inner = flat.filter(pa.array(keep)), doc[keep], inner[keep]
     coded = flat.dictionary_encode()
-    code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-    # A piece after a space and the same piece at a text's start are two units.
-    heads = np.unique(code[~inner])
-    head_at = np.full(len(words), -1, np.int64)
-    head_at[heads] = len(words) + np.arange(len(heads))
-    units = [" " + w for w in words] + [words[i] for i in heads]
-    unit = np.where(inner, code, head_at[code]) if len(code) else code
+    code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    # Each piece is a letter run and a rest, or one run; each distinct one is looked up once.
+    split = pc.extract_regex(words, _LETTERS)
+    runs = pc.coalesce(pc.struct_field(split, "run"), words).dictionary_encode()
+    rests = pc.fill_null(pc.struct_field(split, "rest"), "").dictionary_encode()
+    run_of, rest_of = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (runs, rests))
+    names, ends = runs.dictionary.to_pylist(), rests.dictionary.to_pylist()
+    # A run after a space and the same run at a text's start are two units.
+    run = run_of[code]
+    heads = np.unique(run[~inner])
+    head_at = np.full(len(names), -1, np.int64)
+    head_at[heads] = len(names) + np.arange(len(heads))
+    units = [" " + w for w in names] + [names[i] for i in heads] + ends
+    unit = np.empty(2 * len(code), np.int64)
+    unit[::2] = np.where(inner, run, head_at[run])
+    unit[1::2] = len(names) + len(heads) + rest_of[code]
+    doc = np.repeat(doc, 2)
     odd = np.flatnonzero(whole)
     if len(odd):
         unit = np.concatenate([unit, len(units) + np.arange(len(odd))])
@@ -120,10 +139,22 @@ def encoder(path: str) -> Pieces:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
+        special = [(i, t) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized or t.single_word)]
+
         def value(units: list[str]) -> list[np.ndarray]:
-            out: list[np.ndarray] = []
-            for k in range(0, len(units), 4096):  # an encoding is far larger than its ids
-                out += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(units[k : k + 4096], add_special_tokens=False)]
+            """Ids of each unit. Units are joined by a special token, which nothing is merged across."""
+            out: list[np.ndarray] = [np.empty(0, np.int32)] * len(units)
+            alone = [k for k, u in enumerate(units) if not special or len(u) > 256 or special[0][1].content in u]
+            for k in alone:
+                out[k] = np.array(tokenizer.encode_batch_fast([units[k]], add_special_tokens=False)[0].ids, np.int32)
+            rest = sorted(set(range(len(units))).difference(alone)) if alone else range(len(units))
+            for k in range(0, len(rest), 512):
+                some = rest[k : k + 512]
+                joined = special[0][1].content.join(units[i] for i in some)
+                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+                bounds = [-1, *np.flatnonzero(ids == special[0][0]).tolist(), len(ids)]
+                for i, a, z in zip(some, bounds, bounds[1:]):
+                    out[i] = ids[a + 1 : z]
             return out
 
         _ENCODERS[path] = Pieces(value)
