@@ -1 +1 @@
-
+"""The registered queries over the driver's tables and their SQL counterparts."""

@@ -1 +1 @@
-
+"""Typed ingest, the import catalog, archives, downloads and JSON snapshots."""
