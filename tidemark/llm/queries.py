@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .decontamination import find_benchmark
 from .language import identify_language
 from .language_model import score_texts
@@ -86,4 +87,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality": oracles.QUALITY, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op5_decontamination": oracles.DECONTAMINATION, "op7_repeats": oracles.REPEATS}
