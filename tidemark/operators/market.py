@@ -29,7 +29,7 @@ def order_book_summary(books: DataFrame, by: Sequence[str] = ("symbol",)) -> Dat
     side is an error when it runs."""
     empty = F.raise_error(F.lit("the order book has an empty side"))
     full = F.when((F.size("bids") > 0) & (F.size("asks") > 0), True).otherwise(empty.cast("boolean"))
-    bid, ask = F.col("bids")[0]["price"], F.col("asks")[0]["price"]
+    bid, ask = F.get("bids", F.lit(0))["price"], F.get("asks", F.lit(0))["price"]
     bids, asks = notional(F.col("bids")), notional(F.col("asks"))
     return books.where(full).select(
         *by,

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..operators import account, candles, catalog, flow, market, series, tape
 from ..operators.core import capped, latest, newest, time_range
+from ..sources.schemas import layouts
+from ..sources.shared import shared_folder
 from . import views as V
 
 START, END = "2024-01-05T05:30:00+05:00", "2024-01-20T00:00:00Z"
@@ -70,6 +72,23 @@ def _(spark, d):
     return events.unionByName(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at")), allowMissingColumns=True)
 
 
+@register("s1_csv_fixed", W(["tape_raw"], "SELECT trade_id, price, qty, price * qty AS quote_qty, event_time, is_buyer_maker, true AS is_best_match FROM tape_raw WHERE imported_at = 1"), "price quote_qty", 4)
+def _(spark, d):
+    """Trades written in the headerless seven-column layout and read again by it."""
+    layout, path = layouts()["trades", "spot"], shared_folder(spark)
+    df = V.tape_raw(spark, d).where("imported_at = 1")
+    out = df.select("trade_id", "price", "qty", "quote_qty", F.unix_micros(F.col("event_time").cast("timestamp")), F.initcap(F.col("is_buyer_maker").cast("string")), F.lit("True"))
+    out.write.csv(path)
+    return spark.read.schema(layout.columns).option("mode", "FAILFAST").option("header", layout.header).csv(path).select(*layout.made)
+
+
+@register("s2_csv_inferred", "SELECT CAST(event_id AS INTEGER) AS event_id, event_type, value FROM events")
+def _(spark, d):
+    path = shared_folder(spark)
+    V.table(spark, d, "events").select("event_id", "event_type", "value").write.option("header", True).csv(path)
+    return spark.read.option("header", True).option("inferSchema", True).option("mode", "FAILFAST").csv(path)
+
+
 @register("e1_epoch_normalise", "SELECT event_id, ts AS event_time FROM events")
 def _(spark, d):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))

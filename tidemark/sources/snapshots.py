@@ -18,7 +18,7 @@ def klines(bodies: DataFrame) -> DataFrame:
     """Arrays of arrays with nine values or more, all of them finite numbers."""
     row = bodies.select(F.explode(F.from_json("body", "array<array<string>>")).alias("r"))
     row = row.where(F.when(F.size("r") >= len(KLINE_FIELDS), True).otherwise(F.raise_error(F.lit("a candle has too few values")).cast("boolean")))
-    cells = [finite(F.col("r")[k]).alias(name) for k, name in enumerate(KLINE_FIELDS)]
+    cells = [finite(F.get("r", F.lit(k))).alias(name) for k, name in enumerate(KLINE_FIELDS)]
     return row.select(*cells).withColumns({c: F.col(c).cast("long") for c in ("open_time", "close_time", "trade_count")})
 
 
@@ -41,7 +41,7 @@ def exchange_info(bodies: DataFrame) -> DataFrame:
     """Exactly one symbol an answer; filters keep their scalar members as text."""
     kind = "struct<symbols:array<struct<symbol:string,status:string,baseAsset:string,quoteAsset:string,orderTypes:array<string>,filters:array<map<string,string>>>>>"
     row = bodies.select(F.from_json("body", kind)["symbols"].alias("s"))
-    one = row.where(F.when(F.size("s") == 1, True).otherwise(F.raise_error(F.lit("not exactly one symbol")).cast("boolean"))).select(F.col("s")[0].alias("s"))
+    one = row.where(F.when(F.size("s") == 1, True).otherwise(F.raise_error(F.lit("not exactly one symbol")).cast("boolean"))).select(F.get("s", F.lit(0)).alias("s"))
     scalar = F.transform(F.col("s.filters"), lambda m: F.map_filter(m, lambda _, v: v.isNotNull() & ~v.startswith("{") & ~v.startswith("[")))
     return one.select("s.symbol", "s.status", F.col("s.baseAsset").alias("base_asset"), F.col("s.quoteAsset").alias("quote_asset"), F.col("s.orderTypes").alias("order_types"), scalar.alias("filters"))
 
