@@ -1,3 +1,4 @@
+import json
 import threading
 import time
 
@@ -6,6 +7,8 @@ import pytest
 from tidemark.sources import files as S
 from tidemark.sources import snapshots
 from tidemark.sources.cache import FileCache, TtlCache
+from tidemark.sources.profiles import ProfileStore
+from tidemark.sources.rest import MarketReader
 from tidemark.validate import InvalidArgument
 
 REFUSED = "0.0.0.0 10.1.2.3 100.64.0.1 127.0.0.1 169.254.1.1 172.16.0.1 192.168.1.1 192.0.2.1 198.18.0.1 198.51.100.1 203.0.113.1 224.0.0.1 255.255.255.255 :: ::1 ::ffff:10.0.0.1 fc00::1 fe80::1 ff02::1 2001:db8::1".split()
@@ -102,3 +105,35 @@ def test_snapshots(spark):
         snapshots.exchange_info(body('{"symbols":[]}')).collect()
     assert snapshots.open_interest(body('{"symbol":"A","openInterest":"5.5","time":1}')).first()["open_interest"] == 5.5
     assert snapshots.premium_index(body('{"symbol":"A","markPrice":"1","indexPrice":"2","estimatedSettlePrice":"3","lastFundingRate":"4","nextFundingTime":5,"time":6}')).first()["index_price"] == 2
+
+
+def test_profiles(tmp_path):
+    store = ProfileStore(tmp_path / "p.json")
+    assert store.load() == [] and store.status() == []
+    one = {"id": "a", "product": "spot", "environment": "testnet", "api_key": "k", "private_key_path": "/k.pem"}
+    (tmp_path / "p.json").write_text(json.dumps([one, one | {"id": "b"}, one | {"id": "f", "product": "futures"}]))
+    assert store.select("futures").id == "f" and store.select("spot", "b").id == "b"
+    assert all("k" not in map(str, s.values()) and len(s) == 4 for s in store.status())
+    with pytest.raises(InvalidArgument, match="more than one"):
+        store.select("spot")
+    with pytest.raises(InvalidArgument, match="none"):
+        store.select("spot", "f")
+    for bad in ({"extra": 1}, {"id": "a b"}, {"product": "x"}, {"private_key_path": "k.pem"}, {"default": "yes"}, {"api_key": ""}):
+        (tmp_path / "p.json").write_text(json.dumps([one | bad]))
+        with pytest.raises(InvalidArgument):
+            store.load()
+
+
+def test_reader_caches_by_request(spark):
+    asked = []
+
+    def fetch(path, params):
+        asked.append((path, params["symbol"]))
+        return '[[1,"2","3","1","2.5","9",10,"22",4]]'
+
+    r = MarketReader(spark, fetch, {"candles": "/c"})
+    assert [r.candles("btcusdt ", "1h").count(), r.candles("BTCUSDT", "1h").count(), r.candles("ETHUSDT", "1h").first()["close"]] == [1, 1, 2.5]
+    assert asked == [("/c", "BTCUSDT"), ("/c", "ETHUSDT")]
+    for bad in (lambda: r.candles("x", "1h"), lambda: r.candles("BTCUSDT", "2d"), lambda: r.candles("BTCUSDT", "1h", 0)):
+        with pytest.raises(InvalidArgument):
+            bad()
