@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -46,8 +46,13 @@ def drop_staged(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def scratch() -> str:
-    return tempfile.gettempdir()
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what has been written and is no longer referred to. What the first
+    round of collection lets go of is only seen to be free in a second one."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions_for(spark: SparkSession, n_bytes: int, target: int = 32 << 20) -> int:

@@ -13,8 +13,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each node's neighbours are linked to the least among them, first
     those above the node, then those below it, until no link changes. A node with very many links is a key of
-    a minimum and of a join that Spark may split, never a collected list. Each step's links are a table in the
-    shared folder. Null ends are no links.
+    a minimum and of a join that Spark may split, never a collected list. Each step's links, and the result, are tables in
+    the shared folder. Null ends are no links.
     """
     now = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
@@ -36,4 +36,6 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         mark = fresh
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = staged(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    drop_staged(now)
+    return out

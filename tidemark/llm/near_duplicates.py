@@ -22,16 +22,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_windows, drop_staged, filled, hash_words, mix, rolling, split_words, staged, text_slices, word_ids
+from .common import doc_windows, drop_staged, filled, hash_words, mix, release, rolling, split_words, staged, text_slices, word_ids
 from .components import connected_components
-from .repeats import release
 
 #: Bounds, in powers of two, of the cells of the sketch of counts; a cell is a byte in every worker.
 SKETCH_BITS = (16, 25)
 #: Cells in a row of the sketch.
 SKETCH_ROW = 1 << 16
 #: Shingles of a region that a task holds; larger regions are dealt out as pairs of parts.
-REGION_SHINGLES = 4_000_000
+REGION_SHINGLES = 2_000_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,12 +61,12 @@ def count_sketch(texts: DataFrame, n: int) -> np.ndarray:
     cells = 1 << bits
 
     def count(batches):
-        seen = np.zeros(cells, np.uint16)
+        seen = np.zeros(cells, np.uint8)
         for b in text_slices(batches, "text"):
             values, _ = shingle_sets(b.column("text"), n)
             cell, times = np.unique(values >> np.uint64(64 - bits), return_counts=True)
             cell = cell.astype(np.int64)
-            seen[cell] = np.minimum(seen[cell] + times, 65535)
+            seen[cell] = np.minimum(seen[cell] + times, 255)
         press = zstandard.ZstdCompressor(1)
         for k in range(0, cells, SKETCH_ROW):
             part = seen[k : k + SKETCH_ROW]
@@ -77,7 +76,7 @@ def count_sketch(texts: DataFrame, n: int) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_ROW, np.int64)
         for c in table["counts"].to_pylist():
-            total += np.frombuffer(zstandard.decompress(c), np.uint16)
+            total += np.frombuffer(zstandard.decompress(c), np.uint8)
         size = np.ceil(np.log2(total + 1)).astype(np.uint8)
         return pa.table({"row": table["row"].slice(0, 1), "counts": pa.array([zstandard.ZstdCompressor(1).compress(size.tobytes())], pa.binary())})
 
@@ -168,8 +167,24 @@ class Region:
                     self.parent[max(a, b)] = min(a, b)
 
 
+def region_members(points: DataFrame, percent: int) -> DataFrame:
+    """A staged table (pivot, key, n_shingles): the regions' points, those of their pivots aside. A shingle's points
+    are told apart by size: linked points are in the same class of sizes or in neighbouring ones, so each
+    class and the next together name a pivot of their own."""
+    entries = points.where("n_shingles > 0").select("key", "n_shingles", F.explode("prefix").alias("shingle"))
+    shared = entries.groupBy("shingle").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.count("*").alias("c"))
+    unlike = (F.col("c") == 2) & (100 * F.col("low") < percent * F.col("high"))
+    met = staged(entries.join(shared.where((F.col("a") != F.col("b")) & ~unlike).select("shingle"), "shingle"))
+    size_class = F.floor(F.log("n_shingles") / float(np.log(101 / percent)))
+    classed = met.select("shingle", "key", "n_shingles", F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
+    named = classed.groupBy("shingle", "sizes").agg(F.min("key").alias("pivot"), F.max("key").alias("other")).where("pivot <> other")
+    out = staged(classed.join(named.drop("other"), ["shingle", "sizes"]).where("key <> pivot").select("pivot", "key", "n_shingles").distinct())
+    drop_staged(met)
+    return out
+
+
 def region_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) among the members (pivot, key, n_shingles) of all regions, the pivots among them."""
+    """Links (a, b) among the members (pivot, key, n_shingles) of all regions and their pivots."""
     sizes = members.groupBy("pivot").agg(F.sum("n_shingles").alias("size"))
     sizes = sizes.select("pivot", F.ceil(F.col("size") / REGION_SHINGLES).cast("int").alias("parts"))
     dealt = members.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
@@ -178,8 +193,9 @@ def region_links(members: DataFrame, texts: DataFrame, n: int, percent: int) ->
     pairs = dealt.select("pivot", "key", "parts", "part", other.alias("other"))
     pairs = pairs.select("pivot", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).distinct()
     every = pairs.select("pivot", "i", "j").distinct().select("pivot", F.col("pivot").alias("key"), "i", "j")
-    need = pairs.where("key <> pivot").unionByName(every)
-    one = texts.join(need.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    need = pairs.unionByName(every)
+    # Copies of a text are made one where they are read, before any meet.
+    one = texts.groupBy("key").agg(F.first("text").alias("text"))
     dealt_texts = need.join(one, "key").select("pivot", "i", "j", "key", "text")
 
     def join(table: pa.Table) -> pa.Table:
@@ -210,9 +226,7 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col
     texts = src.where("text is not null").select("key", "text")
     points = staged(prefixes(texts, n, percent, count_sketch(texts, n)).dropDuplicates(["key"]))
     release(spark)
-    entries = points.where("n_shingles > 0").select("key", "n_shingles", F.explode("prefix").alias("shingle"))
-    pivots = entries.groupBy("shingle").agg(F.min("key").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("shingle", "pivot")
-    members = staged(entries.join(pivots, "shingle").select("pivot", "key", "n_shingles").distinct())
+    members = region_members(points, percent)
     release(spark)
     links = staged(region_links(members, texts, n, percent))
     release(spark)
@@ -221,8 +235,9 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col
     rooted = ids.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = staged(rooted.join(least, "root").select("key", "component_id").join(points.select("key", "n_shingles"), "key"))
-    for t in (members, links):
+    for t in (points, members, links, roots):
         drop_staged(t)
+    release(spark)
     out = src.select("id", "key", F.col("text").isNull().alias("empty")).join(groups, "key", "left")
     none = F.col("empty") | F.coalesce(F.col("n_shingles") == 0, F.lit(True))
     return out.select(

@@ -10,7 +10,6 @@ of a text that is there twice are repeated.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_windows, filled, hash_words, mix, partitions_for, rolling, split_words, staged, text_slices, word_ids
+from .common import doc_windows, filled, hash_words, mix, partitions_for, release, rolling, split_words, staged, text_slices, word_ids
 
 #: Bytes of hashes and numbers that meet in a bucket, on average.
 BUCKET_BYTES = 24 << 20
@@ -123,12 +122,6 @@ def repeated_spans(docs: DataFrame, width: int, text_col: str = "text") -> DataF
     return out
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of what has been written and is no longer referred to."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, width: int = 35, text_col: str = "text") -> DataFrame:
     """docs, all columns, with n_words, n_removed, removed (intervals of words) and kept: the words of the text
     that no repeated window covers, joined by one space.
