@@ -23,7 +23,7 @@ from .common import filled, ragged, shared_dir, text_slices
 from .files import local_path, open_output
 
 #: UTF-8 bytes of benchmark text in a block of phrases (a longer item is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 #: One of so many suffix positions is kept, and each run's first.
 SAMPLED = 16
 

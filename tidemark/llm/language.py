@@ -19,9 +19,9 @@ from .common import filled, ragged, text_slices
 
 #: Bounds of the labelled sample: whole texts, at most so many per language and of so many characters each.
 SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 400, 20_000
-#: Characters of labelled text that a language's automaton holds.
-MODEL_CHARS = 32_000
-#: More languages than this are an error: each costs MODEL_CHARS * 2 states in every worker.
+#: Characters of labelled text that a language's automaton holds at most; and the cells (4 bytes each) of all
+#: languages' tables together, to which many languages or symbols shorten it. More languages are an error.
+MODEL_CHARS, MODEL_CELLS = 32_000, 24_000_000
 MAX_LANGUAGES = 256
 BLOCK = 128
 #: Symbol classes: PAD ends a block, GAP is a run of anything but letters, then the commonest letters have
@@ -93,6 +93,9 @@ class CrossParser:
         self.own = np.sort(own).astype(np.int32)
         self.width = 2 + len(self.own) if len(seen) == len(self.own) else CLASSES
         self.tables, self.roots, self.scale = [], [], []
+        # An automaton has at most twice as many states as characters.
+        most = max(1, MODEL_CELLS // (2 * self.width * max(len(text), 1)))
+        text = {lang: t[:most] for lang, t in text.items()}
         for lang in self.languages:
             go = automaton(self.classes(text[lang]).tolist())
             table = np.full((len(go), self.width), -1, np.int32)
