@@ -18,6 +18,8 @@ from tidemark.llm.quality import keep_quality
 from tidemark.llm.repeats import remove_repeats
 
 END_ID = 2
+#: Ids of documents to leave out that are broadcast (16 MB); more of them are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of linked texts stays: that with the least doc_id. A group without any id
     keeps all its rows, and so do texts without words. Rows of one doc_id are one document: they stay or go as one."""
     groups = near_duplicate_groups(docs)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    gone = staged(groups.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
