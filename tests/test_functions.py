@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import decimals as D
 from tidemark.functions import expressions as E
-from tidemark.operators import account, candles, catalog, market
+from tidemark.operators import account, candles, catalog, flow, market
 from tidemark.validate import InvalidArgument
 
 
@@ -115,3 +115,11 @@ def test_long_coverage_lists_are_cut_and_counts_are_not(spark):
     ends = files.where("min_event_time in (timestamp_ntz'2023-01-01 00:00:00', timestamp_ntz'2025-12-31 00:00:00')")
     r = catalog.coverage(ends).first()
     assert (r["missing_day_count"], len(r["missing_days"]), r["truncated"]) == (1094, 800, True)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.999, 1.0])
+def test_exact_quantiles(spark, share):
+    df = spark.range(60000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 == 0, 5.0).otherwise(F.pmod(F.hash("id"), F.lit(9973)).cast("double")).alias("v"))
+    got = {r["g"]: r["q"] for r in flow.exact_quantile(df, "v", share, ["g"], "q").collect()}
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", share).alias("q")).collect()}
+    assert got == pytest.approx(want)

@@ -12,6 +12,8 @@ from .tape import scoped
 
 #: Quote units from which a trade of a major market counts as large, and a span that is unusual there.
 LARGE_NOTIONAL, LONG_SPAN = 100_000, 20
+#: Of the sketch that brackets a quantile: ranks are known within the inverse of it.
+ACCURACY = 10_000
 
 
 def rescaled(metrics: DataFrame, column: str) -> DataFrame:
@@ -120,6 +122,31 @@ def roundness_baseline(levels: DataFrame, by: Sequence[str] = ("market", "symbol
     return hits.withColumn("hits_over_class_mean", ratio(F.col("hit_count").cast("double"), F.avg("hit_count").over(Window.partitionBy(*by, "roundness"))))
 
 
+def exact_quantile(df: DataFrame, value: str, share: float, by: Sequence[str], name: str) -> DataFrame:
+    """The interpolated quantile of each group, exactly. A sketch brackets it, so only distinct values within a few
+    ten-thousandths of the rank are put in order, with their counts; no group's values are gathered."""
+    slack = 2 / ACCURACY
+    low, high = max(0.0, share - slack), min(1.0, share + slack)
+    bracket = F.percentile_approx(value, F.array(F.lit(low), F.lit(high)), F.lit(ACCURACY))
+    rows = df.where(F.col(value).isNotNull())
+    # Groups of few rows, in which a rank is more than the slack, are taken whole.
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), bracket.alias("b"), F.min(value).alias("least"), F.max(value).alias("most"))
+    few = F.col("n") <= ACCURACY
+    first, last = F.when(few | F.lit(low == 0), F.col("least")).otherwise(F.col("b")[0]), F.when(few | F.lit(high == 1), F.col("most")).otherwise(F.col("b")[1])
+    ends = ends.select(*by, "n", first.alias("from"), last.alias("to"))
+    met = rows.join(ends, list(by))
+    below = F.sum((F.col(value) < F.col("from")).cast("long"))
+    counts = met.groupBy(*by).agg(below.alias("below"))
+    inside = met.where(F.col(value).between(F.col("from"), F.col("to"))).groupBy(*by, "n", value).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(value))
+    placed = inside.join(counts, list(by)).withColumn("last", upto + F.col("below")).withColumn("place", F.lit(share) * (F.col("n") - 1))
+    first = F.col("last") - F.col("c")
+    holds = lambda at: F.max(F.when((first <= at) & (at < F.col("last")), F.col(value)))
+    out = placed.groupBy(*by).agg(holds(F.floor("place")).alias("a"), holds(F.ceil("place")).alias("z"), F.first("place").alias("place"))
+    return out.select(*by, (F.col("a") + (F.col("z") - F.col("a")) * (F.col("place") - F.floor("place"))).alias(name))
+
+
 def notional_floor(tape: DataFrame, dataset: str, share: float = 0.999, by: Sequence[str] = ("market", "symbol")) -> DataFrame:
-    """The notional that a share of the trades stays below, exactly (interpolated)."""
-    return scoped(tape, dataset).groupBy(*by).agg(F.percentile(F.col("price") * F.col("qty"), share).alias("notional_floor"))
+    """The notional that a share of the trades stays below."""
+    rows = scoped(tape, dataset).select(*by, (F.col("price") * F.col("qty")).alias("notional"))
+    return exact_quantile(rows, "notional", share, by, "notional_floor")
