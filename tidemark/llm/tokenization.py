@@ -8,6 +8,7 @@ which a space stands before other white space are encoded whole. The ids are tho
 from __future__ import annotations
 
 import os
+from array import array
 from itertools import repeat
 
 import numpy as np
@@ -19,7 +20,7 @@ from .common import filled, ragged
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces that one worker remembers; later ones are encoded again in each batch.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Longer ones are not remembered.
 LONGEST = 128
 
@@ -47,7 +48,7 @@ class Pieces:
     def __init__(self, value):
         self.value, self.rows = value, {}
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.starts, self.sizes = [], []
+        self.starts, self.sizes = array("q"), array("q")
 
     def _add(self, arrays: list[np.ndarray]) -> None:
         joined = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
@@ -55,8 +56,8 @@ class Pieces:
             self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat), 2 * len(joined)), np.int32)])
         self.flat[self.used : self.used + len(joined)] = joined
         sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-        self.starts.extend((np.cumsum(sizes) - sizes + self.used).tolist())
-        self.sizes.extend(sizes.tolist())
+        self.starts.frombytes((np.cumsum(sizes) - sizes + self.used).tobytes())
+        self.sizes.frombytes(sizes.tobytes())
         self.used += len(joined)
 
     def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +71,7 @@ class Pieces:
         first = len(self.starts)
         self._add(self.value([units[i] for i in missing]))
         rows[missing] = first + np.arange(len(missing))
-        starts, sizes = np.array(self.starts, np.int64)[rows], np.array(self.sizes, np.int64)[rows]
+        starts, sizes = np.array(self.starts)[rows], np.array(self.sizes)[rows]
         flat = self.flat
         self.rows.update(zip([units[i] for i in short], range(first, first + len(short))))
         if len(short) < len(missing):
