@@ -26,6 +26,9 @@ BUCKET_BYTES = 24 << 20
 #: Bytes sent for each byte of text, about: ten for a word of six.
 SENT_PER_BYTE = 1.7
 
+#: Bytes of intervals that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
+
 SENT = "bucket int, batch string, kind int, gaps binary, hashes binary, keys binary"
 
 
@@ -135,6 +138,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, text_col: str = "text") ->
     at = docs.columns.index(text_col)
     spans = repeated_spans(docs, width, text_col)
     src = docs.toDF(*names)
+    # The intervals' bytes are known by now: few of them save a shuffle of all texts, many are joined by one.
+    size = spans.agg(F.sum(F.size("starts") * 8 + 24)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        spans = F.broadcast(spans)
     joined = src.withColumn("key", F.unhex(F.md5(names[at]))).join(spans, "key", "left").drop("key")
 
     def cut(batches):
