@@ -20,7 +20,7 @@ from .common import filled, ragged
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces that one worker remembers; later ones are encoded again in each batch.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Longer ones are not remembered.
 LONGEST = 128
 
