@@ -480,6 +480,39 @@ def test_language_model(docs, empty, monkeypatch, most):
         assert none["score"] == pytest.approx(-4 * math.log10(256)) and none["base_score"] == 0
 
 
+def test_all_contexts_are_kept(spark):
+    """More contexts than any fixed number of them: the rare ones count as the common ones do."""
+    r = random.Random(4)
+    train = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(900)) for _ in range(12)]
+    texts = [*train[:2], train[3][:200] + "zq~" + train[4][:200]]
+    n = language_model.ORDER
+    seen = [defaultdict(Counter) for _ in range(n + 1)]
+    for s in map(stream, train):
+        for p in range(n, len(s)):
+            for k in range(n + 1):
+                seen[k][s[p - k : p]][s[p]] += 1
+    assert sum(map(len, seen)) > 120_000
+    want = []
+    for s in map(stream, texts):
+        out = 0.0
+        for p in range(n, len(s)):
+            gone: set[int] = set()
+            for k in range(n, -1, -1):
+                left = {b: c for b, c in seen[k].get(s[p - k : p], {}).items() if b not in gone}
+                if s[p] in left:
+                    out += math.log10(left[s[p]] / (sum(left.values()) + len(left)))
+                    break
+                if left:
+                    out += math.log10(len(left) / (sum(left.values()) + len(left)))
+                gone |= set(left)
+            else:
+                out += math.log10(1 / (256 - len(gone)))
+        want.append(out)
+    rows = [(i, t) for i, t in enumerate(train)] + [(100 + i, t) for i, t in enumerate(texts)]
+    got = language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).where("doc_id >= 100").orderBy("doc_id").collect()
+    assert [r["score"] for r in got] == pytest.approx(want, rel=1e-6)
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline

@@ -2,10 +2,10 @@ r"""Scoring texts by a pretrained byte-context model: prediction by partial matc
 
 The stream of a text is its words `[^\x20\x09-\x0D]+`, A-Z lower-cased, with a space between two and a line feed
 at the end. Over all training texts the counts of every (context, byte) of ORDER bytes of context and fewer are
-gathered in Spark: the trie, of which the contexts found most often are kept. A byte's probability is c / (t + d) in the longest context in which it was seen,
-times an escape d / (t + d) for each longer one, where t and d count the context's bytes and distinct bytes;
-after an escape, the bytes of the longer context are excluded. As a byte seen in a context was seen in all its
-suffixes, the whole of that is a table of one row per context, made once.
+gathered in Spark: the trie, all of which is kept, so that it grows with the training texts. A byte's probability
+is c / (t + d) in the longest context in which it was seen, times an escape d / (t + d) for each longer one, where
+t and d count the context's bytes and distinct bytes; after an escape, the bytes of the longer context are
+excluded. As a byte seen in a context was seen in all its suffixes, the escapes are a few numbers per context.
 
 Beside it each text gets the score of a smoothed unigram model of its words. Words' counts are joined without a
 broadcast that grows: the common ones, which can only be a bounded number, go to every worker; the others are
@@ -15,7 +15,6 @@ looked up once per batch of texts.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, filled, hash_words, ragged, release, split_words, staged, text_slices, word_ids
+from .common import filled, hash_words, release, split_words, staged, text_slices, word_ids
 
-#: Bytes of context, and how many contexts a model keeps at most (each a row of numbers for the bytes seen).
-ORDER, MAX_CONTEXTS = 5, 100_000
-BLOCK = 256
+#: Bytes of context, and how many contexts a model keeps at most; None for all that were counted.
+ORDER, MAX_CONTEXTS = 5, None
 #: Words with at least this share of all training words are common: at most one in the inverse of it.
 COMMON_SHARE = 2e-5
 NEWLINE = 10
@@ -56,92 +54,111 @@ def contexts(symbols: np.ndarray, starts: np.ndarray, order: int, newline: int)
     return out
 
 
+def byte_strings(stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each byte and the ORDER before it as a number, the latest lowest."""
+    gram = stream.astype(np.int64)
+    for lag, before in enumerate(contexts(stream, starts, ORDER, NEWLINE), 1):
+        gram |= before.astype(np.int64) << (8 * lag)
+    return gram
+
+
+def low_bytes(grams: np.ndarray, n: int) -> np.ndarray:
+    return grams & ((1 << 8 * n) - 1)
+
+
+def find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted numbers among ascending values, and which are there."""
+    if not len(values):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return at, values[at] == wanted
+
+
+def commonest(levels: list[tuple[np.ndarray, np.ndarray]], most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows of the `most` contexts found most often. A suffix is found as often as what it ends, so with ties to
+    the shorter the choice has all suffixes."""
+    depth, context, times = [], [], []
+    for k, (edges, count) in enumerate(levels):
+        nodes, of = np.unique(edges >> 8, return_inverse=True)
+        depth.append(np.full(len(nodes), k))
+        context.append(nodes)
+        times.append(np.bincount(of, weights=count, minlength=len(nodes)))
+    depth, context, times = map(np.concatenate, (depth, context, times))
+    kept = np.lexsort((context, depth, -times))[:most]
+    out = []
+    for k, (edges, count) in enumerate(levels):
+        there = find(np.sort(context[kept][depth[kept] == k]), edges >> 8)[1]
+        out.append((edges[there], count[there]))
+    return out
+
+
 class ByteModel:
-    """A trie's contexts, each with a row of log10 probabilities and a row of the contexts that come next.
+    """A trie as sorted arrays: for each depth the (context, byte) pairs seen and the contexts, with what scoring
+    takes of each. A row is a pair that was seen, so the model is as large as the trie and not as an alphabet.
 
-    Made from (depth, context, byte, count) of a set of contexts that has each one's suffixes and, but for the
-    texts' starts, its beginnings. A context is the last `depth` bytes as a number, the latest byte lowest.
+    Made from the counts of all byte strings of ORDER + 1, from which those of the shorter ones follow. A string
+    is a number, the latest byte lowest; a pair's context is the number without its lowest byte.
     """
 
-    def __init__(self, depth: np.ndarray, context: np.ndarray, byte: np.ndarray, count: np.ndarray):
-        seen = np.unique(np.r_[byte, NEWLINE])
-        self.symbol = np.full(256, len(seen), np.int32)  # the last but one is for all bytes never seen
-        self.symbol[seen] = np.arange(len(seen))
-        size = self.size = len(seen) + 2  # the last is no byte: past a stream's end
-        pad = size - 1
-        root = np.zeros((1, size))
-        np.add.at(root[0], self.symbol[byte[depth == 0]], count[depth == 0])
-        names, tables = [np.zeros(1, np.int64)], [root]
-        for k in range(1, ORDER + 1):
-            at = depth == k
-            known, row = np.unique(context[at], return_inverse=True)
-            table = np.zeros((len(known), size))
-            table[row, self.symbol[byte[at]]] = count[at]
-            names.append(known)
-            tables.append(table)
-        first = np.cumsum([0, *map(len, tables)])
-        logs, follows = [], []
-        # unseen[x]: what is left for a byte not seen in x, once x has been left.
-        n_known = int((root[0] > 0).sum())
-        unseen = np.full((1, size), 1 / max(256 - n_known, 1))
-        for k, table in enumerate(tables):
-            total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, most: int | None = None):
+        levels = []
+        for k in range(ORDER + 1):
+            edges, which = np.unique(low_bytes(grams, k + 1), return_inverse=True)
+            levels.append((edges, np.bincount(which, weights=counts, minlength=len(edges))))
+        if most is not None:
+            levels = commonest(levels, most)
+        self.levels = []
+        for k, (edges, count) in enumerate(levels):
+            nodes, of = np.unique(edges >> 8, return_inverse=True) if k else (np.zeros(1, np.int64), np.zeros(len(edges), np.int64))
+            total, distinct = np.bincount(of, weights=count, minlength=len(nodes)), np.bincount(of, minlength=len(nodes))
+            weight = np.log10(np.maximum(total + distinct, 1))
+            escape = np.where(total > 0, np.log10(np.maximum(distinct, 1)) - weight, 0)
+            rest = fall = np.zeros(len(nodes))
             if k:
-                parent = np.searchsorted(names[k - 1], names[k] & ((1 << 8 * (k - 1)) - 1)) if k > 1 else np.zeros(len(table), np.int64)
-                above = tables[k - 1][parent]
-                left = np.where(table > 0, 0, above)
-                t, d = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-                rest = np.maximum(t + d, 1)
-                unseen = np.where(d == 0, unseen[parent], np.where(above > 0, left / rest, d / rest * unseen[parent]))
-                follow = follows[k - 1][parent]
-            else:
-                follow = np.zeros((1, size), np.int32)
-            if k < ORDER and len(names[k + 1]):
-                before, last = names[k + 1] >> 8, self.symbol[names[k + 1] & 255]
-                at = np.minimum(np.searchsorted(names[k], before), max(len(names[k]) - 1, 0))
-                there = names[k][at] == before if len(names[k]) else np.zeros(len(before), bool)
-                follow[at[there], last[there]] = (first[k + 1] + np.flatnonzero(there)) * size
-            follows.append(follow)
-            weight = np.maximum(total + distinct, 1)
-            p = np.where(table > 0, table / weight, np.where(total == 0, 1, distinct / weight) * unseen)
-            p[:, pad] = 1
-            with np.errstate(divide="ignore"):
-                logs.append(np.log10(p).astype(np.float32))
-        self.logs, self.follow = np.concatenate(logs).ravel(), np.concatenate(follows).ravel()
+                # What the suffix has beside the bytes seen here: its denominator, and the escape from there on.
+                before, shorter = levels[k - 1]
+                parent = np.searchsorted(above, low_bytes(nodes, k - 1))  # noqa: F821
+                t = totals[parent] - np.bincount(of, weights=shorter[np.searchsorted(before, low_bytes(edges, k))], minlength=len(nodes))  # noqa: F821
+                d = kinds[parent] - distinct  # noqa: F821
+                rest = np.log10(np.maximum(t + d, 1))
+                fall = np.where(d > 0, np.log10(np.maximum(d, 1)) - rest, 0) + falls[parent]  # noqa: F821
+            above, totals, kinds, falls = nodes, total, distinct, fall
+            log_count = np.log10(count)
+            self.levels.append((edges, log_count, log_count - weight[of], nodes, escape, rest, fall))
+        self.never = -float(np.log10(max(256 - len(levels[0][0]), 1)))
+
+    def log_probability(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each string's last byte after the others."""
+        at, seen = find(self.levels[ORDER][0], grams)
+        out = self.levels[ORDER][2][at] if len(self.levels[ORDER][0]) else np.zeros(len(grams))
+        out[~seen] = self.after_escapes(grams[~seen])
+        return out
+
+    def after_escapes(self, grams: np.ndarray) -> np.ndarray:
+        out, n = np.empty(len(grams)), len(grams)
+        left, inside = np.ones(n, bool), np.zeros(n, bool)  # without a result yet; within the longest context seen
+        so_far, rest, fall = np.zeros(n), np.zeros(n), np.zeros(n)
+        for k in range(ORDER, -1, -1):
+            edges, log_count, own, nodes, escape, rests, falls = self.levels[k]
+            edge, seen = find(edges, low_bytes(grams, k + 1))
+            node, known = find(nodes, low_bytes(grams, k + 1) >> 8)
+            lower, here = left & seen & inside, left & seen & ~inside
+            out[lower] = so_far[lower] - fall[lower] + log_count[edge[lower]] - rest[lower]
+            out[here] = own[edge[here]]
+            left &= ~seen
+            enters = left & known & ~inside
+            so_far[enters] = escape[node[enters]] + falls[node[enters]]
+            inside |= enters
+            rest[known], fall[known] = rests[node[known]], falls[node[known]]
+        out[left] = so_far[left] + self.never
+        return out
 
     def score(self, stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each stream. Blocks of all streams are read in step, each after the ORDER bytes
-        before it, from which its context follows."""
+        """log10 probability of each stream: each string of ORDER + 1 bytes is looked up once."""
         if not len(starts):
             return np.empty(0)
-        sizes = np.diff(np.r_[starts, len(stream)])
-        n_blocks = -(-sizes // BLOCK)
-        symbols = self.symbol[stream]
-        newline, pad = int(self.symbol[NEWLINE]), self.size - 1
-        begin = np.repeat(starts, n_blocks) + ragged(n_blocks) * BLOCK
-        stop = np.minimum(begin + BLOCK, np.repeat(starts + sizes, n_blocks))
-        opening = np.repeat(starts, n_blocks)
-        state, total = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.float64)
-        for lag in range(ORDER, 0, -1):
-            at = begin - lag
-            state = self.follow[state + np.where(at >= opening, symbols[np.maximum(at, 0)], newline)]
-        alive, done = np.arange(len(begin)), np.empty(len(begin))
-        last = len(symbols) - 1
-        for k in range(BLOCK):
-            at = begin + k
-            c = np.where(at < stop, symbols[np.minimum(at, last)], pad)
-            state = state + c
-            total += self.logs[state]
-            state = self.follow[state]
-            if k % 32 == 31:  # blocks that have ended are put aside
-                going = at + 1 < stop
-                if going.mean() < 0.7:
-                    done[alive[~going]] = total[~going]
-                    alive, begin, stop, state, total = (x[going] for x in (alive, begin, stop, state, total))
-            if not len(alive):
-                break
-        done[alive] = total
-        return np.add.reduceat(done, np.cumsum(n_blocks) - n_blocks)
+        grams, place = np.unique(byte_strings(stream, starts), return_inverse=True)
+        return np.add.reduceat(self.log_probability(grams)[place], starts)
 
 
 def count_training(train: DataFrame) -> DataFrame:
@@ -156,10 +173,7 @@ def count_training(train: DataFrame) -> DataFrame:
             ids, vocabulary = word_ids(words)
             n = np.bincount(ids, minlength=len(vocabulary))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(hash_words(vocabulary).view(np.int64)), pa.array(n)], ["kind", "item", "n"])
-            gram = stream.astype(np.uint64)
-            for lag, before in enumerate(contexts(stream, starts, ORDER, NEWLINE), 1):
-                gram |= before.astype(np.uint64) << np.uint64(8 * lag)
-            held.append(np.unique(gram.astype(np.int64), return_counts=True))
+            held.append(np.unique(byte_strings(stream, starts), return_counts=True))
             if len(held) > 8:
                 held = [merged(held)]
         if held:
@@ -177,18 +191,9 @@ def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def fit_bytes(counts: DataFrame) -> ByteModel:
-    """The model of the MAX_CONTEXTS contexts of ORDER bytes and fewer that are found most often."""
-    grams = counts.where("kind = 1").select("item", "n")
-    by_depth = []
-    for k in range(ORDER + 1):
-        cut = grams.select(F.expr(f"item & {(1 << 8 * (k + 1)) - 1}").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("n"))
-        by_depth.append(cut.select(F.lit(k).alias("depth"), F.shiftright("item", 8).alias("context"), F.expr("item & 255").alias("byte"), "n"))
-    trie = staged(reduce(DataFrame.unionByName, by_depth))
-    # A suffix is found as often as what it ends, so with ties to the shorter the choice has all suffixes.
-    often = trie.groupBy("depth", "context").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "depth", "context").limit(MAX_CONTEXTS)
-    rows = trie.join(F.broadcast(often.drop("times")), ["depth", "context"]).select("depth", "context", "byte", "n").toArrow()
-    drop_staged(trie)
-    return ByteModel(*(rows[c].to_numpy() for c in ("depth", "context", "byte", "n")))
+    """The model of all contexts of ORDER bytes and fewer, or of the MAX_CONTEXTS found most often where that is set."""
+    rows = counts.where("kind = 1").select("item", "n").toArrow()
+    return ByteModel(rows["item"].to_numpy(), rows["n"].to_numpy(), MAX_CONTEXTS)
 
 
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
