@@ -169,6 +169,21 @@ def test_held_out_accuracy(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
 
 
+def test_languages_of_long_or_copied_texts_are_learnt(spark):
+    long = [" ".join(f"{w}el" for w in prose(70 + k, 9000).split()) for k in range(3)]
+    assert min(map(len, long)) > language.SAMPLE_TEXT_CHARS
+    copied = "zwq xoyv uwq yoq vuxy " * 40
+    train = spark.createDataFrame([("long", t) for t in long] + [("late", "1 2 " * 9000 + "быстрая лиса " * 90), ("few", prose(75, 60).replace("e", "i"))], "lang string, text string")
+    train = train.unionByName(spark.range(60_000).select(F.lit("copied").alias("lang"), F.lit(copied).alias("text")))
+    sample = language.labelled_sample(train, "lang", "text")
+    assert {k: len(v) for k, v in sample.items()} == {"long": 3, "late": 1, "few": 1, "copied": 1}
+    assert all(len(t) <= language.SAMPLE_TEXT_CHARS and language.letters([t])[0].any() for v in sample.values() for t in v)
+    docs = spark.createDataFrame([(1, long[0][:900]), (2, "лиса быстрая"), (3, copied[:200])], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify_language(docs, train).collect()} == {1: "long", 2: "late", 3: "copied"}
+    only = language.identify_language(docs, train.where("lang = 'long'")).collect()
+    assert {r["lang_pred"] for r in only} == {"long"}
+
+
 # -- 2 quality -----------------------------------------------------------------------------------------------
 def plain_features(t):
     t = t or ""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import filled, ragged, text_slices
 
-#: Bounds of the labelled sample: whole texts, at most so many per language and of so many characters each.
+#: Bounds of the labelled sample: at most so many texts per language and so many characters of each.
 SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 400, 20_000
 #: Characters of labelled text that a language's automaton holds at most; and the cells (4 bytes each) of all
 #: languages' tables together, to which many languages or symbols shorten it. More languages are an error.
@@ -155,22 +155,22 @@ PAD_UNKNOWN = -1
 
 
 def labelled_sample(train: DataFrame, lang_col: str, text_col: str) -> dict[str, list[str]]:
-    """Whole texts by language, at most SAMPLE_TEXTS each: those with the least hashes. Exact copies count once."""
+    """Texts by language, at most SAMPLE_TEXTS each: those with the least hashes. Exact copies count once. Of a text
+    of more than SAMPLE_TEXT_CHARS there is a piece of as many, from its first letter on: every language with a
+    labelled text has a sample."""
     src = train.select(train[lang_col].alias("lang"), train[text_col].alias("text")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
+    keyed = src.withColumn("key", F.xxhash64("text"))
+    # Copies are one key before any is left out, and each partition sends the window its least keys only.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 40)), "key"))
+    least = keyed.select("lang", "key").distinct().withColumn("k", rank).where(F.col("k") <= SAMPLE_TEXTS)
+    if len(least.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return {}
-    # Far fewer rows than all reach the window: each language's hash has to be under its own bound.
-    bound = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 8 * SAMPLE_TEXTS / n)))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    some = src.where(F.length("text") <= SAMPLE_TEXT_CHARS).withColumn("h", place).where(F.col("h") < bound[F.col("lang")]).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    out: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in some.withColumn("k", rank).where(F.col("k") <= SAMPLE_TEXTS).orderBy("lang", "k").select("lang", "text").collect():
-        out[r["lang"]].append(r["text"])
-    return {lang: texts for lang, texts in out.items() if texts}
+    piece = F.when(F.length("text") > SAMPLE_TEXT_CHARS, F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, SAMPLE_TEXT_CHARS)).otherwise(F.col("text"))
+    chosen = keyed.join(F.broadcast(least), ["lang", "key"]).select("lang", "k", piece.alias("text")).distinct()
+    out: dict[str, list[str]] = {}
+    for r in chosen.orderBy("lang", "k", "text").collect():
+        out.setdefault(r["lang"], []).append(r["text"])
+    return out
 
 
 def identify_language(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", also: tuple[str, ...] = ()) -> DataFrame:
