@@ -369,6 +369,21 @@ def test_repeats(docs, empty, width):
         assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_a_batch_sent_again_is_the_same(docs):
+    src = docs.select("text").where("text is not null")
+    sent = repeats.sent_windows(src, 3, 5)
+    once, again = ([tuple(r) for r in sent.collect()] for _ in range(2))
+    assert Counter(once) == Counter(again) and len({r[1] for r in once}) == src.rdd.getNumPartitions()
+    # A batch of which a bucket is missing, or that has no row of its own, is told and not taken for a whole one.
+    whole = pa.Table.from_pylist([dict(zip(("bucket", "batch", "kind", "gaps", "hashes", "keys"), r)) for r in once if r[1] == once[0][1]])
+    assert repeats.merged_spans(whole, 3).num_rows
+    own = whole["kind"].to_pylist().index(1 - whole.num_rows)
+    for k in (own, (own + 1) % whole.num_rows):
+        with pytest.raises(RuntimeError):
+            repeats.merged_spans(whole.take([i for i in range(whole.num_rows) if i != k]), 3)
+    assert repeats.united([([0, 50], [40, 60]), ([30, 90], [50, 95])]) == ([0, 90], [60, 95])
+
+
 def test_gaps():
     for numbers in ([], [0], [0, 1, 70000, 70001], [5, 9]):
         assert repeats.unpack_gaps(repeats.pack_gaps(np.array(numbers, np.int64))).tolist() == numbers

@@ -11,11 +11,11 @@ of a text that is there twice are repeated.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,9 @@ SENT_PER_BYTE = 1.7
 #: Bytes of intervals that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
 
+#: kind is 1 for a bucket's hashes and, for the batch's own row, the number of its buckets below zero.
 SENT = "bucket int, batch string, kind int, gaps binary, hashes binary, keys binary"
+SPANS = "key binary, starts array<int>, ends array<int>"
 
 
 def window_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,17 +61,14 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def repeated_spans(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame:
-    """A staged table: the MD5 of each text with a repeated window, and its maximal intervals of words [from, to)."""
-    spark = docs.sparkSession
-    src = docs.select(docs[text_col].alias("text")).where("text is not null")
-    n_bytes = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = partitions_for(spark, int(n_bytes * SENT_PER_BYTE), BUCKET_BYTES)
+def sent_windows(src: DataFrame, width: int, n_buckets: int) -> DataFrame:
+    """What the batches of src (text) send. A batch is named by its place and its texts: a task that is run again
+    because its output was lost sends the same rows, so that they meet what others have read of it before."""
 
     def send(batches):
-        for b in text_slices(batches, "text"):
+        part = TaskContext.get().partitionId()
+        for number, b in enumerate(text_slices(batches, "text")):
             hashes, counts = window_hashes(b.column(0), width)
-            name = uuid.uuid4().hex
             distinct, first, times = np.unique(hashes, return_index=True, return_counts=True)
             twice = times[np.searchsorted(distinct, hashes)] > 1 if len(hashes) else np.empty(0, bool)
             once = np.sort(first)
@@ -78,48 +77,78 @@ def repeated_spans(docs: DataFrame, width: int, text_col: str = "text") -> DataF
             once, bucket = once[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(once) else np.zeros(1, int)
             keys = b"".join(hashlib.md5(t.encode()).digest() for t in filled(b.column(0)).to_pylist())
+            name = hashlib.md5(f"{part} {number} ".encode() + keys).hexdigest()
             # The batch's own row: its texts, their numbers of words and the windows it has found twice.
-            rows = [(int(name[:6], 16) % n_buckets, name, 0, pack_gaps(np.flatnonzero(twice)), counts.astype("<i8").tobytes(), keys)]
+            rows = [(int(name[:6], 16) % n_buckets, name, 1 - len(cuts), pack_gaps(np.flatnonzero(twice)), counts.astype("<i8").tobytes(), keys)]
             rows += [(int(bucket[i]), name, 1, pack_gaps(once[i:j]), hashes[once[i:j]].astype("<u8").tobytes(), b"") for i, j in zip(cuts, cuts[1:])]
             for row in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "batch", "kind", "gaps", "hashes", "keys"])
 
+    return src.mapInArrow(send, SENT)
+
+
+def united(found: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int]]:
+    """Maximal intervals of the words that any of the lists (starts, ends) covers."""
+    starts, ends = [], []
+    for a, z in sorted((a, z) for s, e in found for a, z in zip(s, e)):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], z)
+        else:
+            starts.append(a)
+            ends.append(z)
+    return starts, ends
+
+
+def merged_spans(table: pa.Table, width: int) -> pa.Table:
+    """The repeated intervals of one batch's texts, from all it has sent."""
+    kind = table["kind"].to_numpy()
+    own = int(kind.argmin())
+    if (kind < 1).sum() != 1 or (kind > 0).sum() != -kind[own]:
+        raise RuntimeError("not all windows of a batch have met: docs did not give the same rows when it was read again")
+    counts = np.frombuffer(table["hashes"][own].as_py(), "<i8")
+    keys = table["keys"][own].as_py()
+    starts, _ = doc_windows(counts, width)
+    numbers = np.concatenate([unpack_gaps(g) for g in table["gaps"].to_pylist()])
+    gone = covered(starts[numbers], width, int(counts.sum())) if len(numbers) else np.zeros(int(counts.sum()), bool)
+    first = np.cumsum(counts) - counts
+    found = {}
+    for d in np.flatnonzero(np.add.reduceat(np.r_[gone, False], first) * (counts > 0)) if len(counts) else []:
+        flags = np.r_[False, gone[first[d] : first[d] + counts[d]], False]
+        edges = np.flatnonzero(flags[1:] != flags[:-1])
+        found[keys[16 * d : 16 * d + 16]] = (edges[::2].tolist(), edges[1::2].tolist())
+    return pa.table([pa.array(list(found), pa.binary()), pa.array([v[0] for v in found.values()], pa.list_(pa.int32())), pa.array([v[1] for v in found.values()], pa.list_(pa.int32()))], names=["key", "starts", "ends"])
+
+
+def repeated_spans(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame:
+    """A staged table: the MD5 of each text with a repeated window, and its maximal intervals of words [from, to)."""
+    spark = docs.sparkSession
+    src = docs.select(docs[text_col].alias("text")).where("text is not null")
+    n_bytes = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = partitions_for(spark, int(n_bytes * SENT_PER_BYTE), BUCKET_BYTES)
+
     def meet(table: pa.Table) -> pa.Table:
         kind, gaps, data = (table[c].to_pylist() for c in ("kind", "gaps", "hashes"))
-        sent = [np.frombuffer(h, "<u8") for h, k in zip(data, kind) if k]
+        sent = [np.frombuffer(h, "<u8") for h, k in zip(data, kind) if k > 0]
         joined = np.sort(np.concatenate([*sent, np.empty(0, np.uint64)]))
         shared = np.unique(joined[1:][joined[1:] == joined[:-1]])
-        out, turn = [], 0
+        turn = 0
         for row, k in enumerate(kind):
-            if k:
+            if k > 0:
                 at = np.minimum(np.searchsorted(shared, sent[turn]), max(len(shared) - 1, 0))
                 hit = shared[at] == sent[turn] if len(shared) else np.zeros(len(at), bool)
                 gaps[row], data[row] = pack_gaps(unpack_gaps(gaps[row])[hit]), b""
                 turn += 1
-                if not hit.any():
-                    continue
-            out.append(row)
-        return pa.table([table["bucket"], table["batch"], table["kind"], pa.array(gaps, pa.binary()), pa.array(data, pa.binary()), table["keys"]], names=table.column_names).take(pa.array(out, pa.int64()))
-
-    def merge(table: pa.Table) -> pa.Table:
-        own = table["kind"].to_pylist().index(0)
-        counts = np.frombuffer(table["hashes"][own].as_py(), "<i8")
-        keys = table["keys"][own].as_py()
-        starts, _ = doc_windows(counts, width)
-        numbers = np.concatenate([unpack_gaps(g) for g in table["gaps"].to_pylist()])
-        gone = covered(starts[numbers], width, int(counts.sum())) if len(numbers) else np.zeros(int(counts.sum()), bool)
-        first = np.cumsum(counts) - counts
-        found = {}
-        for d in np.flatnonzero(np.add.reduceat(np.r_[gone, False], first) * (counts > 0)) if len(counts) else []:
-            flags = np.r_[False, gone[first[d] : first[d] + counts[d]], False]
-            edges = np.flatnonzero(flags[1:] != flags[:-1])
-            found[keys[16 * d : 16 * d + 16]] = (edges[::2].tolist(), edges[1::2].tolist())
-        return pa.table([pa.array(list(found), pa.binary()), pa.array([v[0] for v in found.values()], pa.list_(pa.int32())), pa.array([v[1] for v in found.values()], pa.list_(pa.int32()))], names=["key", "starts", "ends"])
-
-    met = src.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(meet, SENT)
-    spans = met.groupBy("batch").applyInArrow(merge, "key binary, starts array<int>, ends array<int>")
+        return pa.table([table["bucket"], table["batch"], table["kind"], pa.array(gaps, pa.binary()), pa.array(data, pa.binary()), table["keys"]], names=table.column_names)
+
+    def unite(batches):
+        for b in batches:
+            found = [united([(x["starts"], x["ends"]) for x in s]) if len(s) > 1 else (s[0]["starts"], s[0]["ends"]) for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))], ["key", "starts", "ends"])
+
+    met = sent_windows(src, width, n_buckets).groupBy("bucket").applyInArrow(meet, SENT)
+    spans = met.groupBy("batch").applyInArrow(lambda table: merged_spans(table, width), SPANS)
     # Copies of a text in several batches have the same intervals.
-    out = staged(spans.groupBy("key").agg(F.min(F.struct("starts", "ends")).alias("s")).select("key", "s.starts", "s.ends"))
+    out = staged(spans.groupBy("key").agg(F.collect_set(F.struct("starts", "ends")).alias("s")).mapInArrow(unite, SPANS))
     del met, spans
     release(spark)
     return out
