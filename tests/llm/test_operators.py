@@ -569,3 +569,22 @@ def test_pipeline(spark, tmp_path):
     texts = {r["doc_id"]: r["text"] for r in after[2].collect()}
     assert texts[3] == " ".join(prose(403, 400).split()) and texts[6] == rows[6][1]
     assert corpus_pipeline.run(spark, str(tmp_path / "d")).count() == after[-1].count()
+
+
+def test_pipeline_keeps_one_of_rows_that_share_an_id_or_have_none(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (prose(600 + k, 80) for k in range(5))
+    rows = [(None, a, "en", "s", 1)] * 3 + [(None, a + " more", "en", "s", 2)]
+    rows += [(5, b, "en", "t", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (None, b, "en", "a", 1), (9, b, "en", "a", 1)]
+    rows += [(1, c, "en", "s", 1), (2, c, "en", "s", 1), (2, d, "en", "s", 1), (None, e, None, None, None)]
+    rows += [(None, None, None, None, None), (None, None, None, None, None), (7, "", "en", "s", 0), (7, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter(tuple(r) for r in out.collect())
+    first = [r for r in got if r[1] and r[1].startswith(a)]
+    assert len(first) == 1 and first[0] in rows and got.pop(first[0]) == 1
+    assert got == Counter(rows[5:6] + rows[9:10] + rows[11:])
+    kept = corpus_pipeline.repeats(spark, spark.createDataFrame(out.collect(), docs.schema), "").collect()
+    assert {r["text"] for r in kept} >= {first[0][1], b, c, d, e}

@@ -211,18 +211,10 @@ def region_links(members: DataFrame, texts: DataFrame, n: int, percent: int) ->
     return dealt_texts.groupBy("pivot", "i", "j").applyInArrow(join, "a long, b long")
 
 
-def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    r"""id_col, n_shingles and component_id: the least id of the texts reachable by links, its own included.
-
-    Words are `[^\x20\x09-\x0D]+` of the text with A-Z lower-cased. Two texts are linked when
-    100 * intersection >= percent * union of their sets of n-word shingles; with fewer words, all of them are
-    one shingle. Texts without words, null texts among them, have no shingles and are linked with nothing.
-    Equal texts are one point, so a group of copies costs one point however large; repeated rows and null ids
-    give rows of their own, and a group in which all ids are null has a null component_id. Other columns are
-    not read. Shingles and texts are told apart by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("key"))
+def text_groups(src: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """A staged table (key, root, component_id, n_shingles) of the distinct texts of src (id, text, key), where key is
+    the text's hash: linked texts have one root, and component_id is the least id of all rows with them."""
+    spark = src.sparkSession
     texts = src.where("text is not null").select("key", "text")
     points = staged(prefixes(texts, n, percent, count_sketch(texts, n)).dropDuplicates(["key"]))
     release(spark)
@@ -234,10 +226,25 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col
     ids = src.groupBy("key").agg(F.min("id").alias("least"))
     rooted = ids.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = staged(rooted.join(least, "root").select("key", "component_id").join(points.select("key", "n_shingles"), "key"))
+    groups = staged(rooted.join(least, "root").select("key", "root", "component_id").join(points.select("key", "n_shingles"), "key"))
     for t in (points, members, links, roots):
         drop_staged(t)
     release(spark)
+    return groups
+
+
+def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    r"""id_col, n_shingles and component_id: the least id of the texts reachable by links, its own included.
+
+    Words are `[^\x20\x09-\x0D]+` of the text with A-Z lower-cased. Two texts are linked when
+    100 * intersection >= percent * union of their sets of n-word shingles; with fewer words, all of them are
+    one shingle. Texts without words, null texts among them, have no shingles and are linked with nothing.
+    Equal texts are one point, so a group of copies costs one point however large; repeated rows and null ids
+    give rows of their own, and a group in which all ids are null has a null component_id. Other columns are
+    not read. Shingles and texts are told apart by 64-bit hashes.
+    """
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("key"))
+    groups = text_groups(src, n, percent).drop("root")
     out = src.select("id", "key", F.col("text").isNull().alias("empty")).join(groups, "key", "left")
     none = F.col("empty") | F.coalesce(F.col("n_shingles") == 0, F.lit(True))
     return out.select(
