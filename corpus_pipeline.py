@@ -77,7 +77,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the local search of packing; the tests hold each stage against a brute-force version.
+#: SQL cannot express the local search of packing; the tests hold the stages against planted rows.
 ORACLE_SQL = None
 
 
