@@ -456,9 +456,11 @@ def stream(t):
     return b"\n" * language_model.ORDER + b" ".join(low_words(t)) + b"\n"
 
 
-@pytest.mark.parametrize("most", [100_000, 300])
+@pytest.mark.parametrize("most", [1 << 20, 300])
 def test_language_model(docs, empty, monkeypatch, most):
-    monkeypatch.setattr(language_model, "MAX_CONTEXTS", most)
+    monkeypatch.setattr(language_model, "COMMON", most)  # how many worths are sent to all changes no result
+    monkeypatch.setattr(language_model, "HELD", 20 * most)
+    monkeypatch.setattr(language_model, "TASK_STRINGS", 10 * most)
     learn = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
     rows = language_model.score_texts(docs, learn).collect()
     train = [t for i, t, *_ in cases() if i is not None and i % 2 == 0]
@@ -471,17 +473,13 @@ def test_language_model(docs, empty, monkeypatch, most):
         for p in range(n, len(s)):
             for k in range(n + 1):
                 seen[k][s[p - k : p]][s[p]] += 1
-    order = sorted((-sum(m.values()), k, int.from_bytes(c, "big"), c) for k in range(n + 1) for c, m in seen[k].items())
-    keep = {(k, c) for _, k, _, c in order[:most]}
 
     def score(t):
         s, out = stream(t), 0.0
         for p in range(n, len(s)):
             gone: set[int] = set()
             for k in range(n, -1, -1):
-                if (k, s[p - k : p]) not in keep:
-                    continue
-                left = {b: c for b, c in seen[k][s[p - k : p]].items() if b not in gone}
+                left = {b: c for b, c in seen[k].get(s[p - k : p], {}).items() if b not in gone}
                 if not left:
                     continue
                 t_, d_ = sum(left.values()), len(left)
@@ -510,6 +508,17 @@ def test_language_model(docs, empty, monkeypatch, most):
         assert none["score"] == pytest.approx(-4 * math.log10(256)) and none["base_score"] == 0
 
 
+def test_worths_are_found():
+    r = np.random.default_rng(6)
+    items = np.unique(np.r_[r.integers(-(1 << 63), 1 << 48, 3000), 0, 1, 2])
+    values = r.random(len(items))
+    worths = language_model.Worths(items, values)
+    got, known = worths(np.r_[items, items + 1])
+    also = np.isin(items + 1, items)
+    assert known.tolist() == [True] * len(items) + also.tolist() and got[: len(items)].tolist() == values.tolist()
+    assert not language_model.Worths(items[:0], values[:0])(items)[1].any()
+
+
 def test_all_contexts_are_kept(spark):
     """More contexts than any fixed number of them: the rare ones count as the common ones do."""
     r = random.Random(4)

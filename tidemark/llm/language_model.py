@@ -7,9 +7,11 @@ is c / (t + d) in the longest context in which it was seen, times an escape d /
 t and d count the context's bytes and distinct bytes; after an escape, the bytes of the longer context are
 excluded. As a byte seen in a context was seen in all its suffixes, the escapes are a few numbers per context.
 
-Beside it each text gets the score of a smoothed unigram model of its words. Words' counts are joined without a
-broadcast that grows: the common ones, which can only be a bounded number, go to every worker; the others are
-looked up once per batch of texts.
+The trie is a table, never one object: a string of bytes and all its longer contexts end in the same SHALLOW bytes,
+so the strings are dealt out by those, and each task makes the sub-tries below some of them; only the top of the
+trie, whose size the number of bytes bounds, goes to all. What comes back is a table of worths: of each byte string
+in the corpus its probability, and of each training word its smoothed unigram count, for the score beside it. Of
+both, the commonest COMMON go to every worker, and the texts' rare ones are joined with the table.
 """
 
 from __future__ import annotations
@@ -22,12 +24,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, hash_words, release, split_words, staged, text_slices, word_ids
-
-#: Bytes of context, and how many contexts a model keeps at most; None for all that were counted.
-ORDER, MAX_CONTEXTS = 5, None
-#: Words with at least this share of all training words are common: at most one in the inverse of it.
-COMMON_SHARE = 2e-5
+from .common import drop_staged, filled, hash_words, mix, partitions_for, split_words, staged, text_slices, word_ids
+
+#: Bytes of context.
+ORDER = 5
+#: The byte strings that share so many bytes before their last are in one task. The pairs of contexts of as many bytes
+#: and fewer are at most 256**3 * 257 / 256, and go to all tasks.
+SHALLOW = 2
+#: Byte strings of a task that makes sub-tries, on average.
+TASK_STRINGS = 200_000
+#: Worths of byte strings, and of words, that go to every worker at most (16 bytes each); the others are joined.
+COMMON = 1 << 20
+#: Distinct items a task holds before it sends their counts, and bytes of text that are scored together.
+HELD, SCORED_BYTES = 1 << 20, 2 << 20
 NEWLINE = 10
 
 
@@ -42,23 +51,17 @@ def streams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarr
     return np.frombuffer(joined.buffers()[2], np.uint8)[at[0] : at[-1]], (at[:-1] - at[0]).astype(np.int64), words, counts
 
 
-def contexts(symbols: np.ndarray, starts: np.ndarray, order: int, newline: int) -> list[np.ndarray]:
-    """The symbols 1, 2, ... order places before each; before a text stand line feeds."""
-    place = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.r_[starts, len(symbols)]))
-    out = []
-    for lag in range(1, order + 1):
-        before = np.full_like(symbols, newline)
-        before[lag:] = symbols[:-lag]
-        before[place < lag] = newline
-        out.append(before)
-    return out
-
-
 def byte_strings(stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Each byte and the ORDER before it as a number, the latest lowest."""
+    """Each byte and the ORDER before it as a number, the latest lowest; before a text stand line feeds."""
     gram = stream.astype(np.int64)
-    for lag, before in enumerate(contexts(stream, starts, ORDER, NEWLINE), 1):
-        gram |= before.astype(np.int64) << (8 * lag)
+    for lag in range(1, ORDER + 1):
+        gram[lag:] |= stream[:-lag].astype(np.int64) << (8 * lag)
+    # The first ORDER places of a text look beyond its start: there the bytes before it are line feeds.
+    sizes = np.diff(np.r_[starts, len(stream)])
+    for place in range(ORDER):
+        at = starts[sizes > place] + place
+        lines = sum(NEWLINE << (8 * lag) for lag in range(place + 1, ORDER + 1))
+        gram[at] = low_bytes(gram[at], place + 1) | lines
     return gram
 
 
@@ -66,6 +69,11 @@ def low_bytes(grams: np.ndarray, n: int) -> np.ndarray:
     return grams & ((1 << 8 * n) - 1)
 
 
+def word_items(vocabulary: list[str]) -> np.ndarray:
+    """Words as numbers below zero (62 bits of hash); byte strings are numbers from zero up."""
+    return (hash_words(vocabulary) | np.uint64(3 << 62)).view(np.int64)
+
+
 def find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of wanted numbers among ascending values, and which are there."""
     if not len(values):
@@ -74,41 +82,64 @@ def find(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, values[at] == wanted
 
 
-def commonest(levels: list[tuple[np.ndarray, np.ndarray]], most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The rows of the `most` contexts found most often. A suffix is found as often as what it ends, so with ties to
-    the shorter the choice has all suffixes."""
-    depth, context, times = [], [], []
-    for k, (edges, count) in enumerate(levels):
-        nodes, of = np.unique(edges >> 8, return_inverse=True)
-        depth.append(np.full(len(nodes), k))
-        context.append(nodes)
-        times.append(np.bincount(of, weights=count, minlength=len(nodes)))
-    depth, context, times = map(np.concatenate, (depth, context, times))
-    kept = np.lexsort((context, depth, -times))[:most]
-    out = []
-    for k, (edges, count) in enumerate(levels):
-        there = find(np.sort(context[kept][depth[kept] == k]), edges >> 8)[1]
-        out.append((edges[there], count[there]))
-    return out
+def summed(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct items, ascending, and the sums of their counts."""
+    distinct, which = np.unique(items, return_inverse=True)
+    return distinct, np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
+
+
+class Worths:
+    """Numbers for items: a hash table in two arrays, read for a whole batch in step."""
+
+    FREE = np.iinfo(np.int64).max
+
+    def __init__(self, items: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (2 * len(items)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.items, self.values = np.full(size, self.FREE), np.zeros(size)
+        at, left = self.home(items), np.arange(len(items))
+        while len(left):
+            free = left[self.items[at[left]] == self.FREE]
+            self.items[at[free]] = items[free]  # of several for one place the last stays
+            stays = self.items[at[left]] == items[left]
+            self.values[at[left[stays]]] = values[left[stays]]
+            left = left[~stays]
+            at[left] = (at[left] + 1) & (size - 1)
+
+    def home(self, items: np.ndarray) -> np.ndarray:
+        return (mix(items.view(np.uint64)) >> self.shift).astype(np.int64)
+
+    def __call__(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items' numbers (0 for others), and which items are there."""
+        out, known = np.zeros(len(items)), np.zeros(len(items), bool)
+        at, left = self.home(items), None
+        while left is None or len(left):
+            here = at if left is None else at[left]
+            held, want = self.items[here], items if left is None else items[left]
+            hit, going = held == want, (held != want) & (held != self.FREE)
+            if left is None:
+                out[hit], known[hit], left = self.values[here[hit]], True, np.flatnonzero(going)
+            else:
+                out[left[hit]], known[left[hit]], left = self.values[here[hit]], True, left[going]
+            at[left] = (at[left] + 1) & (len(self.items) - 1)
+        return out, known
 
 
 class ByteModel:
     """A trie as sorted arrays: for each depth the (context, byte) pairs seen and the contexts, with what scoring
     takes of each. A row is a pair that was seen, so the model is as large as the trie and not as an alphabet.
 
-    Made from the counts of all byte strings of ORDER + 1, from which those of the shorter ones follow. A string
-    is a number, the latest byte lowest; a pair's context is the number without its lowest byte.
+    Made from the counts of byte strings of ORDER + 1, from which those of the shorter ones follow; those of
+    SHALLOW + 1 and fewer may come from counts of their own (`shallow`), where grams are only those of some
+    contexts of SHALLOW bytes. A string is a number, the latest byte lowest; a pair's context is the number
+    without its lowest byte.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, most: int | None = None):
-        levels = []
-        for k in range(ORDER + 1):
-            edges, which = np.unique(low_bytes(grams, k + 1), return_inverse=True)
-            levels.append((edges, np.bincount(which, weights=counts, minlength=len(edges))))
-        if most is not None:
-            levels = commonest(levels, most)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, shallow: tuple[np.ndarray, np.ndarray] | None = None):
         self.levels = []
-        for k, (edges, count) in enumerate(levels):
+        for k in range(ORDER + 1):
+            source, times = shallow if shallow is not None and k <= SHALLOW else (grams, counts)
+            edges, count = summed(low_bytes(source, k + 1), times)
             nodes, of = np.unique(edges >> 8, return_inverse=True) if k else (np.zeros(1, np.int64), np.zeros(len(edges), np.int64))
             total, distinct = np.bincount(of, weights=count, minlength=len(nodes)), np.bincount(of, minlength=len(nodes))
             weight = np.log10(np.maximum(total + distinct, 1))
@@ -116,16 +147,16 @@ class ByteModel:
             rest = fall = np.zeros(len(nodes))
             if k:
                 # What the suffix has beside the bytes seen here: its denominator, and the escape from there on.
-                before, shorter = levels[k - 1]
                 parent = np.searchsorted(above, low_bytes(nodes, k - 1))  # noqa: F821
-                t = totals[parent] - np.bincount(of, weights=shorter[np.searchsorted(before, low_bytes(edges, k))], minlength=len(nodes))  # noqa: F821
+                also = shorter[np.searchsorted(before, low_bytes(edges, k))]  # noqa: F821
+                t = totals[parent] - np.bincount(of, weights=also, minlength=len(nodes))  # noqa: F821
                 d = kinds[parent] - distinct  # noqa: F821
                 rest = np.log10(np.maximum(t + d, 1))
                 fall = np.where(d > 0, np.log10(np.maximum(d, 1)) - rest, 0) + falls[parent]  # noqa: F821
-            above, totals, kinds, falls = nodes, total, distinct, fall
+            above, totals, kinds, falls, before, shorter = nodes, total, distinct, fall, edges, count
             log_count = np.log10(count)
             self.levels.append((edges, log_count, log_count - weight[of], nodes, escape, rest, fall))
-        self.never = -float(np.log10(max(256 - len(levels[0][0]), 1)))
+        self.never = -float(np.log10(max(256 - len(self.levels[0][0]), 1)))
 
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each string's last byte after the others."""
@@ -153,47 +184,69 @@ class ByteModel:
         out[left] = so_far[left] + self.never
         return out
 
-    def score(self, stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each stream: each string of ORDER + 1 bytes is looked up once."""
-        if not len(starts):
-            return np.empty(0)
-        grams, place = np.unique(byte_strings(stream, starts), return_inverse=True)
-        return np.add.reduceat(self.log_probability(grams)[place], starts)
-
 
-def count_training(train: DataFrame) -> DataFrame:
-    """A staged table (kind, item, n): words' hashes (0), byte strings of ORDER + 1 (1), and texts (2)."""
+def count_corpus(texts: DataFrame) -> DataFrame:
+    """A staged table (item, n, m) over texts (text, learn): byte strings of ORDER + 1 in all texts and words of the
+    training texts, how often they are there (n), and how often in training texts (m)."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        n_texts = 0
+        size = 0
+
+        def flush():
+            both, n = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            # The lowest bit of a held item says whether the text is a training text.
+            learnt = (both & 1) > 0
+            return pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(n), pa.array(np.where(learnt, n, 0))], ["item", "n", "m"])
+
         for b in text_slices(batches, "text"):
             stream, starts, words, counts = streams(b.column("text"))
-            n_texts += len(counts)
-            ids, vocabulary = word_ids(words)
-            n = np.bincount(ids, minlength=len(vocabulary))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(hash_words(vocabulary).view(np.int64)), pa.array(n)], ["kind", "item", "n"])
-            held.append(np.unique(byte_strings(stream, starts), return_counts=True))
-            if len(held) > 8:
-                held = [merged(held)]
+            learn = b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+            of = np.repeat(learn, np.diff(np.r_[starts, len(stream)]))
+            held.append(np.unique(byte_strings(stream, starts) << 1 | of, return_counts=True))
+            ids, vocabulary = word_ids(words.filter(pa.array(np.repeat(learn, counts))))
+            held.append((word_items(vocabulary) << 1 | 1, np.bincount(ids, minlength=len(vocabulary))))
+            size += len(held[-1][0]) + len(held[-2][0])
+            if size > HELD:
+                yield flush()
+                held, size = [], 0
         if held:
-            grams, n = merged(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.array(grams), pa.array(n)], ["kind", "item", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0]), pa.array([n_texts])], ["kind", "item", "n"])
+            yield flush()
+
+    counts = texts.mapInArrow(run, "item long, n long, m long")
+    return staged(counts.groupBy("item").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+
 
-    counts = train.mapInArrow(run, "kind int, item long, n long")
-    return staged(counts.groupBy("kind", "item").agg(F.sum("n").alias("n")))
+def byte_worths(grams: DataFrame, n_grams: int) -> DataFrame:
+    """(item, worth, n): the log10 probability of each byte string of grams (item, n, m)."""
+    spark = grams.sparkSession
+    low = F.col("item").bitwiseAND((1 << 8 * (SHALLOW + 1)) - 1)
+    top = grams.where("m > 0").groupBy(low.alias("edge")).agg(F.sum("m").alias("m")).toArrow()
+    shared = spark.sparkContext.broadcast((top["edge"].to_numpy(), top["m"].to_numpy()))
 
+    def run(table: pa.Table) -> pa.Table:
+        items, m = table["item"].to_numpy(), table["m"].to_numpy()
+        model = ByteModel(items[m > 0], m[m > 0], shared.value)
+        return pa.table([table["item"], pa.array(model.log_probability(items)), table["n"]], names=["item", "worth", "n"])
 
-def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    items, inverse = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-    return items, np.bincount(inverse, weights=np.concatenate([h[1] for h in held]), minlength=len(items)).astype(np.int64)
+    above = F.shiftright("item", 8).bitwiseAND((1 << 8 * SHALLOW) - 1)
+    n_tasks = partitions_for(spark, n_grams, TASK_STRINGS)
+    dealt = grams.withColumn("task", F.pmod(F.xxhash64(above), F.lit(n_tasks)))
+    return dealt.groupBy("task").applyInArrow(run, "item long, worth double, n long")
 
 
-def fit_bytes(counts: DataFrame) -> ByteModel:
-    """The model of all contexts of ORDER bytes and fewer, or of the MAX_CONTEXTS found most often where that is set."""
-    rows = counts.where("kind = 1").select("item", "n").toArrow()
-    return ByteModel(rows["item"].to_numpy(), rows["n"].to_numpy(), MAX_CONTEXTS)
+def common_worths(worths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The worths of the items found most often, at most COMMON of them."""
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = dict(worths.groupBy(power.alias("p")).count().collect())
+    least, total = 64, 0
+    for p in sorted(sizes, reverse=True):
+        total += sizes[p]
+        if total > COMMON:
+            break
+        least = p
+    rows = worths.where(power >= least).select("item", "worth").toArrow()
+    return rows["item"].to_numpy(), rows["worth"].to_numpy()
 
 
 def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
@@ -203,64 +256,70 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     probability of the text's stream; base_score sums log10((c + 0.5) / (N + 0.5 * (V + 1))) over its tokens.
     Null and empty texts are the end alone. Without training texts all counts are 0 and bytes equally likely.
     Repeated rows and null ids give rows of their own. Only id_col, text_col, the columns in `also`, which are
-    passed on, and those of the condition are read. Words are told apart by 64-bit hashes.
+    passed on, and those of the condition are read. Words are told apart by 62-bit hashes.
     """
     spark = docs.sparkSession
+    learn = F.coalesce(training, F.lit(False))
     src = docs.select(docs[id_col].alias(id_col), docs[text_col].alias("__text"), *[docs[c] for c in also])
-    counts = count_training(docs.where(training).select(docs[text_col].alias("text")))
-    words = counts.where("kind = 0")
-    n_words, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_texts = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_texts = docs.where(learn).count()
+    counts = count_corpus(docs.select(docs[text_col].alias("text"), learn.alias("learn")))
+    n_words, n_distinct, n_grams = counts.agg(F.coalesce(F.sum(F.when(F.col("item") < 0, F.col("m"))), F.lit(0)), F.count_if(F.col("item") < 0), F.count_if(F.col("item") >= 0)).first()
     total, distinct = n_words + n_texts, n_distinct + (n_texts > 0)
     per_token = float(np.log10(total + 0.5 * (distinct + 1)))
-    common = words.where(F.col("n") >= max(1, total * COMMON_SHARE)).select("item", "n").toArrow()
-    order = np.argsort(common["item"].to_numpy())
-    shared = spark.sparkContext.broadcast((fit_bytes(counts), common["item"].to_numpy()[order], common["n"].to_numpy()[order]))
-    release(spark)
+    words = counts.where("item < 0").select("item", F.log10(F.col("m") + 0.5).alias("worth"), "n")
+    worths = staged(byte_worths(counts.where("item >= 0"), n_grams).unionByName(words))
+    drop_staged(counts)
+    common = [common_worths(worths.where(c)) for c in ("item >= 0", "item < 0")]
+    shared = spark.sparkContext.broadcast(common)
     names = [id_col, *also]
     kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in names)
-    end = float(np.log10(n_texts + 0.5))
+    end, unseen = float(np.log10(n_texts + 0.5)), float(np.log10(0.5))
 
     def first_pass(batches):
-        model, items, times = shared.value
-        for b in text_slices(batches, "__text"):
+        of_bytes, of_words = (Worths(*c) for c in shared.value)
+        for b in text_slices(batches, "__text", SCORED_BYTES):
             stream, starts, text_words, n = streams(b.column("__text"))
-            score = model.score(stream, starts)
+            grams = byte_strings(stream, starts)
+            worth, there = of_bytes(grams)
+            sizes = np.diff(np.r_[starts, len(stream)])
+            score = np.add.reduceat(worth, starts) if len(starts) else np.empty(0)
             ids, vocabulary = word_ids(text_words)
-            h = hash_words(vocabulary).view(np.int64)
-            at = np.minimum(np.searchsorted(items, h), max(len(items) - 1, 0))
-            is_common = items[at] == h if len(items) else np.zeros(len(h), bool)
-            worth = np.where(is_common, np.log10(times[at] + 0.5), 0.0) if len(items) else np.zeros(len(h))
+            items = word_items(vocabulary)
+            word_worth, is_common = of_words(items)
             doc = np.repeat(np.arange(len(n)), n)
-            base = np.bincount(doc, weights=worth[ids], minlength=len(n)) + end
+            base = np.bincount(doc, weights=word_worth[ids], minlength=len(n)) + end - (n + 1) * per_token
             known = np.bincount(doc, weights=is_common[ids], minlength=len(n)).astype(np.int64) + (n_texts > 0)
+            # What is not common is asked for, each distinct item once; texts name its place among those asked for.
+            asked, place = np.unique(grams[~there], return_inverse=True)
+            words_asked = items[~is_common]
+            place_of = np.cumsum(~is_common) - 1 + len(asked)
             rare = ~is_common[ids]
-            place = np.cumsum(~is_common) - 1
-            sizes = np.bincount(doc[rare], minlength=len(n))
-            rare_of = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(place[ids[rare]].astype(np.int32)))
-            hashes = h[~is_common]
-            ends = np.full(len(n) + 1, len(hashes), np.int32)
-            ends[0] = 0  # the batch's first row has the batch's hashes
-            lookups = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))
-            out = [pa.array(n + 1), pa.array(known), pa.array(base), pa.array(score), pa.array([uuid.uuid4().hex] * len(n)), rare_of, lookups]
+            of = np.r_[np.repeat(np.arange(len(n)), sizes)[~there], doc[rare]]
+            places = np.r_[place, place_of[ids[rare]]].astype(np.int32)[np.argsort(of, kind="stable")]
+            rare_of = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=len(n)))].astype(np.int32)), pa.array(places))
+            lookups = np.r_[asked, words_asked]
+            ends = np.full(len(n) + 1, len(lookups), np.int32)
+            ends[0] = 0  # the batch's first row has the batch's items
+            out = [pa.array(n + 1), pa.array(known), pa.array(base), pa.array(score), pa.array([uuid.uuid4().hex] * len(n)), rare_of, pa.ListArray.from_arrays(pa.array(ends), pa.array(lookups))]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *out], [*names, "n_tokens", "n_known", "base", "score", "batch", "rare", "lookups"])
 
     scored = staged(src.mapInArrow(first_pass, f"{kinds}, n_tokens long, n_known long, base double, score double, batch string, rare array<int>, lookups array<long>"))
     asked = scored.where(F.size("lookups") > 0).select(F.col("batch").alias("of"), F.posexplode("lookups").alias("place", "item"))
-    answers = asked.join(words.select("item", "n"), "item").select("of", "place", "n")
+    answers = asked.join(worths.select("item", "worth"), "item").select("of", "place", F.col("item") < 0, "worth").toDF("of", "place", "word", "worth")
 
     def add(rows: pa.Table, found: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         rare = rows["rare"].combine_chunks()
-        places = rare.flatten().to_numpy()
-        n = pc.list_value_length(rare).to_numpy(zero_copy_only=False)
-        count = np.zeros(int(places.max()) + 1 if len(places) else 0, np.int64)
-        count[found["place"].to_numpy()] = found["n"].to_numpy()
+        places, n = rare.flatten().to_numpy(), pc.list_value_length(rare).to_numpy(zero_copy_only=False)
+        # A byte string has a worth always; of words only those of training texts have one.
+        size = int(places.max()) + 1 if len(places) else 0
+        at, word = found["place"].to_numpy(), found["word"].to_numpy()
+        worth, is_word, there = np.full(size, unseen), np.ones(size, bool), np.zeros(size, bool)
+        worth[at], is_word[at], there[at] = found["worth"].to_numpy(), word, True
         doc = np.repeat(np.arange(len(n)), n)
-        c = count[places]
-        base = rows["base"].to_numpy() + np.bincount(doc, weights=np.log10(c + 0.5), minlength=len(n)) - rows["n_tokens"].to_numpy() * per_token
-        known = rows["n_known"].to_numpy() + np.bincount(doc, weights=c > 0, minlength=len(n)).astype(np.int64)
-        return pa.table([*[rows[c] for c in names], rows["n_tokens"], pa.array(known), pa.array(np.full(len(n), total, np.int64)), pa.array(base), rows["score"]], names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        each = [np.bincount(doc, weights=w[places], minlength=len(n)) for w in (np.where(is_word, worth, 0), np.where(is_word, 0, worth), is_word & there)]
+        out = [rows["n_tokens"], pa.array(rows["n_known"].to_numpy() + each[2].astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(rows["base"].to_numpy() + each[0]), pa.array(rows["score"].to_numpy() + each[1])]
+        return pa.table([*[rows[c] for c in names], *out], names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return scored.drop("lookups").groupBy("batch").cogroup(answers.groupBy("of")).applyInArrow(add, schema)
