@@ -7,9 +7,9 @@ is c / (t + d) in the longest context in which it was seen, times an escape d /
 t and d count the context's bytes and distinct bytes; after an escape, the bytes of the longer context are
 excluded. As a byte seen in a context was seen in all its suffixes, the escapes are a few numbers per context.
 
-The trie is a table, never one object: a string of bytes and all its longer contexts end in the same SHALLOW bytes,
-so the strings are dealt out by those, and each task makes the sub-tries below some of them; only the top of the
-trie, whose size the number of bytes bounds, goes to all. What comes back is a table of worths: of each byte string
+The trie is a table, never one object: all contexts of more than SHALLOW bytes that a byte string is looked up in end
+in the same bytes, so the strings are dealt out by those, and each task makes the sub-tries below some of them; only
+the top of the trie, whose size the number of bytes bounds, goes to all. What comes back is a table of worths: of each byte string
 in the corpus its probability, and of each training word its smoothed unigram count, for the score beside it. Of
 both, the commonest COMMON go to every worker, and the texts' rare ones are joined with the table.
 """
@@ -28,10 +28,10 @@ from .common import drop_staged, filled, hash_words, mix, partitions_for, split_
 
 #: Bytes of context.
 ORDER = 5
-#: The byte strings that share so many bytes before their last are in one task. The pairs of contexts of as many bytes
-#: and fewer are at most 256**3 * 257 / 256, and go to all tasks.
+#: The pairs of contexts of so many bytes and fewer go to all tasks: at most 256**3 of 16 bytes, from which those of the
+#: shorter ones follow. Byte strings whose contexts end in the same SHALLOW + 1 bytes are in one task.
 SHALLOW = 2
-#: Byte strings of a task that makes sub-tries, on average.
+#: Four times the byte strings of which the sub-tries are made at once, on average.
 TASK_STRINGS = 200_000
 #: Worths of byte strings, and of words, that go to every worker at most (16 bytes each); the others are joined.
 COMMON = 1 << 20
@@ -229,8 +229,8 @@ def byte_worths(grams: DataFrame, n_grams: int) -> DataFrame:
         model = ByteModel(items[m > 0], m[m > 0], shared.value)
         return pa.table([table["item"], pa.array(model.log_probability(items)), table["n"]], names=["item", "worth", "n"])
 
-    above = F.shiftright("item", 8).bitwiseAND((1 << 8 * SHALLOW) - 1)
-    n_tasks = partitions_for(spark, n_grams, TASK_STRINGS)
+    above = F.shiftright("item", 8).bitwiseAND((1 << 8 * (SHALLOW + 1)) - 1)
+    n_tasks = partitions_for(spark, 4 * n_grams, TASK_STRINGS)
     dealt = grams.withColumn("task", F.pmod(F.xxhash64(above), F.lit(n_tasks)))
     return dealt.groupBy("task").applyInArrow(run, "item long, worth double, n long")
 
