@@ -6,10 +6,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-#: Where a session names no shared folder (local runs and tests).
+#: Where a session on one machine names no shared folder (local runs and tests).
 LOCAL = "file:///tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's URI under spark.checkpoint.dir."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    """A new folder's URI under spark.checkpoint.dir. On a cluster that setting has to be there: a folder of each
+    machine's own would lose what the others write."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        base = LOCAL
+    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
