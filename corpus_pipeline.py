@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 from tidemark.llm.decontamination import find_benchmark
-from tidemark.llm.near_duplicates import text_groups
+from tidemark.llm.near_duplicates import digest, text_groups
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import keep_quality
 from tidemark.llm.repeats import remove_repeats
 
 END_ID = 2
-#: Hashes of (doc_id, text) to leave out that are broadcast (18 MB); more of them are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes of digests of (doc_id, text) to leave out that are broadcast at most, and of each; more are joined by a shuffle.
+BROADCAST_BYTES, ID_BYTES = 64 << 20, 64
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +31,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of linked texts stays: that with the least doc_id, rows without an id last. Texts
     without words keep all their rows. Rows of one doc_id with unlike texts are each judged by their own text; of
     repeated rows of one doc_id and text, one stays: that which sorts first by all its columns."""
-    named = docs.withColumn("__pair", F.xxhash64("doc_id", "text"))
-    groups = text_groups(docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("key")))
-    pairs = named.where("text is not null").groupBy("__pair").agg(F.min("doc_id").alias("id"), F.min(F.xxhash64("text")).alias("key"), F.count("*").alias("times"))
-    linked = pairs.join(groups.where("n_shingles > 0").select("key", "root"), "key").select("root", F.struct(F.col("id").isNull().alias("no_id"), "id", "__pair").alias("place"), "times")
+    named = docs.withColumn("__pair", digest(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "text")))
+    groups = text_groups(docs.select(F.col("doc_id").alias("id"), "text", digest(F.col("text")).alias("digest")))
+    ids = named.where("text is not null").select("__pair", "doc_id", digest(F.col("text")).alias("digest"))
+    pairs = ids.groupBy("__pair", "digest", F.col("doc_id").alias("id")).agg(F.count("*").alias("times"))
+    linked = pairs.join(groups.where("n_shingles > 0").select("digest", "root"), "digest").select("root", F.struct(F.col("id").isNull().alias("no_id"), "id", "__pair").alias("place"), "times")
     least = linked.groupBy("root").agg(F.min("place").alias("least"), F.sum("times").alias("rows")).where("rows > 1").drop("rows")
     many = linked.join(least, "root").select("place.__pair", (F.col("place.__pair") == F.col("least.__pair")).alias("stays"), "times")
     marked = staged(many.where("not stays or times > 1").drop("times"))
     n, n_repeated = marked.agg(F.count("*"), F.count_if("stays")).first()
-    if n <= BROADCAST_IDS:
+    if n * ID_BYTES <= BROADCAST_BYTES:
         marked = F.broadcast(marked)
     out = named.join(marked, "__pair", "left_anti").select(*docs.columns)
     if n_repeated:

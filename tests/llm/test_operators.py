@@ -257,10 +257,11 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.near_duplicate_groups(empty).count() == 0
 
 
-@pytest.mark.parametrize("region", [2_000_000, 900])
-def test_chains_of_near_copies(spark, monkeypatch, region):
-    """Chains, borderline pairs and a hot group, with regions whole and dealt out in parts."""
-    monkeypatch.setattr(near_duplicates, "REGION_SHINGLES", region)
+@pytest.mark.parametrize("points, rounds", [(256, 6), (12, 6), (12, 0)])
+def test_chains_of_near_copies(spark, monkeypatch, points, rounds):
+    """Chains, borderline pairs and a hot group, with regions whole, divided and met as pairs of parts."""
+    monkeypatch.setattr(near_duplicates, "TASK_POINTS", points)
+    monkeypatch.setattr(near_duplicates, "ROUNDS", rounds)
     r, rows = random.Random(8), []
     for g in range(6):
         w = prose(900 + g, 60).split()

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where staged tables go when the session names no shared folder (local runs and tests).
-LOCAL_SHARED = "file:///tmp/checkpoints"
+from ..sources.shared import shared_folder as shared_dir
 
 #: UTF-8 bytes of text that one in-memory slice holds (a longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
@@ -25,18 +21,20 @@ _LIBC = ctypes.CDLL(None)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI under spark.checkpoint.dir, or under LOCAL_SHARED where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+#: While it is on, Spark deletes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, *partition_by: str) -> DataFrame:
+def staged(df: DataFrame) -> DataFrame:
     """df, written as a table in the shared folder and read again: later stages neither recompute it
-    nor depend on the executors that made it. The path is kept in `.staged_at`."""
+    nor depend on the executors that made it, so its shuffle files go. The path is kept in `.staged_at`."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -49,15 +47,6 @@ def drop_staged(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what has been written and is no longer referred to. What the first
-    round of collection lets go of is only seen to be free in a second one."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def partitions_for(spark: SparkSession, n_bytes: int, target: int = 32 << 20) -> int:
     """Partitions of about `target` bytes each, never fewer than the session's default."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,13 +1,20 @@
 r"""Exact n-gram Jaccard self-join in metric space, and its connected groups.
 
-Jaccard distance is a metric. Texts are points: their sets of `n`-word shingles. Points that are near enough to
-be linked share a shingle of their prefixes (their rarest shingles, in an order all points share), so each
-shingle of a prefix names a pivot, the least point that has it there, and a point belongs to the regions of the
-pivots that its prefix names: points on a boundary belong to several. In a region the distances to the pivot are
-measured; points within the radius are linked to it, and by the triangle inequality another point can only be
-linked to those whose distance to the pivot differs from its own by the radius at most. Such a window is joined
-the same way, with a further pivot, until no point is left. Regions too large for a task are dealt out as pairs
-of parts, which meet each other once.
+Jaccard distance is a metric. Texts are points: their sets of `n`-word shingles. Nearly all pairs of texts are at
+distance 1, from each other and from any pivot, where neither Voronoi regions nor triangle windows tell points apart:
+all would be on every boundary. So the space first falls into the neighbourhoods of rare shingles, which is exact:
+points near enough to be linked share a shingle of their prefixes (their rarest shingles, in an order all points
+share). Each shingle of a prefix names a point that has it there, and the points that name the same one are a region.
+
+Regions join recursively. In one that is too large for a task, pivots are drawn and all points' distances to them
+measured, without the region ever meeting in one place. Points within the radius of a pivot are linked to it; those
+that these links connect are the region's core, within which no pair needs to meet. Where few points are left outside
+the core, parts of the core meet them. Otherwise each point goes to the Voronoi region of its nearest pivot, and by the
+triangle inequality also to every region q on whose boundary it is: only where its distance to q is at most that to its
+own pivot and twice the radius, and at most the radius more than that of q's farthest point, can it be linked to a
+point of q. Points that are far from all pivots, further than 1 - radius, are a region of their own. Regions that this
+does not divide try other pivots, and after ROUNDS rounds meet as pairs of parts: slower, and as exact. In a task, a
+region's points are joined by pivots, distances to them and triangle windows in the same way.
 
 Which shingles are rare is told by a sketch of counts over all texts. It is of a bounded size, and only the
 amount of work depends on it: any order that all points share gives the same links.
@@ -19,18 +26,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_windows, drop_staged, filled, hash_words, mix, release, rolling, split_words, staged, text_slices, word_ids
+from .common import doc_windows, drop_staged, filled, hash_words, mix, rolling, split_words, staged, text_slices, word_ids
 from .components import connected_components
 
 #: Bounds, in powers of two, of the cells of the sketch of counts; a cell is a byte in every worker.
 SKETCH_BITS = (16, 25)
 #: Cells in a row of the sketch.
 SKETCH_ROW = 1 << 16
-#: Shingles of a region that a task holds; larger regions are dealt out as pairs of parts.
-REGION_SHINGLES = 2_000_000
+#: Partial sums of the sketch that meet in the second of two steps, at most.
+SKETCH_TURNS = 256
+#: Points and shingles of a region that a task joins; larger ones are divided.
+TASK_POINTS, TASK_SHINGLES = 256, 2_000_000
+#: Pivots that are drawn in a region, and how often that is tried. Linked pivots are told by bits.
+PIVOTS, ROUNDS = 8, 6
+#: Distinct texts whose names, and bytes of pivots' sets that, are broadcast at most; more are joined by a shuffle.
+BROADCAST_TEXTS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,22 +86,32 @@ def count_sketch(texts: DataFrame, n: int) -> np.ndarray:
             if part.any():
                 yield pa.RecordBatch.from_pydict({"row": pa.array([k // SKETCH_ROW], pa.int32()), "counts": [press.compress(part.tobytes())]})
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH_ROW, np.int64)
+    def total(table: pa.Table, kind: str) -> np.ndarray:
+        out = np.zeros(SKETCH_ROW, np.int64)
         for c in table["counts"].to_pylist():
-            total += np.frombuffer(zstandard.decompress(c), np.uint8)
-        size = np.ceil(np.log2(total + 1)).astype(np.uint8)
-        return pa.table({"row": table["row"].slice(0, 1), "counts": pa.array([zstandard.ZstdCompressor(1).compress(size.tobytes())], pa.binary())})
+            out += np.frombuffer(zstandard.decompress(c), kind)
+        return out
+
+    def row(table: pa.Table, counts: np.ndarray) -> pa.Table:
+        return pa.table({"row": table["row"].slice(0, 1), "counts": pa.array([zstandard.ZstdCompressor(1).compress(counts.tobytes())], pa.binary())})
+
+    def part(table: pa.Table) -> pa.Table:
+        return row(table, np.minimum(total(table, "u1"), (1 << 32) - 1).astype("<u4"))
 
+    def add(table: pa.Table) -> pa.Table:
+        return row(table, np.ceil(np.log2(total(table, "<u4") + 1)).astype(np.uint8))
+
+    # In two steps, so that no task gets a row from every partition of the texts.
     schema = "row int, counts binary"
     out = np.zeros(cells, np.uint8)
-    for r in texts.mapInArrow(count, schema).groupBy("row").applyInArrow(add, schema).collect():
+    turns = texts.mapInArrow(count, schema).withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(SKETCH_TURNS)))
+    for r in turns.groupBy("row", "turn").applyInArrow(part, schema).groupBy("row").applyInArrow(add, schema).collect():
         out[r["row"] * SKETCH_ROW : (r["row"] + 1) * SKETCH_ROW] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.uint8)
     return out
 
 
 def prefixes(texts: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(key, n_shingles, prefix) for each row of texts (key, text)."""
+    """(digest, n_shingles, prefix) for each row of texts (digest, text)."""
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -105,9 +128,9 @@ def prefixes(texts: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Data
                 at += size
             flat = np.concatenate([*out, np.empty(0, np.uint64)]).view(np.int64)
             offsets = np.r_[0, np.cumsum(lens)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "n_shingles", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["digest", "n_shingles", "prefix"])
 
-    return texts.select("key", "text").mapInArrow(run, "key long, n_shingles long, prefix array<long>")
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, n_shingles long, prefix array<long>")
 
 
 class Region:
@@ -168,71 +191,201 @@ class Region:
 
 
 def region_members(points: DataFrame, percent: int) -> DataFrame:
-    """A staged table (pivot, key, n_shingles): the regions' points, those of their pivots aside. A shingle's points
-    are told apart by size: linked points are in the same class of sizes or in neighbouring ones, so each
-    class and the next together name a pivot of their own."""
+    """A staged table (cell, key, n_shingles) of the regions' points, each region named by one of its own. A shingle's
+    points are told apart by size: linked points are in the same class of sizes or in neighbouring ones, so each
+    class and the next together name a point of their own."""
     entries = points.where("n_shingles > 0").select("key", "n_shingles", F.explode("prefix").alias("shingle"))
     shared = entries.groupBy("shingle").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.count("*").alias("c"))
     unlike = (F.col("c") == 2) & (100 * F.col("low") < percent * F.col("high"))
     met = staged(entries.join(shared.where((F.col("a") != F.col("b")) & ~unlike).select("shingle"), "shingle"))
     size_class = F.floor(F.log("n_shingles") / float(np.log(101 / percent)))
     classed = met.select("shingle", "key", "n_shingles", F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
-    named = classed.groupBy("shingle", "sizes").agg(F.min("key").alias("pivot"), F.max("key").alias("other")).where("pivot <> other")
-    out = staged(classed.join(named.drop("other"), ["shingle", "sizes"]).where("key <> pivot").select("pivot", "key", "n_shingles").distinct())
+    named = classed.groupBy("shingle", "sizes").agg(F.min("key").alias("cell"), F.max("key").alias("other")).where("cell <> other")
+    out = staged(classed.join(named.drop("other"), ["shingle", "sizes"]).select("cell", "key", "n_shingles").distinct())
     drop_staged(met)
     return out
 
 
-def region_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) among the members (pivot, key, n_shingles) of all regions and their pivots."""
-    sizes = members.groupBy("pivot").agg(F.sum("n_shingles").alias("size"))
-    sizes = sizes.select("pivot", F.ceil(F.col("size") / REGION_SHINGLES).cast("int").alias("parts"))
-    dealt = members.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    # A region of one part is one task; one of several meets as pairs of parts, its pivot in all of them.
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pairs = dealt.select("pivot", "key", "parts", "part", other.alias("other"))
-    pairs = pairs.select("pivot", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).distinct()
-    every = pairs.select("pivot", "i", "j").distinct().select("pivot", F.col("pivot").alias("key"), "i", "j")
-    need = pairs.unionByName(every)
-    # Copies of a text are made one where they are read, before any meet.
-    one = texts.groupBy("key").agg(F.first("text").alias("text"))
-    dealt_texts = need.join(one, "key").select("pivot", "i", "j", "key", "text")
+def shingle_table(texts: DataFrame, names: DataFrame, n: int) -> DataFrame:
+    """A staged table (key, shingles) of the texts (digest, text) that names (digest, key) names, each once."""
+    n_names = names.count()
+    named = texts.join(F.broadcast(names) if n_names <= BROADCAST_TEXTS else names, "digest")
+    # Copies of a text are made one before its shingles are taken.
+    one = named.groupBy("key").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        for b in text_slices(batches, "text"):
+            values, sizes = shingle_sets(b.column("text"), n)
+            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], ["key", "shingles"])
+
+    return staged(one.mapInArrow(run, "key long, shingles array<long>"))
+
+
+def measured(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """A staged table: rows (cell, key, n_shingles, core) with `to`, what they are to each pivot of their cell: its key,
+    their distance, and whether they are linked. Pivots are drawn from points outside the core first."""
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("core", F.xxhash64(F.lit(turn), "key"), "key"))
+    drawn = rows.withColumn("place", place).where(F.col("place") <= PIVOTS).join(sets, "key")
+    pivots = drawn.groupBy("cell").agg(F.collect_list(F.struct("key", "n_shingles", "shingles")).alias("pivots"))
+    pivots = staged(pivots)
+    n_bytes = pivots.agg(F.sum(F.aggregate("pivots", F.lit(0), lambda a, p: a + F.size(p["shingles"]) * 8 + 64))).first()[0] or 0
+    both = F.transform("pivots", lambda p: F.struct(p["key"].alias("key"), p["n_shingles"].alias("size"), F.size(F.array_intersect("shingles", p["shingles"])).alias("both")))
+    to = F.transform(
+        both,
+        lambda p: F.struct(
+            p["key"].alias("key"),
+            (1 - p["both"] / (F.col("n_shingles") + p["size"] - p["both"])).alias("d"),
+            (100 * p["both"] >= percent * (F.col("n_shingles") + p["size"] - p["both"])).alias("linked"),
+        ),
+    )
+    met = rows.join(sets, "key").join(F.broadcast(pivots) if n_bytes <= BROADCAST_BYTES else pivots, "cell")
+    out = staged(met.select("cell", "key", "n_shingles", "core", to.alias("to")))
+    drop_staged(pivots)
+    return out
+
+
+def grown_cores(rows: DataFrame) -> DataFrame:
+    """(cell, pivots): the bits of the pivots in each cell's core, from measured rows with `bits` of linked pivots. Points
+    with the same bits are one row, at most 2 * 2**PIVOTS in a cell."""
+    alike = rows.where("core or bits > 0").groupBy("cell", "core", "bits").agg(F.count("*").alias("n"))
+
+    def run(table: pa.Table) -> pa.Table:
+        core, bits, n = (table[c].to_pylist() for c in ("core", "bits", "n"))
+
+        def closed(mask: int) -> int:
+            while (grown := mask | sum({1 << i for b in bits if b & mask for i in range(PIVOTS) if b >> i & 1})) != mask:
+                mask = grown
+            return mask
+
+        seed = 0
+        for c, b in zip(core, bits):
+            seed |= b if c else 0
+        # Without a core yet, the largest connected set of points is it.
+        best = closed(seed) if any(core) else max({closed(b) for b in bits}, key=lambda m: (sum(k for b, k in zip(bits, n) if b & m), m))
+        return pa.table({"cell": table["cell"].slice(0, 1), "pivots": pa.array([best], pa.int32())})
+
+    return alike.groupBy("cell").applyInArrow(run, "cell long, pivots int")
+
+
+def divided(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (cell, key, n_shingles, core) of the Voronoi regions of measured rows, boundary points in several; regions
+    that this does not divide stay as they are."""
+    radius = 1 - percent / 100 + 1e-9
+    nearest = F.array_min(F.transform("to", lambda p, i: F.struct(p["d"].alias("d"), i.alias("slot"))))
+    near = rows.withColumn("nearest", nearest)
+    is_far = F.col("nearest.d") >= 1 - radius
+    everywhere = near.select(
+        "cell", "key", "n_shingles", "core", "nearest", is_far.alias("far"),
+        F.explode(F.concat(F.filter(F.transform("to", lambda p, i: F.struct(i.alias("slot"), p["d"].alias("d"))), lambda p: p["d"] <= F.col("nearest.d") + 2 * radius), F.when(is_far, F.array(F.struct(F.lit(-1).alias("slot"), F.lit(0.0).alias("d")))).otherwise(F.array().cast("array<struct<slot:int,d:double>>")))).alias("at"),
+    )
+    home = near.where(~is_far).groupBy("cell", F.col("nearest.slot").alias("slot")).agg(F.max("nearest.d").alias("reach"))
+    child = F.xxhash64("cell", "at.slot")
+    placed = everywhere.withColumn("slot", F.col("at.slot")).join(home, ["cell", "slot"], "left").where((F.col("slot") < 0) | (F.col("at.d") <= F.col("reach") + radius))
+    placed = staged(placed.select("cell", "key", "n_shingles", "core", child.alias("child")))
+    sizes = placed.groupBy("cell", "child").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    whole = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    better = whole.join(sizes, "cell").where((4 * F.col("most") <= 3 * F.col("n")) & (F.col("all") <= 2 * F.col("n"))).select("cell")
+    split = placed.join(better, "cell", "left_semi").select(F.col("child").alias("cell"), "key", "n_shingles", "core")
+    out = staged(split.unionByName(rows.join(better, "cell", "left_anti").select("cell", "key", "n_shingles", "core")))
+    drop_staged(placed)
+    return out
+
+
+def task_rows(sized: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Of rows (cell, key, n_shingles, core, points, shingles, open): those that tasks join (cell, i, j, key), and a
+    condition for the others."""
+    fits = (F.col("points") <= TASK_POINTS) & (F.col("shingles") <= TASK_SHINGLES)
+    per_point = F.greatest(F.lit(1.0), F.col("shingles") / F.col("points") * TASK_POINTS / TASK_SHINGLES)
+    few_open = ~fits & (2 * F.col("open") * per_point <= TASK_POINTS) & (F.col("open") < F.col("points"))
+    parts = F.ceil(2 * per_point * F.col("points") / TASK_POINTS).cast("int")
+    part = F.pmod(F.xxhash64("key"), parts).cast("int")
+    every = F.sequence(F.lit(0), parts - 1)
+    whole = sized.where(fits).select("cell", F.lit(-1).alias("i"), F.lit(-1).alias("j"), "key")
+    # Parts of the core, each with all that is outside of it.
+    around = sized.where(few_open).select("cell", F.explode(F.when(F.col("core"), F.array(part)).otherwise(every)).alias("i"), F.lit(-1).alias("j"), "key")
+    out = whole.unionByName(around)
+    if last:
+        pairs = sized.where(~fits & ~few_open).select("cell", part.alias("part"), F.explode(every).alias("other"), "key")
+        out = out.unionByName(pairs.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key").distinct())
+    return out, ~fits & ~few_open
+
+
+def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A staged table of links (a, b) within the regions (cell, key, n_shingles): they connect all points that are
+    near enough."""
+    cells = members.withColumn("core", F.lit(False))
+    meet, links, tables = [], [], []
+    for turn in range(ROUNDS + 1):
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("points"), F.sum("n_shingles").alias("shingles"), F.count_if(~F.col("core")).alias("open"))
+        # A region that is all core has no pair left to be joined.
+        sized = cells.join(sizes.where("open > 0"), "cell")
+        ready, too_large = task_rows(sized, turn == ROUNDS)
+        meet.append(ready)
+        large = staged(sized.where(too_large).select("cell", "key", "n_shingles", "core"))
+        tables.append(large)
+        if turn == ROUNDS or large.isEmpty():
+            break
+        now = measured(large, sets, percent, turn)
+        links.append(now.select(F.col("key").alias("a"), F.explode(F.filter("to", lambda p: p["linked"])).alias("p")).select("a", F.col("p.key").alias("b")).where("a <> b"))
+        bits = F.aggregate(F.transform("to", lambda p, i: F.when(p["linked"], F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda a, b: a + b)
+        marked = now.withColumn("bits", bits)
+        core = F.col("core") | (F.col("bits").bitwiseAND(F.coalesce("pivots", F.lit(0))) != 0)
+        marked = marked.join(grown_cores(marked), "cell", "left").withColumn("core", core).select("cell", "key", "n_shingles", "core", "to")
+        cells = divided(staged_into(marked, tables), percent)
+        tables += [now, cells]
 
     def join(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_numpy()
-        flat, size = shingle_sets(table["text"].combine_chunks(), n)
-        region = Region(flat, size, percent)
-        pivot = int(np.flatnonzero(keys == table["pivot"][0].as_py())[0])
-        region.join(pivot)
+        keys, shingles = table["key"].to_numpy(), table["shingles"].combine_chunks()
+        region = Region(shingles.flatten().to_numpy(), pc.list_value_length(shingles).to_numpy(zero_copy_only=False).astype(np.int64), percent)
+        region.join(0)
         roots = np.array([region.root(i) for i in range(len(keys))])
         linked = np.flatnonzero(roots != np.arange(len(keys)))
         return pa.table({"a": pa.array(keys[linked]), "b": pa.array(keys[roots[linked]])})
 
-    return dealt_texts.groupBy("pivot", "i", "j").applyInArrow(join, "a long, b long")
+    rows = meet[0]
+    for more in meet[1:]:
+        rows = rows.unionByName(more)
+    found = rows.join(sets, "key").groupBy("cell", "i", "j").applyInArrow(join, "a long, b long")
+    for more in links:
+        found = found.unionByName(more)
+    out = staged(found)
+    for t in tables:
+        drop_staged(t)
+    return out
+
+
+def staged_into(df: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """A staged table, noted among those to be dropped."""
+    tables.append(staged(df))
+    return tables[-1]
 
 
 def text_groups(src: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """A staged table (key, root, component_id, n_shingles) of the distinct texts of src (id, text, key), where key is
-    the text's hash: linked texts have one root, and component_id is the least id of all rows with them."""
-    spark = src.sparkSession
-    texts = src.where("text is not null").select("key", "text")
-    points = staged(prefixes(texts, n, percent, count_sketch(texts, n)).dropDuplicates(["key"]))
-    release(spark)
+    """A staged table (digest, root, component_id, n_shingles) of the distinct texts of src (id, text, digest), where
+    digest is the text's: linked texts have one root, and component_id is the least id of all rows with them."""
+    texts = src.where("text is not null").select("digest", "text")
+    points = prefixes(texts, n, percent, count_sketch(texts, n)).dropDuplicates(["digest"])
+    points = staged(points.withColumn("key", F.monotonically_increasing_id()))
     members = region_members(points, percent)
-    release(spark)
-    links = staged(region_links(members, texts, n, percent))
-    release(spark)
+    sets = shingle_table(texts, points.select("digest", "key").join(members.select("key").distinct(), "key"), n)
+    links = region_links(members, sets, percent)
     roots = connected_components(links)
-    ids = src.groupBy("key").agg(F.min("id").alias("least"))
-    rooted = ids.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    ids = src.groupBy("digest").agg(F.min("id").alias("least"))
+    named = points.select("digest", "key", "n_shingles").join(ids, "digest")
+    rooted = named.join(roots, F.col("key") == F.col("node"), "left").select("digest", "n_shingles", "least", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = staged(rooted.join(least, "root").select("key", "root", "component_id").join(points.select("key", "n_shingles"), "key"))
-    for t in (points, members, links, roots):
+    groups = staged(rooted.join(least, "root").select("digest", "root", "component_id", "n_shingles"))
+    for t in (points, members, sets, links, roots):
         drop_staged(t)
-    release(spark)
     return groups
 
 
+def digest(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
 def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""id_col, n_shingles and component_id: the least id of the texts reachable by links, its own included.
 
@@ -241,11 +394,11 @@ def near_duplicate_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col
     one shingle. Texts without words, null texts among them, have no shingles and are linked with nothing.
     Equal texts are one point, so a group of copies costs one point however large; repeated rows and null ids
     give rows of their own, and a group in which all ids are null has a null component_id. Other columns are
-    not read. Shingles and texts are told apart by 64-bit hashes.
+    not read. Texts are told apart by their MD5, a text's shingles by 64-bit hashes.
     """
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("key"))
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), digest(docs[text_col]).alias("digest"))
     groups = text_groups(src, n, percent).drop("root")
-    out = src.select("id", "key", F.col("text").isNull().alias("empty")).join(groups, "key", "left")
+    out = src.select("id", "digest", F.col("text").isNull().alias("empty")).join(groups, "digest", "left")
     none = F.col("empty") | F.coalesce(F.col("n_shingles") == 0, F.lit(True))
     return out.select(
         F.col("id").alias(id_col),
