@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = named.where("text is not null").select("__pair", "doc_id", digest(F.col("text")).alias("digest"))
     pairs = ids.groupBy("__pair", "digest", F.col("doc_id").alias("id")).agg(F.count("*").alias("times"))
     linked = pairs.join(groups.where("n_shingles > 0").select("digest", "root"), "digest").select("root", F.struct(F.col("id").isNull().alias("no_id"), "id", "__pair").alias("place"), "times")
-    least = linked.groupBy("root").agg(F.min("place").alias("least"), F.sum("times").alias("rows")).where("rows > 1").drop("rows")
+    least = staged(linked.groupBy("root").agg(F.min("place").alias("least"), F.sum("times").alias("rows")).where("rows > 1").drop("rows"))
     many = linked.join(least, "root").select("place.__pair", (F.col("place.__pair") == F.col("least.__pair")).alias("stays"), "times")
     marked = staged(many.where("not stays or times > 1").drop("times"))
     n, n_repeated = marked.agg(F.count("*"), F.count_if("stays")).first()

@@ -21,15 +21,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         # Large star: every larger neighbour of a node goes to the node's least neighbour.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Staged, so that the rows of a node with very many links can be split in the join.
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         mid = staged(large)
+        drop_staged(least)
         # Small star: a node and its smaller neighbours go to the least of them.
-        least = mid.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(mid.groupBy("a").agg(F.min("b").alias("m")))
         small = mid.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         after = staged(small)
-        drop_staged(mid)
-        drop_staged(now)
+        for t in (mid, least, now):
+            drop_staged(t)
         now = after
         fresh = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if fresh == mark:

@@ -9,12 +9,13 @@ share). Each shingle of a prefix names a point that has it there, and the points
 Regions join recursively. In one that is too large for a task, pivots are drawn and all points' distances to them
 measured, without the region ever meeting in one place. Points within the radius of a pivot are linked to it; those
 that these links connect are the region's core, within which no pair needs to meet. Where few points are left outside
-the core, parts of the core meet them. Otherwise each point goes to the Voronoi region of its nearest pivot, and by the
+the core, parts of the core meet those. Otherwise each point goes to the Voronoi region of its nearest pivot, and by the
 triangle inequality also to every region q on whose boundary it is: only where its distance to q is at most that to its
 own pivot and twice the radius, and at most the radius more than that of q's farthest point, can it be linked to a
 point of q. Points that are far from all pivots, further than 1 - radius, are a region of their own. Regions that this
-does not divide try other pivots, and after ROUNDS rounds meet as pairs of parts: slower, and as exact. In a task, a
-region's points are joined by pivots, distances to them and triangle windows in the same way.
+does not divide try other pivots as long as the core grows by that; then parts of what is outside the core meet all
+other parts: slower, and as exact. In a task, a region's points are joined by pivots, distances to them and triangle
+windows in the same way.
 
 Which shingles are rare is told by a sketch of counts over all texts. It is of a bounded size, and only the
 amount of work depends on it: any order that all points share gives the same links.
@@ -42,6 +43,8 @@ SKETCH_TURNS = 256
 TASK_POINTS, TASK_SHINGLES = 256, 2_000_000
 #: Pivots that are drawn in a region, and how often that is tried. Linked pivots are told by bits.
 PIVOTS, ROUNDS = 8, 6
+#: The place, beside the pivots', of points that are far from all.
+FAR = -1
 #: Distinct texts whose names, and bytes of pivots' sets that, are broadcast at most; more are joined by a shuffle.
 BROADCAST_TEXTS, BROADCAST_BYTES = 500_000, 32 << 20
 
@@ -195,14 +198,18 @@ def region_members(points: DataFrame, percent: int) -> DataFrame:
     points are told apart by size: linked points are in the same class of sizes or in neighbouring ones, so each
     class and the next together name a point of their own."""
     entries = points.where("n_shingles > 0").select("key", "n_shingles", F.explode("prefix").alias("shingle"))
-    shared = entries.groupBy("shingle").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.count("*").alias("c"))
+    every = entries.groupBy("shingle").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.count("*").alias("c"))
     unlike = (F.col("c") == 2) & (100 * F.col("low") < percent * F.col("high"))
-    met = staged(entries.join(shared.where((F.col("a") != F.col("b")) & ~unlike).select("shingle"), "shingle"))
+    # What is joined is staged first: Spark can then split the rows of a shingle that very many points have.
+    shared = staged(every.where((F.col("a") != F.col("b")) & ~unlike).select("shingle"))
+    met = staged(entries.join(shared, "shingle"))
     size_class = F.floor(F.log("n_shingles") / float(np.log(101 / percent)))
     classed = met.select("shingle", "key", "n_shingles", F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
     named = classed.groupBy("shingle", "sizes").agg(F.min("key").alias("cell"), F.max("key").alias("other")).where("cell <> other")
-    out = staged(classed.join(named.drop("other"), ["shingle", "sizes"]).select("cell", "key", "n_shingles").distinct())
-    drop_staged(met)
+    named = staged(named.drop("other"))
+    out = staged(classed.join(named, ["shingle", "sizes"]).select("cell", "key", "n_shingles").distinct())
+    for t in (shared, met, named):
+        drop_staged(t)
     return out
 
 
@@ -269,71 +276,78 @@ def grown_cores(rows: DataFrame) -> DataFrame:
 
 
 def divided(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (cell, key, n_shingles, core) of the Voronoi regions of measured rows, boundary points in several; regions
-    that this does not divide stay as they are."""
+    """A staged table (cell, key, n_shingles, core, stuck) of the Voronoi regions of measured rows (with was_core),
+    boundary points in several. Regions that this does not divide stay as they are; they are stuck if their core has
+    not taken up a quarter of the points outside of it either."""
     radius = 1 - percent / 100 + 1e-9
     nearest = F.array_min(F.transform("to", lambda p, i: F.struct(p["d"].alias("d"), i.alias("slot"))))
-    near = rows.withColumn("nearest", nearest)
-    is_far = F.col("nearest.d") >= 1 - radius
-    everywhere = near.select(
-        "cell", "key", "n_shingles", "core", "nearest", is_far.alias("far"),
-        F.explode(F.concat(F.filter(F.transform("to", lambda p, i: F.struct(i.alias("slot"), p["d"].alias("d"))), lambda p: p["d"] <= F.col("nearest.d") + 2 * radius), F.when(is_far, F.array(F.struct(F.lit(-1).alias("slot"), F.lit(0.0).alias("d")))).otherwise(F.array().cast("array<struct<slot:int,d:double>>")))).alias("at"),
-    )
-    home = near.where(~is_far).groupBy("cell", F.col("nearest.slot").alias("slot")).agg(F.max("nearest.d").alias("reach"))
-    child = F.xxhash64("cell", "at.slot")
-    placed = everywhere.withColumn("slot", F.col("at.slot")).join(home, ["cell", "slot"], "left").where((F.col("slot") < 0) | (F.col("at.d") <= F.col("reach") + radius))
-    placed = staged(placed.select("cell", "key", "n_shingles", "core", child.alias("child")))
+    near = rows.withColumn("nearest", nearest).withColumn("far", F.col("nearest.d") >= 1 - radius)
+    slots = F.filter(F.transform("to", lambda p, i: F.struct(i.alias("slot"), p["d"].alias("d"))), lambda p: p["d"] <= F.col("nearest.d") + 2 * radius)
+    with_far = F.concat(slots, F.array(F.struct(F.lit(FAR).alias("slot"), F.lit(0.0).alias("d"))))
+    at = F.explode(F.when(F.col("far"), with_far).otherwise(slots)).alias("at")
+    everywhere = near.select("cell", "key", "n_shingles", "core", at).withColumn("slot", F.col("at.slot"))
+    home = near.where("not far").groupBy("cell", F.col("nearest.slot").alias("slot")).agg(F.max("nearest.d").alias("reach"))
+    placed = everywhere.join(home, ["cell", "slot"], "left").where((F.col("slot") == FAR) | (F.col("at.d") <= F.col("reach") + radius))
+    placed = staged(placed.select("cell", "key", "n_shingles", "core", F.xxhash64("cell", "slot").alias("child")))
     sizes = placed.groupBy("cell", "child").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
-    whole = rows.groupBy("cell").agg(F.count("*").alias("n"))
-    better = whole.join(sizes, "cell").where((4 * F.col("most") <= 3 * F.col("n")) & (F.col("all") <= 2 * F.col("n"))).select("cell")
-    split = placed.join(better, "cell", "left_semi").select(F.col("child").alias("cell"), "key", "n_shingles", "core")
-    out = staged(split.unionByName(rows.join(better, "cell", "left_anti").select("cell", "key", "n_shingles", "core")))
+    whole = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(~F.col("core")).alias("open"), F.count_if(~F.col("was_core")).alias("was_open"))
+    is_split = (4 * F.col("most") <= 3 * F.col("n")) & (F.col("all") <= 2 * F.col("n"))
+    kinds = staged(whole.join(sizes, "cell").select("cell", is_split.alias("split"), (4 * F.col("open") > 3 * F.col("was_open")).alias("stuck")))
+    split = placed.join(kinds.where("split"), "cell").select(F.col("child").alias("cell"), "key", "n_shingles", "core", F.lit(False).alias("stuck"))
+    kept = rows.join(kinds.where("not split"), "cell").select("cell", "key", "n_shingles", "core", "stuck")
+    out = staged(split.unionByName(kept))
     drop_staged(placed)
+    drop_staged(kinds)
     return out
 
 
-def task_rows(sized: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Of rows (cell, key, n_shingles, core, points, shingles, open): those that tasks join (cell, i, j, key), and a
-    condition for the others."""
-    fits = (F.col("points") <= TASK_POINTS) & (F.col("shingles") <= TASK_SHINGLES)
-    per_point = F.greatest(F.lit(1.0), F.col("shingles") / F.col("points") * TASK_POINTS / TASK_SHINGLES)
-    few_open = ~fits & (2 * F.col("open") * per_point <= TASK_POINTS) & (F.col("open") < F.col("points"))
-    parts = F.ceil(2 * per_point * F.col("points") / TASK_POINTS).cast("int")
-    part = F.pmod(F.xxhash64("key"), parts).cast("int")
-    every = F.sequence(F.lit(0), parts - 1)
-    whole = sized.where(fits).select("cell", F.lit(-1).alias("i"), F.lit(-1).alias("j"), "key")
-    # Parts of the core, each with all that is outside of it.
-    around = sized.where(few_open).select("cell", F.explode(F.when(F.col("core"), F.array(part)).otherwise(every)).alias("i"), F.lit(-1).alias("j"), "key")
-    out = whole.unionByName(around)
-    if last:
-        pairs = sized.where(~fits & ~few_open).select("cell", part.alias("part"), F.explode(every).alias("other"), "key")
-        out = out.unionByName(pairs.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key").distinct())
-    return out, ~fits & ~few_open
+def dealt(sized: DataFrame) -> DataFrame:
+    """(cell, i, j, key) for tasks that join all that is in cells (cell, key, core, points, shingles, open), save pairs
+    within a core: points outside the core are in parts 0 and up, the core in parts after those, and each part of the
+    first meets all others. A cell that fits a task is one part."""
+    # How many times as long as a task's points may be those of the cell are, if they are too long.
+    long = F.greatest(F.lit(1.0), F.col("shingles") / F.col("points") * TASK_POINTS / TASK_SHINGLES)
+    parts = lambda n: F.ceil(2 * long * n / TASK_POINTS).cast("int")
+    n_open = F.when(fits_a_task(), 1).otherwise(parts(F.col("open")))
+    n_all = F.when(fits_a_task(), 1).otherwise(parts(F.col("open")) + parts(F.col("points") - F.col("open")))
+    turn = F.xxhash64("key")
+    part = F.when(fits_a_task(), 0).when(F.col("core"), F.col("n_open") + F.pmod(turn, F.greatest(F.col("n_all") - F.col("n_open"), F.lit(1)))).otherwise(F.pmod(turn, F.col("n_open"))).cast("int")
+    placed = sized.withColumns({"n_open": n_open, "n_all": n_all}).withColumn("part", part)
+    others = F.sequence(F.lit(0), F.when(F.col("part") < F.col("n_open"), F.col("n_all")).otherwise(F.col("n_open")) - 1)
+    # A part meets itself where it meets any other.
+    others = F.when(F.col("n_all") > 1, F.filter(others, lambda o: o != F.col("part"))).otherwise(others)
+    met = placed.select("cell", "part", F.explode(others).alias("other"), "key")
+    return met.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "key")
+
+
+def fits_a_task() -> Column:
+    return (F.col("points") <= TASK_POINTS) & (F.col("shingles") <= TASK_SHINGLES)
 
 
 def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A staged table of links (a, b) within the regions (cell, key, n_shingles): they connect all points that are
     near enough."""
-    cells = members.withColumn("core", F.lit(False))
-    meet, links, tables = [], [], []
+    cells = members.withColumns({"core": F.lit(False), "stuck": F.lit(False)})
+    tasks, links, tables = [], [], []
     for turn in range(ROUNDS + 1):
         sizes = cells.groupBy("cell").agg(F.count("*").alias("points"), F.sum("n_shingles").alias("shingles"), F.count_if(~F.col("core")).alias("open"))
         # A region that is all core has no pair left to be joined.
-        sized = cells.join(sizes.where("open > 0"), "cell")
-        ready, too_large = task_rows(sized, turn == ROUNDS)
-        meet.append(ready)
-        large = staged(sized.where(too_large).select("cell", "key", "n_shingles", "core"))
-        tables.append(large)
-        if turn == ROUNDS or large.isEmpty():
+        sizes = staged(sizes.where("open > 0"))
+        sized = cells.join(sizes, "cell")
+        ready = fits_a_task() | F.col("stuck") | (2 * F.col("open") <= TASK_POINTS) | F.lit(turn == ROUNDS)
+        tasks.append(dealt(sized.where(ready)))
+        large = staged(sized.where(~ready).select("cell", "key", "n_shingles", "core"))
+        tables += [sizes, large]
+        if large.isEmpty():
             break
         now = measured(large, sets, percent, turn)
         links.append(now.select(F.col("key").alias("a"), F.explode(F.filter("to", lambda p: p["linked"])).alias("p")).select("a", F.col("p.key").alias("b")).where("a <> b"))
         bits = F.aggregate(F.transform("to", lambda p, i: F.when(p["linked"], F.pow(F.lit(2), i).cast("int")).otherwise(0)), F.lit(0), lambda a, b: a + b)
         marked = now.withColumn("bits", bits)
         core = F.col("core") | (F.col("bits").bitwiseAND(F.coalesce("pivots", F.lit(0))) != 0)
-        marked = marked.join(grown_cores(marked), "cell", "left").withColumn("core", core).select("cell", "key", "n_shingles", "core", "to")
-        cells = divided(staged_into(marked, tables), percent)
-        tables += [now, cells]
+        marked = staged(marked.join(staged_in(tables, grown_cores(marked)), "cell", "left").select("cell", "key", "n_shingles", F.col("core").alias("was_core"), core.alias("core"), "to"))
+        cells = divided(marked, percent)
+        tables += [now, marked, cells]
 
     def join(table: pa.Table) -> pa.Table:
         keys, shingles = table["key"].to_numpy(), table["shingles"].combine_chunks()
@@ -343,8 +357,8 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         linked = np.flatnonzero(roots != np.arange(len(keys)))
         return pa.table({"a": pa.array(keys[linked]), "b": pa.array(keys[roots[linked]])})
 
-    rows = meet[0]
-    for more in meet[1:]:
+    rows = tasks[0]
+    for more in tasks[1:]:
         rows = rows.unionByName(more)
     found = rows.join(sets, "key").groupBy("cell", "i", "j").applyInArrow(join, "a long, b long")
     for more in links:
@@ -355,7 +369,7 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return out
 
 
-def staged_into(df: DataFrame, tables: list[DataFrame]) -> DataFrame:
+def staged_in(tables: list[DataFrame], df: DataFrame) -> DataFrame:
     """A staged table, noted among those to be dropped."""
     tables.append(staged(df))
     return tables[-1]
@@ -374,9 +388,9 @@ def text_groups(src: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     ids = src.groupBy("digest").agg(F.min("id").alias("least"))
     named = points.select("digest", "key", "n_shingles").join(ids, "digest")
     rooted = named.join(roots, F.col("key") == F.col("node"), "left").select("digest", "n_shingles", "least", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     groups = staged(rooted.join(least, "root").select("digest", "root", "component_id", "n_shingles"))
-    for t in (points, members, sets, links, roots):
+    for t in (points, members, sets, links, roots, least):
         drop_staged(t)
     return groups
 
