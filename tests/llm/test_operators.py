@@ -370,24 +370,33 @@ def test_repeats(docs, empty, width):
         assert repeats.remove_repeats(empty).count() == 0
 
 
-def test_a_batch_sent_again_is_the_same(docs):
-    src = docs.select("text").where("text is not null")
-    sent = repeats.sent_windows(src, 3, 5)
-    once, again = ([tuple(r) for r in sent.collect()] for _ in range(2))
-    assert Counter(once) == Counter(again) and len({r[1] for r in once}) == src.rdd.getNumPartitions()
-    # A batch of which a bucket is missing, or that has no row of its own, is told and not taken for a whole one.
-    whole = pa.Table.from_pylist([dict(zip(("bucket", "batch", "kind", "gaps", "hashes", "keys"), r)) for r in once if r[1] == once[0][1]])
-    assert repeats.merged_spans(whole, 3).num_rows
-    own = whole["kind"].to_pylist().index(1 - whole.num_rows)
-    for k in (own, (own + 1) % whole.num_rows):
-        with pytest.raises(RuntimeError):
-            repeats.merged_spans(whole.take([i for i in range(whole.num_rows) if i != k]), 3)
-    assert repeats.united([([0, 50], [40, 60]), ([30, 90], [50, 95])]) == ([0, 90], [60, 95])
-
-
-def test_gaps():
-    for numbers in ([], [0], [0, 1, 70000, 70001], [5, 9]):
-        assert repeats.unpack_gaps(repeats.pack_gaps(np.array(numbers, np.int64))).tolist() == numbers
+def test_windows_of_equal_half_hashes_are_told_apart(docs, monkeypatch):
+    """Half of the hash bits forged to be the same for all words."""
+    src = docs.select("doc_id", "text")
+    want = bag(repeats.remove_repeats(src).collect(), "doc_id", "n_words", "n_removed", "kept")
+    honest = repeats.hash_words
+    for forged in (0, repeats.SEED):
+        monkeypatch.setattr(repeats, "hash_words", lambda v, seed=0, forged=forged: np.ones(len(v), np.uint64) if seed == forged else honest(v, seed))
+        assert bag(repeats.remove_repeats(src).collect(), "doc_id", "n_words", "n_removed", "kept") == want
+
+
+def test_repeats_within_a_text(spark):
+    """Runs of one word, of two, and passages that begin and end in repeated words."""
+    r = random.Random(12)
+    texts = [" ".join("a" for _ in range(n)) for n in (34, 35, 36, 90)] + ["u v " * 40, prose(1, 30) + " " + "y " * 36 + prose(2, 30)]
+    shared = prose(3, 50).split()
+    texts += [" ".join(prose(90 + k, r.randrange(5)).split() + shared[k % 7 : 36 + k] + prose(80 + k, 9).split()) for k in range(9)]
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    seen = Counter(tuple(w[k : k + 35]) for t in texts for w in [words(t)] for k in range(len(w) - 34))
+    for row in got:
+        w = words(texts[row["doc_id"]])
+        gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        assert row["kept"].encode().split() == [x for j, x in enumerate(w) if j not in gone] and row["n_removed"] == len(gone)
+
+
+def test_intervals():
+    assert repeats.merged([5, 1, 2, 11, 30], 4) == ([1, 11, 30], [9, 15, 34])
+    assert repeats.merged([0, 4, 8], 4) == ([0], [12])
 
 
 # -- 8 packing -----------------------------------------------------------------------------------------------

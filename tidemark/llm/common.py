@@ -108,10 +108,10 @@ def word_ids(words: pa.Array) -> tuple[np.ndarray, list[str]]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
-def hash_words(vocabulary: list[str]) -> np.ndarray:
-    """64-bit hashes, the same in every process."""
+def hash_words(vocabulary: list[str], seed: int = 0) -> np.ndarray:
+    """64-bit hashes, the same in every process; another seed gives others."""
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in vocabulary), np.uint64, len(vocabulary))
+    return np.fromiter((digest(w, seed) for w in vocabulary), np.uint64, len(vocabulary))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,12 +121,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def rolling(h: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hashes (mod 2**64) of every run of `width` numbers: sum of h[i+k] * MULT**(width-1-k)."""
+def rolling(h: np.ndarray, width: int, mult: np.uint64 = MULT) -> np.ndarray:
+    """Rabin-Karp hashes (mod 2**64) of every run of `width` numbers: sum of h[i+k] * mult**(width-1-k)."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    power, block, size = h.astype(np.uint64), MULT, 1
+    power, block, size = h.astype(np.uint64), mult, 1
     acc, done = None, 0
     with np.errstate(over="ignore"):
         # Low bits first: acc covers `done` numbers, the next block of `size` goes in front of it.
@@ -135,7 +135,7 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
             if rest & 1:
                 acc = power if acc is None else power[: len(acc) - size] * scale + acc[size:]  # noqa: F821
                 done += size
-                scale = MULT_POWER(done)
+                scale = np.uint64(pow(int(mult), done, 1 << 64))
             rest >>= 1
             if rest:
                 power = power[: len(power) - size] * block + power[size:]
@@ -143,10 +143,6 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     return acc[:n]
 
 
-def MULT_POWER(n: int) -> np.uint64:
-    return np.uint64(pow(int(MULT), n, 1 << 64))
-
-
 def doc_windows(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts, in the joined words, of the windows that lie within one text; and their texts."""
     per = np.maximum(counts - width + 1, 0)

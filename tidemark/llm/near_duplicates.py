@@ -40,7 +40,7 @@ SKETCH_ROW = 1 << 16
 #: Partial sums of the sketch that meet in the second of two steps, at most.
 SKETCH_TURNS = 256
 #: Points and shingles of a region that a task joins; larger ones are divided.
-TASK_POINTS, TASK_SHINGLES = 256, 2_000_000
+TASK_POINTS, TASK_SHINGLES = 128, 2_000_000
 #: Pivots that are drawn in a region, and how often that is tried. Linked pivots are told by bits.
 PIVOTS, ROUNDS = 8, 6
 #: The place, beside the pivots', of points that are far from all.

@@ -1,11 +1,14 @@
 r"""Removal of word sequences that are found more than once in a corpus.
 
-Every window of `width` consecutive words `[^\x20\x09-\x0D]+` has a 64-bit Rabin-Karp hash. A batch of
-documents sends each bucket of hashes one row: its distinct hashes there and the windows' numbers. Where a
-bucket meets, the hashes that two batches or more have sent are the repeated ones; the batches' windows with
-them, and those that a batch has found twice in itself, merge into maximal intervals of words per text. The
-intervals come back to the documents by the MD5 of the text: they depend on the text alone, since all windows
-of a text that is there twice are repeated.
+Every window of `width` consecutive words `[^\x20\x09-\x0D]+` has a Rabin-Karp hash of 128 bits, and the windows of
+the same hash are counted in Spark. Most need not be sent for that. Each window has an anchor: the least, by a hash, of
+the runs of about half as many words within it, the first of equal ones. Equal windows have equal anchors in the same
+place, and neighbouring windows mostly share theirs, so there are few anchors beside the windows. Anchors are counted
+first; a window whose anchor is found at one place only is unique. Of all others the hashes are counted, and those found
+twice or more merge into maximal intervals of words per text.
+
+A text that is there twice has all its windows repeated, so texts are told apart by their MD5, each is searched once
+however many copies it has, and the intervals come back to the documents by it.
 """
 
 from __future__ import annotations
@@ -15,140 +18,140 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_windows, filled, hash_words, mix, partitions_for, rolling, split_words, staged, text_slices, word_ids
+from .common import MULT, doc_windows, drop_staged, filled, hash_words, mix, rolling, split_words, staged, text_slices, word_ids
 
-#: Bytes of hashes and numbers that meet in a bucket, on average.
-BUCKET_BYTES = 24 << 20
-#: Bytes sent for each byte of text, about: ten for a word of six.
-SENT_PER_BYTE = 1.7
-
-#: Bytes of intervals that are broadcast at most.
+#: Bytes of intervals, or of anchors' places, that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
+#: The second half of a window's hash has words' hashes of another seed, and another multiplier.
+SEED, SECOND = 1, mix(np.array([MULT]))[0] | np.uint64(1)
+#: A text's MD5 as two numbers.
+NAME = ["d1", "d2"]
+SPANS = "d1 long, d2 long, whole boolean, starts array<int>, ends array<int>"
+
+
+def name_of(text: Column) -> list[Column]:
+    """The MD5 of a text, or of the empty one, as two numbers."""
+    both = F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    half = lambda at: F.conv(F.hex(F.substring(both, at, 8)), 16, -10).cast("long")
+    return [half(1).alias("d1"), half(9).alias("d2")]
+
+
+def anchors(ids: np.ndarray, vocabulary: list[str], counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window in order: its start among all words, its text, its anchor's place there and the anchor's hash."""
+    starts, doc = doc_windows(counts, width)
+    run = anchor_words(width)
+    h = mix(rolling(mix(hash_words(vocabulary))[ids], run))
+    if not len(starts):
+        return starts, doc, starts, np.empty(0, np.uint64)
+    # The least of the first 1, 2, 4, ... runs from each place on, the first of equal ones.
+    least, place, n, wanted = h, np.arange(len(h)), 1, width - run + 1
+    while n < wanted:
+        step = min(n, wanted - n)
+        later = least[step:] < least[:-step]
+        place = np.where(later, place[step:], place[:-step])
+        least = np.where(later, least[step:], least[:-step])
+        n += step
+    return starts, doc, place[starts], least[starts]
+
+
+def anchor_words(width: int) -> int:
+    """Words of an anchor in windows of `width` words."""
+    return min(width, (width + 5) // 2)
+
+
+def sent_anchors(texts: DataFrame, width: int) -> DataFrame:
+    """A staged table (h, d1, d2, place): the anchors of each text of texts (text), by their first word's place. Copies
+    of a text in one partition are sent once."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for b in text_slices(batches, "text"):
+            names = [hashlib.md5(t.encode()).digest() for t in filled(b.column(0)).to_pylist()]
+            fresh = np.array([not (n in seen or seen.add(n)) for n in names], bool)
+            words, counts = split_words(b.column(0).filter(pa.array(fresh)))
+            _, doc, place, h = anchors(*word_ids(words), counts, width)
+            new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.empty(0, int)
+            doc, place, h = doc[new], place[new], h[new]
+            name = np.frombuffer(b"".join(n for n, f in zip(names, fresh) if f), ">i8").reshape(-1, 2).astype(np.int64)
+            first = np.cumsum(counts) - counts
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name[doc, 0]), pa.array(name[doc, 1]), pa.array((place - first[doc]).astype(np.int32))], ["h", *NAME, "place"])
+
+    return staged(texts.mapInArrow(run, "h long, d1 long, d2 long, place int"))
+
+
+def shared_anchors(texts: DataFrame, width: int) -> DataFrame:
+    """A staged table (d1, d2, places): in each text the anchors that are also found at another place of any text."""
+    sent = sent_anchors(texts, width)
+    counted = sent.groupBy("h").agg(*[f(c).alias(f"{n}_{c}") for c in (*NAME, "place") for n, f in (("least", F.min), ("most", F.max))])
+    other = F.lit(False)
+    for c in (*NAME, "place"):
+        other |= F.col(f"least_{c}") != F.col(f"most_{c}")
+    # Staged, so that Spark can split the rows of an anchor that very many texts have.
+    shared = staged(counted.where(other).select("h"))
+    out = staged(sent.join(shared, "h").groupBy(*NAME).agg(F.collect_set("place").alias("places")))
+    drop_staged(sent)
+    drop_staged(shared)
+    return out
+
+
+def counted_windows(texts: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """A staged table (d1, d2, at): the repeated windows of each text, from texts (text) and their shared anchors."""
+    size = places.agg(F.sum(F.size("places") * 4 + 64)).first()[0] or 0
+    named = texts.select(*name_of(F.col("text")), "text")
+    met = named.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, NAME)
+    one = met.groupBy(*NAME).agg(F.first("text").alias("text"), F.first("places").alias("places"))
+
+    def run(batches):
+        for b in text_slices(batches, "text"):
+            words, counts = split_words(b.column("text"))
+            ids, vocabulary = word_ids(words)
+            starts, doc, place, _ = anchors(ids, vocabulary, counts, width)
+            first = np.cumsum(counts) - counts
+            listed = b.column("places")
+            known = np.zeros(len(ids) + 1, bool)
+            known[first[np.repeat(np.arange(len(counts)), pc.list_value_length(listed).to_numpy(zero_copy_only=False))] + listed.flatten().to_numpy()] = True
+            hit = known[place]
+            starts, doc = starts[hit], doc[hit]
+            w1 = mix(rolling(hash_words(vocabulary)[ids], width))[starts]
+            w2 = mix(rolling(hash_words(vocabulary, SEED)[ids], width, SECOND))[starts]
+            d1, d2 = (b.column(c).to_numpy()[doc] for c in NAME)
+            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(d1), pa.array(d2), pa.array((starts - first[doc]).astype(np.int32))], ["w1", "w2", *NAME, "at"])
+
+    windows = staged(one.mapInArrow(run, "w1 long, w2 long, d1 long, d2 long, at int"))
+    repeated = staged(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
+    out = staged(windows.join(repeated, ["w1", "w2"]).groupBy(*NAME).agg(F.collect_list("at").alias("at")))
+    drop_staged(windows)
+    drop_staged(repeated)
+    return out
+
 
-#: kind is 1 for a bucket's hashes and, for the batch's own row, the number of its buckets below zero.
-SENT = "bucket int, batch string, kind int, gaps binary, hashes binary, keys binary"
-SPANS = "key binary, starts array<int>, ends array<int>"
-
-
-def window_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows in order, and each text's number of words."""
-    words, counts = split_words(texts)
-    ids, vocabulary = word_ids(words)
-    at, _ = doc_windows(counts, width)
-    return (mix(rolling(hash_words(vocabulary)[ids], width)[at]) if len(at) else np.empty(0, np.uint64)), counts
-
-
-def pack_gaps(numbers: np.ndarray) -> bytes:
-    """Ascending numbers as gaps of 16 bits where all fit, else of 32; the first byte says which."""
-    gaps = np.diff(numbers, prepend=0)
-    small = not len(gaps) or gaps.max() < 1 << 16
-    return (b"\x02" if small else b"\x04") + gaps.astype("<u2" if small else "<u4").tobytes()
-
-
-def unpack_gaps(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, f"<u{data[0]}", offset=1), dtype=np.int64)
-
-
-def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n words some window from `starts` covers."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + width, -1)
-    return np.cumsum(edge)[:-1] > 0
-
-
-def sent_windows(src: DataFrame, width: int, n_buckets: int) -> DataFrame:
-    """What the batches of src (text) send. A batch is named by its place and its texts: a task that is run again
-    because its output was lost sends the same rows, so that they meet what others have read of it before."""
-
-    def send(batches):
-        part = TaskContext.get().partitionId()
-        for number, b in enumerate(text_slices(batches, "text")):
-            hashes, counts = window_hashes(b.column(0), width)
-            distinct, first, times = np.unique(hashes, return_index=True, return_counts=True)
-            twice = times[np.searchsorted(distinct, hashes)] > 1 if len(hashes) else np.empty(0, bool)
-            once = np.sort(first)
-            bucket = (hashes[once] >> np.uint64(33)).astype(np.int64) % n_buckets
-            order = np.argsort(bucket, kind="stable")
-            once, bucket = once[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(once) else np.zeros(1, int)
-            keys = b"".join(hashlib.md5(t.encode()).digest() for t in filled(b.column(0)).to_pylist())
-            name = hashlib.md5(f"{part} {number} ".encode() + keys).hexdigest()
-            # The batch's own row: its texts, their numbers of words and the windows it has found twice.
-            rows = [(int(name[:6], 16) % n_buckets, name, 1 - len(cuts), pack_gaps(np.flatnonzero(twice)), counts.astype("<i8").tobytes(), keys)]
-            rows += [(int(bucket[i]), name, 1, pack_gaps(once[i:j]), hashes[once[i:j]].astype("<u8").tobytes(), b"") for i, j in zip(cuts, cuts[1:])]
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "batch", "kind", "gaps", "hashes", "keys"])
-
-    return src.mapInArrow(send, SENT)
-
-
-def united(found: list[tuple[list[int], list[int]]]) -> tuple[list[int], list[int]]:
-    """Maximal intervals of the words that any of the lists (starts, ends) covers."""
-    starts, ends = [], []
-    for a, z in sorted((a, z) for s, e in found for a, z in zip(s, e)):
-        if ends and a <= ends[-1]:
-            ends[-1] = max(ends[-1], z)
-        else:
-            starts.append(a)
-            ends.append(z)
-    return starts, ends
-
-
-def merged_spans(table: pa.Table, width: int) -> pa.Table:
-    """The repeated intervals of one batch's texts, from all it has sent."""
-    kind = table["kind"].to_numpy()
-    own = int(kind.argmin())
-    if (kind < 1).sum() != 1 or (kind > 0).sum() != -kind[own]:
-        raise RuntimeError("not all windows of a batch have met: docs did not give the same rows when it was read again")
-    counts = np.frombuffer(table["hashes"][own].as_py(), "<i8")
-    keys = table["keys"][own].as_py()
-    starts, _ = doc_windows(counts, width)
-    numbers = np.concatenate([unpack_gaps(g) for g in table["gaps"].to_pylist()])
-    gone = covered(starts[numbers], width, int(counts.sum())) if len(numbers) else np.zeros(int(counts.sum()), bool)
-    first = np.cumsum(counts) - counts
-    found = {}
-    for d in np.flatnonzero(np.add.reduceat(np.r_[gone, False], first) * (counts > 0)) if len(counts) else []:
-        flags = np.r_[False, gone[first[d] : first[d] + counts[d]], False]
-        edges = np.flatnonzero(flags[1:] != flags[:-1])
-        found[keys[16 * d : 16 * d + 16]] = (edges[::2].tolist(), edges[1::2].tolist())
-    return pa.table([pa.array(list(found), pa.binary()), pa.array([v[0] for v in found.values()], pa.list_(pa.int32())), pa.array([v[1] for v in found.values()], pa.list_(pa.int32()))], names=["key", "starts", "ends"])
+def merged(starts: list[int], width: int) -> tuple[list[int], list[int]]:
+    """Maximal intervals of the words that windows from `starts` cover."""
+    at = np.unique(np.array(starts, np.int64))
+    new = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + width])
+    return at[new].tolist(), (at[np.r_[new[1:] - 1, len(at) - 1]] + width).tolist()
 
 
 def repeated_spans(docs: DataFrame, width: int, text_col: str = "text") -> DataFrame:
-    """A staged table: the MD5 of each text with a repeated window, and its maximal intervals of words [from, to)."""
-    spark = docs.sparkSession
-    src = docs.select(docs[text_col].alias("text")).where("text is not null")
-    n_bytes = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = partitions_for(spark, int(n_bytes * SENT_PER_BYTE), BUCKET_BYTES)
-
-    def meet(table: pa.Table) -> pa.Table:
-        kind, gaps, data = (table[c].to_pylist() for c in ("kind", "gaps", "hashes"))
-        sent = [np.frombuffer(h, "<u8") for h, k in zip(data, kind) if k > 0]
-        joined = np.sort(np.concatenate([*sent, np.empty(0, np.uint64)]))
-        shared = np.unique(joined[1:][joined[1:] == joined[:-1]])
-        turn = 0
-        for row, k in enumerate(kind):
-            if k > 0:
-                at = np.minimum(np.searchsorted(shared, sent[turn]), max(len(shared) - 1, 0))
-                hit = shared[at] == sent[turn] if len(shared) else np.zeros(len(at), bool)
-                gaps[row], data[row] = pack_gaps(unpack_gaps(gaps[row])[hit]), b""
-                turn += 1
-        return pa.table([table["bucket"], table["batch"], table["kind"], pa.array(gaps, pa.binary()), pa.array(data, pa.binary()), table["keys"]], names=table.column_names)
-
-    def unite(batches):
+    """A staged table (d1, d2, whole, starts, ends): of each text with a repeated window its name, and the maximal
+    intervals of words [from, to); of a text that is there twice, that it is repeated as a whole."""
+    texts = docs.select(docs[text_col].alias("text")).where("text is not null")
+    places = shared_anchors(texts, width)
+    windows = counted_windows(texts, places, width)
+    copied = texts.select(*name_of(F.col("text"))).groupBy(*NAME).agg(F.count("*").alias("n")).where("n > 1")
+
+    def run(batches):
         for b in batches:
-            found = [united([(x["starts"], x["ends"]) for x in s]) if len(s) > 1 else (s[0]["starts"], s[0]["ends"]) for s in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))], ["key", "starts", "ends"])
+            whole = pc.fill_null(pc.greater(b.column("n"), 1), False)
+            found = [([], []) if w or at is None else merged(at, width) for w, at in zip(whole.to_pylist(), b.column("at").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in NAME), whole, *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))], [*NAME, "whole", "starts", "ends"])
 
-    met = sent_windows(src, width, n_buckets).groupBy("bucket").applyInArrow(meet, SENT)
-    spans = met.groupBy("batch").applyInArrow(lambda table: merged_spans(table, width), SPANS)
-    # Copies of a text in several batches have the same intervals.
-    out = staged(spans.groupBy("key").agg(F.collect_set(F.struct("starts", "ends")).alias("s")).mapInArrow(unite, SPANS))
+    out = staged(windows.join(copied, NAME, "full").select(*NAME, "n", "at").mapInArrow(run, SPANS))
+    drop_staged(places)
+    drop_staged(windows)
     return out
 
 
@@ -159,35 +162,40 @@ def remove_repeats(docs: DataFrame, width: int = 35, text_col: str = "text") ->
     Null and empty texts have no words and an empty `kept`; texts of fewer than `width` words lose none. Rows
     that are there twice have all windows repeated. Columns of docs may have any names: the four new ones
     follow them, and a column that has such a name already is passed on beside it by position. A window's
-    hash has 64 bits; unlike windows are taken for equal with a chance of 2**-64 a pair.
+    hash, and a text's MD5, has 128 bits.
     """
     names = [f"c{k}" for k in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     spans = repeated_spans(docs, width, text_col)
     src = docs.toDF(*names)
     # The intervals' bytes are known by now: few of them save a shuffle of all texts, many are joined by one.
-    size = spans.agg(F.sum(F.size("starts") * 8 + 24)).first()[0] or 0
+    size = spans.agg(F.sum(F.size("starts") * 8 + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
-    joined = src.withColumn("key", F.unhex(F.md5(names[at]))).join(spans, "key", "left").drop("key")
+    d1, d2 = name_of(src[names[at]])
+    joined = src.withColumns({"d1": d1, "d2": d2}).join(spans, NAME, "left").select(*names, "whole", "starts", "ends")
 
     def cut(batches):
         for b in text_slices(batches, names[at]):
             words, counts = split_words(b.column(at))
             n, first = int(counts.sum()), np.cumsum(counts) - counts
-            starts, ends = b.column(len(names)), b.column(len(names) + 1)
+            # A text that is there twice loses all its words, if it has a window at all.
+            whole = pc.fill_null(b.column(len(names)), False).to_numpy(zero_copy_only=False) & (counts >= width)
+            starts, ends = (c.to_pylist() for c in b.columns[len(names) + 1 :])
+            for d in np.flatnonzero(whole).tolist():
+                starts[d], ends[d] = [0], [int(counts[d])]
             edge = np.zeros(n + 1, np.int64)
-            has = np.flatnonzero(starts.is_valid().to_numpy(zero_copy_only=False))
-            for col, step in ((starts, 1), (ends, -1)):
-                for d, places in zip(has, col.drop_null().to_pylist()):
-                    edge[first[d] + np.array(places, np.int64)] += step
+            for d, (s, e) in enumerate(zip(starts, ends)):
+                if s:
+                    edge[first[d] + np.array(s, np.int64)] += 1
+                    edge[first[d] + np.array(e, np.int64)] -= 1
             keep = np.cumsum(edge)[:-1] == 0
             doc = np.repeat(np.arange(len(counts)), counts)
             left = np.bincount(doc[keep], minlength=len(counts))
             offsets = np.zeros(len(counts) + 1, np.int32)
             np.cumsum(left, out=offsets[1:])
             kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words.filter(pa.array(keep))), " ")
-            removed = pa.array([None if s is None else [{"from": a, "to": z} for a, z in zip(s, e)] for s, e in zip(starts.to_pylist(), ends.to_pylist())], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))
+            removed = pa.array([None if not s else [{"from": a, "to": z} for a, z in zip(s, e)] for s, e in zip(starts, ends)], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(counts), pa.array(counts - left), removed, kept], [*names, "n_words", "n_removed", "removed", "kept"])
 
     kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in names)
