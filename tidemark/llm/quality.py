@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, doc_windows, filled, mix, rolling, split_words, text_slices
+from .common import SLICE_BYTES, by_bytes, doc_windows, filled, mix, rolling, split_words, text_slices
 
 #: Bounds of the sample that orders the rules.
 SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 1000, 65_536
@@ -31,7 +31,7 @@ class Texts:
     def __init__(self, texts: pa.Array):
         self.texts = filled(texts)
         self.got: dict[str, np.ndarray] = {}
-        self.words_of: tuple[pa.Array, np.ndarray] | None = None
+        self.words_of: tuple[np.ndarray, pa.Array, np.ndarray] | None = None
 
     def __len__(self) -> int:
         return len(self.texts)
@@ -40,13 +40,22 @@ class Texts:
         out = Texts(self.texts.filter(pa.array(keep)))
         out.got = {k: v[keep] for k, v in self.got.items()}
         if self.words_of:
-            words, counts = self.words_of
-            out.words_of = words.filter(pa.array(np.repeat(keep, counts))), counts[keep]
+            ids, vocabulary, counts = self.words_of
+            out.words_of = ids[np.repeat(keep, counts)], vocabulary, counts[keep]
         return out
 
-    def words(self) -> tuple[pa.Array, np.ndarray]:
+    def copy(self) -> Texts:
+        """The same texts, with what has been computed so far."""
+        out = Texts(self.texts)
+        out.got, out.words_of = dict(self.got), self.words_of
+        return out
+
+    def words(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Each word's place among the distinct words, those, and each text's number of words."""
         if not self.words_of:
-            self.words_of = split_words(self.texts)
+            words, counts = split_words(self.texts)
+            coded = words.dictionary_encode()
+            self.words_of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, counts
         return self.words_of
 
     def __getitem__(self, name: str) -> np.ndarray:
@@ -55,17 +64,18 @@ class Texts:
         return self.got[name]
 
     def per_text(self, hits: np.ndarray) -> np.ndarray:
-        """Counts by text of hits among all words."""
-        counts = self.words()[1]
+        """Sums by text of hits, one for each word."""
+        counts = self.words()[2]
         return np.bincount(np.repeat(np.arange(len(counts)), counts), weights=hits, minlength=len(counts)).astype(np.int64)
 
 
 def n_words(t: Texts) -> np.ndarray:
-    return t.words()[1]
+    return t.words()[2]
 
 
 def word_chars(t: Texts) -> np.ndarray:
-    return t.per_text(pc.utf8_length(t.words()[0]).to_numpy(zero_copy_only=False))
+    ids, vocabulary, _ = t.words()
+    return t.per_text(pc.utf8_length(vocabulary).to_numpy(zero_copy_only=False)[ids])
 
 
 def n_symbols(t: Texts) -> np.ndarray:
@@ -104,11 +114,10 @@ def _lines(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 def n_repeat_words(t: Texts) -> np.ndarray:
     """Words in windows of REPEAT_WIDTH words that are found twice or more in their text."""
-    words, counts = t.words()
+    ids, _, counts = t.words()
     at, doc = doc_windows(counts, REPEAT_WIDTH)
     if not len(at):
         return np.zeros(len(counts), np.int64)
-    ids = words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
     key = rolling(mix(ids.astype(np.uint64) + np.uint64(1)), REPEAT_WIDTH)[at] ^ mix(doc.astype(np.uint64) + np.uint64(7))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
@@ -132,24 +141,23 @@ def n_repeat_words(t: Texts) -> np.ndarray:
 
 def n_shouted(t: Texts) -> np.ndarray:
     """Words of two or more ASCII capitals and no small ASCII letter."""
-    coded = t.words()[0].dictionary_encode()
-    loud = [sum(65 <= c <= 90 for c in w) > 1 and not any(97 <= c <= 122 for c in w) for w in map(str.encode, coded.dictionary.to_pylist())]
-    return t.per_text(np.array(loud, bool)[coded.indices.to_numpy(zero_copy_only=False)])
+    ids, vocabulary, _ = t.words()
+    loud = [sum(65 <= c <= 90 for c in w) > 1 and not any(97 <= c <= 122 for c in w) for w in map(str.encode, vocabulary.to_pylist())]
+    return t.per_text(np.array(loud, bool)[ids])
 
 
 def n_marks(t: Texts) -> np.ndarray:
     """Words without any ASCII letter or digit or character beyond ASCII."""
-    coded = t.words()[0].dictionary_encode()
-    bare = [not any(c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in w) for w in map(str.encode, coded.dictionary.to_pylist())]
-    return t.per_text(np.array(bare, bool)[coded.indices.to_numpy(zero_copy_only=False)])
+    ids, vocabulary, _ = t.words()
+    bare = [not any(c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in w) for w in map(str.encode, vocabulary.to_pylist())]
+    return t.per_text(np.array(bare, bool)[ids])
 
 
 def n_echoes(t: Texts) -> np.ndarray:
     """Words equal to the word before them in their text."""
-    words, counts = t.words()
-    if not len(words):
+    ids, _, counts = t.words()
+    if not len(ids):
         return np.zeros(len(counts), np.int64)
-    ids = words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(counts)), counts)
     return t.per_text(np.r_[False, (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])])
 
@@ -182,16 +190,23 @@ RULES = (
 )
 
 
-def order_rules(rules: tuple[Rule, ...], sample: pa.Array) -> tuple[Rule, ...]:
-    """Rules by rejection per cost on the sample, the greatest first; each is costed with all that it has to compute."""
-    if not len(sample):
-        return rules
-    worth = {}
-    for rule in rules:
-        texts, began = Texts(sample), time.thread_time()
-        share = float(np.mean(rule.rejects(texts)))
-        worth[rule.name] = share / max(time.thread_time() - began, 1e-6)
-    return tuple(sorted(rules, key=lambda r: (-worth[r.name], r.name)))
+def order_rules(rules: tuple[Rule, ...], sample: pa.Array, paid: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """Rules by rejection per cost on the sample: each time the greatest of those that are left, on the texts that the
+    rules before have left. What has been computed for a rule before, or is named in `paid`, costs nothing more."""
+    texts, left, out = Texts(sample), list(rules), []
+    for feature in paid:
+        texts[feature]
+    while left and len(texts):
+        worth = {}
+        for rule in left:
+            trial, began = texts.copy(), time.thread_time()
+            share = float(np.mean(rule.rejects(trial)))
+            worth[rule.name] = share / max(time.thread_time() - began, 1e-6)
+        best = min(left, key=lambda r: (-worth[r.name], r.name))
+        out.append(best)
+        left.remove(best)
+        texts = texts.take(~best.rejects(texts))
+    return (*out, *left)
 
 
 def cascade(texts: Texts, rules: tuple[Rule, ...]) -> list[str | None]:
@@ -209,8 +224,8 @@ def cascade(texts: Texts, rules: tuple[Rule, ...]) -> list[str | None]:
     return failed
 
 
-def ordered_for(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
-    """The rules in the order that a bounded sample of docs suggests."""
+def ordered_for(docs: DataFrame, text_col: str, rules: tuple[Rule, ...], paid: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """The rules in the order that a bounded sample of docs suggests, where the features in `paid` are there already."""
     src = docs.select(docs[text_col].alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
     rows = src.sample(min(1.0, 4 * SAMPLE_ROWS / max(docs.count(), 1)), seed=1).limit(SAMPLE_ROWS).collect()
     held, size = [], 0
@@ -219,7 +234,7 @@ def ordered_for(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> tupl
         if size > SLICE_BYTES:
             break
         held.append(r["text"])
-    return order_rules(rules, pa.array(held, pa.string()))
+    return order_rules(rules, pa.array(held, pa.string()), paid)
 
 
 def quality_report(docs: DataFrame, features: tuple[str, ...] = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +244,7 @@ def quality_report(docs: DataFrame, features: tuple[str, ...] = ("n_words", "wor
     Null and empty texts have no words and fail. Repeated rows and null ids give rows of their own. Other
     columns are not read. No shuffle.
     """
-    ordered = ordered_for(docs, text_col, rules)
+    ordered = ordered_for(docs, text_col, rules, features)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def run(batches):
@@ -242,7 +257,7 @@ def quality_report(docs: DataFrame, features: tuple[str, ...] = ("n_words", "wor
             yield pa.RecordBatch.from_arrays([b.column("id"), *found, pa.array(base), pa.array(failed, pa.string()), pa.array(kept)], [id_col, *features, "base_failed", "failed_rule", "kept"])
 
     fields = ", ".join(f"{f} long" for f in features)
-    return src.mapInArrow(run, f"`{id_col}` {src.schema['id'].dataType.simpleString()}, {fields}, base_failed boolean, failed_rule string, kept boolean")
+    return by_bytes(src).mapInArrow(run, f"`{id_col}` {src.schema['id'].dataType.simpleString()}, {fields}, base_failed boolean, failed_rule string, kept boolean")
 
 
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
@@ -256,4 +271,4 @@ def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
             yield b.filter(pa.array([f is None for f in cascade(Texts(b.column(at)), ordered)], pa.bool_()))
 
     src = docs.toDF(*names)
-    return src.mapInArrow(run, src.schema).toDF(*docs.columns)
+    return by_bytes(src).mapInArrow(run, src.schema).toDF(*docs.columns)
