@@ -15,6 +15,8 @@ from .common import shared_dir
 
 #: Bytes of records in a bucket, on average.
 BUCKET_BYTES = 4 << 20
+#: Buckets of a shard that one task writes, to one file.
+RUN = 4
 
 #: The buckets' bases are broadcast up to so many (24 bytes each), and joined by a shuffle beyond.
 BROADCAST_BUCKETS = 200_000
@@ -32,7 +34,8 @@ def shard_documents(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
     Columns: id_col, text_col, size (UTF-8 bytes of the text, null: none, plus 8), bucket, place (in the
     bucket), slot (gapless from 0 in each shard), shard, grown_shard (the shard if there were one more).
     Null ids share one shard; null and empty texts and repeated rows are records like others; an empty table
-    gives an empty one. Other columns are not read. The scatter hashes id, text and the record's place in
+    gives an empty one. Other columns are not read. Equal texts go where their keys go: a group of them spreads
+    over the shards, and those of one key share its shard. The scatter hashes id, text and the record's place in
     the input, so neither a hot key nor a group of equal records fills a bucket. The input must give the
     same rows again if it is read again (files or a staged table).
     """
@@ -51,9 +54,11 @@ def shard_documents(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
         rendezvous(F.col("id"), n_shards + 1, seed).alias("grown_shard"),
         scatter.alias("bucket"),
     )
-    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // 4)
-    buckets = records.repartition(n_tasks, "shard", "bucket").groupBy("shard", "bucket")
-    shuffled = buckets.agg(F.shuffle(F.collect_list(F.struct("id", "text", "grown_shard")), seed).alias("r"))
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // RUN)
+    records = records.withColumn("run", F.floor(F.col("bucket") / RUN))
+    buckets = records.repartition(n_tasks, "shard", "run").groupBy("shard", "run", "bucket")
+    # Sorted first, so that the seed decides the order alone and a task run again writes the same.
+    shuffled = buckets.agg(F.shuffle(F.sort_array(F.collect_list(F.struct("id", "text", "grown_shard"))), seed).alias("r"))
     placed = shuffled.select("shard", "bucket", F.posexplode("r").alias("place", "r"))
     out = placed.select(F.col("r.id").alias("id"), F.col("r.text").alias("text"), F.col("r.grown_shard").alias("grown_shard"), "bucket", "place", "shard")
     out.write.partitionBy("shard").parquet(uri)
