@@ -11,6 +11,7 @@ block of a bounded size whatever the benchmark's.
 from __future__ import annotations
 
 import pickle
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, ragged, shared_dir, text_slices
+from .common import by_bytes, filled, ragged, shared_dir, text_slices
 from .files import local_path, open_output
 
 #: UTF-8 bytes of benchmark text in a block of phrases (a longer item is a block of its own).
@@ -78,7 +79,7 @@ class WaveletTree:
         self.zeros: list[np.ndarray] = []  # zeros before each place
         for shift in range(self.bits - 1, -1, -1):
             one = (symbols >> shift) & 1
-            self.zeros.append(np.r_[0, np.cumsum(1 - one)])
+            self.zeros.append(np.r_[0, np.cumsum(1 - one)].astype(np.int32))
             symbols = np.r_[symbols[one == 0], symbols[one == 1]]
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -113,19 +114,20 @@ class FMIndex:
             if fresh[-1] == n - 1:
                 break
             step *= 2
-        self.text, self.bwt = text, text[order - 1]
+        self.size, self.bwt = n, text[order - 1].astype(np.int32)
         self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=n_symbols))]
         self.tree = WaveletTree(self.bwt, n_symbols)
         start = np.zeros(n, bool)
         start[np.r_[0, ends[:-1] + 1]] = True
+        #: Rows whose suffix positions are kept, how many of them stand before each row, and those positions.
         self.sampled = (order % SAMPLED == 0) | start[order]
-        self.position = np.where(self.sampled, order, -1)
-        run = np.repeat(np.arange(n_runs), sizes + 1)
-        self.place_of = np.arange(n) - run  # in the joined symbols
+        self.before_row = (np.cumsum(self.sampled) - self.sampled).astype(np.int32)
+        self.position = order[self.sampled].astype(np.int32)
+        self.ends = ends
 
     def search(self, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [from, to) of each pattern, given its symbols from the last to the first and then zeros."""
-        low, high = np.zeros(back.shape[1], np.int64), np.full(back.shape[1], len(self.text))
+        low, high = np.zeros(back.shape[1], np.int64), np.full(back.shape[1], self.size)
         alive = np.arange(back.shape[1])
         for row in back:
             alive = alive[(row[alive] > 0) & (low[alive] < high[alive])]
@@ -145,7 +147,8 @@ class FMIndex:
             rows[going] = self.before[c] + self.tree.rank(c, rows[going])
             steps[going] += 1
             going = going[~self.sampled[rows[going]]]
-        return self.place_of[self.position[rows] + steps]
+        at = self.position[self.before_row[rows]] + steps
+        return at - np.searchsorted(self.ends, at)  # in the joined symbols: without the separators before
 
 
 def occurrences(words: pa.Array, counts: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -171,25 +174,18 @@ def occurrences(words: pa.Array, counts: np.ndarray, phrases: Phrases) -> tuple[
 
 
 def write_phrases(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> list[str]:
-    """Blocks of phrases as files in the shared folder, read from the table one partition at a time."""
+    """Blocks of phrases as files in the shared folder, made by the tasks that read the table; their names."""
     uri = shared_dir(benchmark.sparkSession)
     rows = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("i"), benchmark[text_col].alias("t")).where("t is not null")
-    names, held, size = [], [], 0
 
-    def flush():
-        names.append(f"{uri}/phrases-{len(names):06d}")
-        with open_output(names[-1]) as f:
-            f.write(pickle.dumps(Phrases(held, width)))
+    def run(batches):
+        for b in text_slices(batches, "t", BLOCK_BYTES):
+            name = f"{uri}/phrases-{uuid.uuid4().hex}"
+            with open_output(name) as f:
+                f.write(pickle.dumps(Phrases(list(zip(*(c.to_pylist() for c in b.columns))), width)))
+            yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    for r in rows.toLocalIterator():
-        if held and size + len(r["t"]) > BLOCK_BYTES:
-            flush()
-            held, size = [], 0
-        held.append((r["i"], r["t"]))
-        size += len(r["t"].encode())
-    if held:
-        flush()
-    return names
+    return [r["name"] for r in by_bytes(rows).mapInArrow(run, "name string").collect()]
 
 
 @lru_cache(1)
@@ -248,5 +244,5 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_
             yield pa.RecordBatch.from_arrays([*b.columns, *out], [*names, "n_words", "n_hit", "item_ids", "spans", "contaminated"])
 
     kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in names)
-    out = src.mapInArrow(run, f"{kinds}, n_words long, n_hit long, item_ids array<string>, spans array<struct<from:int,to:int>>, contaminated boolean")
+    out = by_bytes(src).mapInArrow(run, f"{kinds}, n_words long, n_hit long, item_ids array<string>, spans array<struct<from:int,to:int>>, contaminated boolean")
     return out.toDF(*docs.columns, "n_words", "n_hit", "item_ids", "spans", "contaminated")
