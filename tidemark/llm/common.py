@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ from ..sources.shared import shared_folder as shared_dir
 #: UTF-8 bytes of text that one in-memory slice holds (a longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
 
+#: The bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _LIBC = ctypes.CDLL(None)
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -53,6 +57,15 @@ def partitions_for(spark: SparkSession, n_bytes: int, target: int = 32 << 20) ->
     return max(least, -(-n_bytes // target))
 
 
+def by_bytes(df: DataFrame) -> DataFrame:
+    """df; its session sends Python workers Arrow batches of at most SLICE_BYTES from now on, or fewer where it does
+    so already: a batch of a fixed number of long texts has no bound."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(BATCH_BYTES)) or 0) > SLICE_BYTES:
+        conf.set(BATCH_BYTES, str(SLICE_BYTES))
+    return df
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows as batches of at most `limit` bytes of text (or one row); small batches are joined."""
     held: list[pa.RecordBatch] = []

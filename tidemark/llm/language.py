@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filled, ragged, text_slices
+from .common import by_bytes, filled, ragged, text_slices
 
 #: Bounds of the labelled sample: at most so many texts per language and so many characters of each.
 SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 400, 20_000
@@ -192,4 +192,4 @@ def identify_language(docs: DataFrame, train: DataFrame, id_col: str = "doc_id",
             lang, score = model.value.predict(texts)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return src.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return by_bytes(src).mapInArrow(run, f"{kinds}, lang_pred string, score double")

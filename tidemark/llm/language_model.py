@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, filled, hash_words, mix, partitions_for, split_words, staged, text_slices, word_ids
+from .common import by_bytes, drop_staged, filled, hash_words, mix, partitions_for, split_words, staged, text_slices, word_ids
 
 #: Bytes of context.
 ORDER = 5
@@ -213,7 +213,7 @@ def count_corpus(texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    counts = texts.mapInArrow(run, "item long, n long, m long")
+    counts = by_bytes(texts).mapInArrow(run, "item long, n long, m long")
     return staged(counts.groupBy("item").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
 
 
@@ -303,7 +303,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
             out = [pa.array(n + 1), pa.array(known), pa.array(base), pa.array(score), pa.array([uuid.uuid4().hex] * len(n)), rare_of, pa.ListArray.from_arrays(pa.array(ends), pa.array(lookups))]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *out], [*names, "n_tokens", "n_known", "base", "score", "batch", "rare", "lookups"])
 
-    scored = staged(src.mapInArrow(first_pass, f"{kinds}, n_tokens long, n_known long, base double, score double, batch string, rare array<int>, lookups array<long>"))
+    scored = staged(by_bytes(src).mapInArrow(first_pass, f"{kinds}, n_tokens long, n_known long, base double, score double, batch string, rare array<int>, lookups array<long>"))
     asked = scored.where(F.size("lookups") > 0).select(F.col("batch").alias("of"), F.posexplode("lookups").alias("place", "item"))
     answers = asked.join(worths.select("item", "worth"), "item").select("of", "place", F.col("item") < 0, "worth").toDF("of", "place", "word", "worth")
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_windows, drop_staged, filled, hash_words, mix, rolling, split_words, staged, text_slices, word_ids
+from .common import by_bytes, doc_windows, drop_staged, filled, hash_words, mix, rolling, split_words, staged, text_slices, word_ids
 from .components import connected_components
 
 #: Bounds, in powers of two, of the cells of the sketch of counts; a cell is a byte in every worker.
@@ -107,7 +107,7 @@ def count_sketch(texts: DataFrame, n: int) -> np.ndarray:
     # In two steps, so that no task gets a row from every partition of the texts.
     schema = "row int, counts binary"
     out = np.zeros(cells, np.uint8)
-    turns = texts.mapInArrow(count, schema).withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(SKETCH_TURNS)))
+    turns = by_bytes(texts).mapInArrow(count, schema).withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(SKETCH_TURNS)))
     for r in turns.groupBy("row", "turn").applyInArrow(part, schema).groupBy("row").applyInArrow(add, schema).collect():
         out[r["row"] * SKETCH_ROW : (r["row"] + 1) * SKETCH_ROW] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.uint8)
     return out
@@ -133,7 +133,7 @@ def prefixes(texts: DataFrame, n: int, percent: int, sketch: np.ndarray) -> Data
             offsets = np.r_[0, np.cumsum(lens)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["digest", "n_shingles", "prefix"])
 
-    return texts.select("digest", "text").mapInArrow(run, "digest binary, n_shingles long, prefix array<long>")
+    return by_bytes(texts.select("digest", "text")).mapInArrow(run, "digest binary, n_shingles long, prefix array<long>")
 
 
 class Region:
@@ -226,7 +226,7 @@ def shingle_table(texts: DataFrame, names: DataFrame, n: int) -> DataFrame:
             offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], ["key", "shingles"])
 
-    return staged(one.mapInArrow(run, "key long, shingles array<long>"))
+    return staged(by_bytes(one).mapInArrow(run, "key long, shingles array<long>"))
 
 
 def measured(rows: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:

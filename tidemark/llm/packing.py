@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import by_bytes, text_slices
 from .tokenization import encode
 
 #: Documents that are packed together in one task.
@@ -117,8 +117,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: int = 1024
     Only documents of more than cap ids are cut; their first piece may be the shorter one. Returns a row per
     piece: id_col, piece, start, length, ids_crc32, sequence_id, offset and, if wanted, ids. Null and empty
     texts are pieces of one id; repeated rows and null ids are pieces of their own; an empty table gives no
-    rows. Other columns are not read. Documents are dealt in turn to groups of about GROUP_DOCS, each packed
-    in one task, so no group grows with the data; what that can cost is one underfull sequence a group.
+    rows. Other columns are not read. Pieces are dealt in turn to groups of about GROUP_DOCS documents', each packed
+    in one task, so no group grows with the data or with one text; what that can cost is one underfull sequence a group.
     """
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = src.schema["id"].dataType.simpleString()
@@ -144,7 +144,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: int = 1024
                     crc.append(zlib.crc32(view[4 * (base + at) : 4 * (base + at + step)]))
                     at, k, step = at + step, k + 1, cap
                 base += total
-            group = (turn + np.array(row, np.int64)) % n_groups
+            # A document's pieces go to groups in turn: only the first has to be packed, the others are full.
+            group = (turn + np.array(row, np.int64) + np.array(piece, np.int64)) % n_groups
             turn += len(n)
             out = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(group)]
             if with_ids:
@@ -158,6 +159,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: int = 1024
         table = table.append_column("sequence_id", pa.array(which + (group << 32))).append_column("offset", pa.array(offset)).drop_columns(["group"])
         return table.rename_columns([id_col if c == "id" else c for c in table.column_names])
 
-    pieces = src.mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, group long{ids_type}")
+    pieces = by_bytes(src).mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, group long{ids_type}")
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long{ids_type}, sequence_id long, offset long"
     return pieces.groupBy("group").applyInArrow(place, schema)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, doc_windows, drop_staged, filled, hash_words, mix, rolling, split_words, staged, text_slices, word_ids
+from .common import MULT, by_bytes, doc_windows, drop_staged, filled, hash_words, mix, rolling, split_words, staged, text_slices, word_ids
 
 #: Bytes of intervals, or of anchors' places, that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
@@ -79,7 +79,7 @@ def sent_anchors(texts: DataFrame, width: int) -> DataFrame:
             first = np.cumsum(counts) - counts
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(name[doc, 0]), pa.array(name[doc, 1]), pa.array((place - first[doc]).astype(np.int32))], ["h", *NAME, "place"])
 
-    return staged(texts.mapInArrow(run, "h long, d1 long, d2 long, place int"))
+    return staged(by_bytes(texts).mapInArrow(run, "h long, d1 long, d2 long, place int"))
 
 
 def shared_anchors(texts: DataFrame, width: int) -> DataFrame:
@@ -120,7 +120,7 @@ def counted_windows(texts: DataFrame, places: DataFrame, width: int) -> DataFram
             d1, d2 = (b.column(c).to_numpy()[doc] for c in NAME)
             yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(d1), pa.array(d2), pa.array((starts - first[doc]).astype(np.int32))], ["w1", "w2", *NAME, "at"])
 
-    windows = staged(one.mapInArrow(run, "w1 long, w2 long, d1 long, d2 long, at int"))
+    windows = staged(by_bytes(one).mapInArrow(run, "w1 long, w2 long, d1 long, d2 long, at int"))
     repeated = staged(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
     out = staged(windows.join(repeated, ["w1", "w2"]).groupBy(*NAME).agg(F.collect_list("at").alias("at")))
     drop_staged(windows)
@@ -199,5 +199,5 @@ def remove_repeats(docs: DataFrame, width: int = 35, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(counts), pa.array(counts - left), removed, kept], [*names, "n_words", "n_removed", "removed", "kept"])
 
     kinds = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in names)
-    out = joined.mapInArrow(cut, f"{kinds}, n_words long, n_removed long, removed array<struct<from:int,to:int>>, kept string")
+    out = by_bytes(joined).mapInArrow(cut, f"{kinds}, n_words long, n_removed long, removed array<struct<from:int,to:int>>, kept string")
     return out.toDF(*docs.columns, "n_words", "n_removed", "removed", "kept")

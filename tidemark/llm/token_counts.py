@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import by_bytes, text_slices
 from .tokenization import Pieces, texts_to_runs
 
 # Fixed values of byte-level BPE: the split pattern, and the visible stand-ins of the 256 bytes.
@@ -126,4 +126,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
             n = text_counts(b.column(1), tokenizer)
             yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return src.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return by_bytes(src).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

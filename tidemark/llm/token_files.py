@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, shared_dir, text_slices
+from .common import by_bytes, partitions_for, shared_dir, text_slices
 from .files import mapped, open_output
 from .tokenization import encode
 
@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, uri: str | N
             f.write(np.concatenate([head, ids, offsets]).astype("<i8").tobytes())
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "width": pa.array([width], pa.int32()), "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]})
 
-    ranged.mapInArrow(run, MANIFEST).write.parquet(f"{uri}/manifest")
+    by_bytes(ranged).mapInArrow(run, MANIFEST).write.parquet(f"{uri}/manifest")
     return uri
 
 
