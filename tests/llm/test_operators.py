@@ -131,28 +131,38 @@ def test_automaton_has_all_substrings_and_no_others():
         assert (state is not None) == (tuple(x) in inside)
 
 
-def test_phrases_are_the_greedy_parse():
-    samples = {"en": [prose(11, 80)], "de": [prose(12, 80) + " über schön"]}
+@pytest.mark.parametrize("cells", [8_000_000, 10])
+def test_phrases_are_the_greedy_parse(monkeypatch, cells):
+    """Of whole texts, longer than a block, with tables and with hash tables of moves, and more letters than a byte."""
+    monkeypatch.setattr(language, "TABLE_CELLS", cells)
+    r = random.Random(31)
+    han = [chr(0x4E00 + k) for k in range(400)]
+    samples = {"en": [prose(11, 80)], "de": [prose(12, 80) + " über schön"], "ja": ["".join(r.choices(han, k=900))]}
     parser = language.CrossParser(samples)
-    texts = [prose(13, 70), "Straße 日本", "x"]
+    texts = [prose(13, 370), "Straße 日本", "x", prose(11, 60), "a" * 700, samples["ja"][0][100:500] + "".join(r.choices(han, k=200)), prose(12, 50) + "ψω" + prose(11, 50), "", "1 2"]
     got, _ = parser.phrases(texts)
     for i, t in enumerate(texts):
         low = language.letters([t])[0].tolist()
         for k, lang in enumerate(parser.languages):
             text = language.letters(samples[lang])[0].tolist()
-            known = {c for s in samples.values() for c in language.letters(s)[0].tolist()}
-            source, n = ",".join(map(str, ["", *text, ""])), sum(c not in known for c in low)
-            for b in range(0, len(low), language.BLOCK):
-                n, phrase = n + 1, []
-                for c in low[b : b + language.BLOCK]:
-                    if c not in known:
-                        continue
-                    phrase.append(c)
-                    if "," + ",".join(map(str, phrase)) + "," not in source:
-                        n, phrase = n + 1, [c] if f",{c}," in source else []
+            known = {c for s in samples.values() for c in language.letters(s)[0].tolist()} | {0}
+            source, n, phrase = ",".join(map(str, ["", *text, ""])), sum(c not in known for c in low) + bool(low), []
+            for c in low:
+                if c not in known:
+                    continue
+                phrase.append(c)
+                if "," + ",".join(map(str, phrase)) + "," not in source:
+                    n, phrase = n + 1, [c] if f",{c}," in source else []
             assert got[i, k] == pytest.approx(n * parser.scale[k])
 
 
+def test_many_languages_are_learnt():
+    samples = {f"l{k:03d}": ["".join(chr(0x4E00 + 40 * k + (7 * i * i + i) % 40) for i in range(60))] for k in range(300)}
+    parser = language.CrossParser(samples)
+    got, _ = parser.predict([samples[x][0][5:50] for x in ("l000", "l123", "l299")])
+    assert got == ["l000", "l123", "l299"]
+
+
 def test_language_of_odd_texts(docs, empty):
     rows = language.identify_language(docs, docs, also=("lang",)).collect()
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["lang_pred"] in ("en", "de", "und") for r in rows)
@@ -522,11 +532,11 @@ def test_worths_are_found():
     r = np.random.default_rng(6)
     items = np.unique(np.r_[r.integers(-(1 << 63), 1 << 48, 3000), 0, 1, 2])
     values = r.random(len(items))
-    worths = language_model.Worths(items, values)
+    worths = common.Worths(items, values)
     got, known = worths(np.r_[items, items + 1])
     also = np.isin(items + 1, items)
     assert known.tolist() == [True] * len(items) + also.tolist() and got[: len(items)].tolist() == values.tolist()
-    assert not language_model.Worths(items[:0], values[:0])(items)[1].any()
+    assert not common.Worths(items[:0], values[:0])(items)[1].any()
 
 
 def test_all_contexts_are_kept(spark):

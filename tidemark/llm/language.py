@@ -2,8 +2,9 @@
 
 For each language a suffix automaton is built over labelled text. Parsing another text greedily into longest
 phrases that occur in that text counts phrases; the language whose normalised count (phrases times the log of
-its labelled text's length) is least wins. Texts are parsed in blocks of BLOCK characters, all blocks of a
-batch in step, so a parse is a few array operations per character place and not per character.
+its labelled text's length) is least wins. Texts are parsed whole, yet in blocks of BLOCK characters, all blocks of a
+batch in step: first as if a phrase began at each block, then again from the state in which the block before ends,
+until the parse meets the one that is there already, which it mostly does within a phrase or two.
 """
 
 from __future__ import annotations
@@ -15,18 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, filled, ragged, text_slices
+from .common import Worths, by_bytes, filled, ragged, text_slices
 
 #: Bounds of the labelled sample: at most so many texts per language and so many characters of each.
 SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 400, 20_000
-#: Characters of labelled text that a language's automaton holds at most; and the cells (4 bytes each) of all
-#: languages' tables together, to which many languages or symbols shorten it. More languages are an error.
-MODEL_CHARS, MODEL_CELLS = 32_000, 24_000_000
-MAX_LANGUAGES = 256
+#: Characters of labelled text that a language's automaton holds at most, and those of all languages together.
+MODEL_CHARS, ALL_CHARS = 32_000, 4_000_000
+#: Cells (4 bytes each) of a language's table of states by letters; a larger one is a hash table of the moves there are.
+TABLE_CELLS = 8_000_000
 BLOCK = 128
-#: Symbol classes: PAD ends a block, GAP is a run of anything but letters, then the commonest letters have
-#: classes of their own up to OWN, and all others share the rest by code point.
-PAD, GAP, OWN, CLASSES = 0, 1, 192, 256
+#: Symbols: PAD is none, GAP is a run of anything but letters, FOREIGN a letter that other languages have, and the
+#: language's own letters follow.
+PAD, GAP, FOREIGN, OWN = 0, 1, 2, 3
 
 
 @lru_cache(1)
@@ -81,38 +82,56 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
     return go
 
 
+class Moves:
+    """A language's automaton for many states in step. States are numbers; no move is -1."""
+
+    def __init__(self, low: np.ndarray):
+        self.letters = np.unique(low[low > 0])
+        go = automaton(self.symbols(low, np.zeros(0, bool)).tolist())
+        self.width = OWN + len(self.letters)
+        root = np.zeros(self.width, np.int32)
+        root[list(go[0])] = list(go[0].values())
+        root[PAD] = 0
+        self.root, self.table = root, None
+        if len(go) * self.width <= TABLE_CELLS:
+            self.table = np.full((len(go), self.width), -1, np.int32)
+            for s, moves in enumerate(go):
+                self.table[s, list(moves)] = list(moves.values())
+            self.table[:, PAD] = np.arange(len(go))
+            self.table = self.table.ravel()
+        else:
+            pairs = [(s * self.width + c, to) for s, moves in enumerate(go) for c, to in moves.items()]
+            self.found = Worths(np.array([p for p, _ in pairs], np.int64), np.array([to for _, to in pairs], np.float64))
+
+    def symbols(self, low: np.ndarray, foreign: np.ndarray) -> np.ndarray:
+        """Of lower-case letters (0 for a gap): the language's symbols; letters of no language are PAD."""
+        at = np.minimum(np.searchsorted(self.letters, low), max(len(self.letters) - 1, 0))
+        own = self.letters[at] == low if len(self.letters) else np.zeros(len(low), bool)
+        other = np.where(foreign, FOREIGN, PAD) if len(foreign) else PAD
+        return np.where(low == 0, GAP, np.where(own, at + OWN, other)).astype(np.int32)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase ended before the symbol."""
+        if self.table is not None:
+            to = self.table[state * self.width + symbol]
+        else:
+            worth, known = self.found(state.astype(np.int64) * self.width + symbol)
+            to = np.where(symbol == PAD, state, np.where(known, worth, -1)).astype(np.int32)
+        missed = to < 0
+        return np.where(missed, self.root[symbol], to), missed
+
+
 class CrossParser:
     """Automata of labelled text, one for each language."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        text = {lang: letters(texts)[0][:MODEL_CHARS] for lang, texts in sorted(samples.items())}
+        most = min(MODEL_CHARS, max(1, ALL_CHARS // max(len(samples), 1)))
+        text = {lang: letters(texts)[0][:most] for lang, texts in sorted(samples.items())}
         self.languages = list(text)
         joined = np.concatenate([*text.values(), np.empty(0, np.int32)])
-        seen, times = np.unique(joined[joined > 0], return_counts=True)
-        own = seen[np.argsort(-times, kind="stable")][: OWN - 2]
-        self.own = np.sort(own).astype(np.int32)
-        self.width = 2 + len(self.own) if len(seen) == len(self.own) else CLASSES
-        self.tables, self.roots, self.scale = [], [], []
-        # An automaton has at most twice as many states as characters.
-        most = max(1, MODEL_CELLS // (2 * self.width * max(len(text), 1)))
-        text = {lang: t[:most] for lang, t in text.items()}
-        for lang in self.languages:
-            go = automaton(self.classes(text[lang]).tolist())
-            table = np.full((len(go), self.width), -1, np.int32)
-            for s, moves in enumerate(go):
-                for c, to in moves.items():
-                    table[s, c] = to * self.width
-            root = np.maximum(table[0], 0)
-            table[:, PAD] = np.arange(len(go)) * self.width
-            self.tables.append(table.ravel())
-            self.roots.append(root)
-            self.scale.append(float(np.log2(len(text[lang]) + 2)))
-
-    def classes(self, low: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.own, low), max(len(self.own) - 1, 0))
-        known = self.own[at] == low if len(self.own) else np.zeros(len(low), bool)
-        other = OWN + low % (CLASSES - OWN) if self.width == CLASSES else PAD_UNKNOWN
-        return np.where(low == 0, GAP, np.where(known, at + 2, other))
+        self.known = np.unique(joined[joined > 0])
+        self.moves = [Moves(t) for t in text.values()]
+        self.scale = [float(np.log2(len(t) + 2)) for t in text.values()]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Normalised phrases by text and language, and which texts have a letter."""
@@ -122,24 +141,19 @@ class CrossParser:
         n_blocks = -(-sizes // BLOCK)
         first = np.cumsum(n_blocks) - n_blocks
         place = ragged(sizes)
-        kind = self.classes(low)
-        unknown = kind == PAD_UNKNOWN
-        grid = np.zeros((BLOCK, int(n_blocks.sum())), np.int32)
-        grid[place % BLOCK, first[doc] + place // BLOCK] = np.where(unknown, PAD, kind)
-        # A letter that no language has is a phrase of its own in all of them.
-        alone = np.bincount(doc[unknown], minlength=len(texts))
+        row, column = place % BLOCK, first[doc] + place // BLOCK
+        known = np.isin(low, self.known)
+        # A letter that no language has is a phrase of its own in all of them, and is passed over in the parse.
+        alone = np.bincount(doc[(low > 0) & ~known], minlength=len(texts))
         block_doc = np.repeat(np.arange(len(texts)), n_blocks)
+        follows = np.r_[block_doc[1:] == block_doc[:-1], np.zeros(min(len(block_doc), 1), bool)]
         out = np.empty((len(texts), len(self.languages)))
-        for k, (table, root) in enumerate(zip(self.tables, self.roots)):
-            state = np.zeros(grid.shape[1], np.int32)
-            count = np.ones(grid.shape[1], np.int32)
-            for row in grid:
-                to = table[state + row]
-                missed = to < 0
-                count += missed
-                np.copyto(to, root[row], where=missed)
-                state = to
-            out[:, k] = (np.bincount(block_doc, weights=count, minlength=len(texts)) + alone) * self.scale[k]
+        for k, moves in enumerate(self.moves):
+            grid = np.zeros((BLOCK, int(n_blocks.sum())), np.int32)
+            grid[row, column] = moves.symbols(low, known)
+            missed = parsed(moves, grid, follows)
+            # Each phrase but a text's last one ends where the next begins.
+            out[:, k] = (np.bincount(block_doc, weights=missed, minlength=len(texts)) + (sizes > 0) + alone) * self.scale[k]
         return out, lettered
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -151,7 +165,30 @@ class CrossParser:
         return [self.languages[b] if ok else "und" for b, ok in zip(best, lettered)], np.where(lettered, score, 0.0)
 
 
-PAD_UNKNOWN = -1
+def parsed(moves: Moves, grid: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Phrases that end within each column of grid, where a column is parsed on from the one before if that follows."""
+    states, ends = np.empty(grid.shape, np.int32), np.empty(grid.shape, bool)
+    state = np.zeros(grid.shape[1], np.int32)
+    for row, symbol in enumerate(grid):
+        state, ends[row] = moves(state, symbol)
+        states[row] = state
+    # Columns whose first state is another than they were parsed from.
+    before = np.flatnonzero(follows)
+    again = before[states[-1, before] != 0] + 1 if len(grid) else before
+    state = states[-1, again - 1]
+    while len(again):
+        last, left, now = states[-1, again].copy(), np.arange(len(again)), state
+        for row in range(len(grid)):
+            at = again[left]
+            now, ends[row, at] = moves(now, grid[row, at])
+            apart = states[row, at] != now
+            states[row, at] = now
+            left, now = left[apart], now[apart]
+            if not len(left):
+                break
+        changed = again[left][follows[again[left]] & (states[-1, again[left]] != last[left])]
+        again, state = changed + 1, states[-1, changed]
+    return ends.sum(axis=0)
 
 
 def labelled_sample(train: DataFrame, lang_col: str, text_col: str) -> dict[str, list[str]]:
@@ -163,8 +200,6 @@ def labelled_sample(train: DataFrame, lang_col: str, text_col: str) -> dict[str,
     # Copies are one key before any is left out, and each partition sends the window its least keys only.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 40)), "key"))
     least = keyed.select("lang", "key").distinct().withColumn("k", rank).where(F.col("k") <= SAMPLE_TEXTS)
-    if len(least.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     piece = F.when(F.length("text") > SAMPLE_TEXT_CHARS, F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, SAMPLE_TEXT_CHARS)).otherwise(F.col("text"))
     chosen = keyed.join(F.broadcast(least), ["lang", "key"]).select("lang", "k", piece.alias("text")).distinct()
     out: dict[str, list[str]] = {}

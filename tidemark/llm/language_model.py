@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, drop_staged, filled, hash_words, mix, partitions_for, split_words, staged, text_slices, word_ids
+from .common import Worths, by_bytes, drop_staged, filled, hash_words, partitions_for, split_words, staged, text_slices, word_ids
 
 #: Bytes of context.
 ORDER = 5
@@ -88,43 +88,6 @@ def summed(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
 
 
-class Worths:
-    """Numbers for items: a hash table in two arrays, read for a whole batch in step."""
-
-    FREE = np.iinfo(np.int64).max
-
-    def __init__(self, items: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, (2 * len(items)).bit_length()))
-        size = 1 << (64 - int(self.shift))
-        self.items, self.values = np.full(size, self.FREE), np.zeros(size)
-        at, left = self.home(items), np.arange(len(items))
-        while len(left):
-            free = left[self.items[at[left]] == self.FREE]
-            self.items[at[free]] = items[free]  # of several for one place the last stays
-            stays = self.items[at[left]] == items[left]
-            self.values[at[left[stays]]] = values[left[stays]]
-            left = left[~stays]
-            at[left] = (at[left] + 1) & (size - 1)
-
-    def home(self, items: np.ndarray) -> np.ndarray:
-        return (mix(items.view(np.uint64)) >> self.shift).astype(np.int64)
-
-    def __call__(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The items' numbers (0 for others), and which items are there."""
-        out, known = np.zeros(len(items)), np.zeros(len(items), bool)
-        at, left = self.home(items), None
-        while left is None or len(left):
-            here = at if left is None else at[left]
-            held, want = self.items[here], items if left is None else items[left]
-            hit, going = held == want, (held != want) & (held != self.FREE)
-            if left is None:
-                out[hit], known[hit], left = self.values[here[hit]], True, np.flatnonzero(going)
-            else:
-                out[left[hit]], known[left[hit]], left = self.values[here[hit]], True, left[going]
-            at[left] = (at[left] + 1) & (len(self.items) - 1)
-        return out, known
-
-
 class ByteModel:
     """A trie as sorted arrays: for each depth the (context, byte) pairs seen and the contexts, with what scoring
     takes of each. A row is a pair that was seen, so the model is as large as the trie and not as an alphabet.
