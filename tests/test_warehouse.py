@@ -38,7 +38,7 @@ DEPTH = """timestamp,percentage,depth,notional
 
 @pytest.fixture
 def house(spark, tmp_path):
-    return Warehouse(spark, tmp_path / "house")
+    return Warehouse(spark, tmp_path / "house", [tmp_path])
 
 
 def put(house, tmp_path, text, profile, name="in.csv", **labels):
@@ -168,7 +168,7 @@ def test_generic_csv_zip_and_parquet(house, spark, tmp_path):
     with pytest.raises(InvalidArgument, match="2 CSV"):
         house.import_file(tmp_path / "two.zip", "trades", dataset="trades", source="t2", market="spot", symbol="BTCUSDT")
     assert house.import_file(tmp_path / "two.zip", "trades", dataset="trades", source="t3", market="spot", symbol="BTCUSDT", zip_entry="y.csv")["row_count"] == 2
-    assert house.import_file(path, "parquet", dataset="copy", source="t", data_root=tmp_path)["row_count"] == 1
+    assert house.import_file(path, "parquet", dataset="copy", source="t")["row_count"] == 1
 
 
 @pytest.mark.parametrize(
@@ -183,6 +183,8 @@ def test_generic_csv_zip_and_parquet(house, spark, tmp_path):
         lambda h: h.query_trades("trades", "spot", "BTCUSDT", min_price=2, max_price=1),
         lambda h: h.query_trades("trades", "spot", "BTCUSDT", min_notional=float("nan")),
         lambda h: h.query_trades("trades", "spot", "BTCUSDT", limit=0),
+        lambda h: h.query_trades("trades", "spot", "BTCUSDT", limit=5001),
+        lambda h: h.query_series("metrics", "BTCUSDT", bucket_seconds=86401),
         lambda h: h.query_series("metrics", "BTCUSDT", percentage=1.0),
         lambda h: h.query_series("bookdepth", "BTCUSDT", percentage=float("inf")),
         lambda h: h.query_series("metrics", "BTCUSDT", bucket_seconds=0),
@@ -201,7 +203,9 @@ def test_bad_arguments_are_refused(house, call):
 
 
 def test_nothing_imported_gives_nothing(house):
-    assert house.query_trades("trades", "spot", "BTCUSDT") is None
+    for df in (house.query_trades("trades", "spot", "BTCUSDT"), house.query_trades("aggtrades", "um", "BTCUSDT", bucket_seconds=60), house.query_series("metrics", "BTCUSDT"), house.query_candles("klines", "BTCUSDT", "1h")):
+        assert df.columns and df.count() == 0
+    assert house.list_datasets().count() == house.list_files().count() == 0
     assert house.data_range("trades", "BTCUSDT", "spot")["row_count"] == 0
     assert house.coverage("trades")["covered_day_count"] == 0
     assert house.status()["file_count"] == 0

@@ -6,8 +6,9 @@ import re
 from decimal import Context, Decimal
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 MAX_EXPONENT = 64
 _NUMBER = re.compile(r"-?\d+(\.\d+)?([eE][+-]?\d+)?")
@@ -46,7 +47,6 @@ def add_decimals(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else add(x, y) for x, y in zip(a, b)], dtype=object)
 
 
-@F.pandas_udf(BooleanType())
-def is_zero(a: pd.Series) -> pd.Series:
-    """Whether a number is exactly 0; null for null."""
-    return pd.Series([None if x is None else parse(x)[0] == 0 for x in a], dtype=object)
+def is_zero(number: Column | str) -> Column:
+    """Whether a decimal text is exactly 0: all digits before an exponent are zeros. Null for null."""
+    return (F.col(number) if isinstance(number, str) else number).rlike(r"^-?0+(\.0+)?([eE].*)?$")

@@ -1,6 +1,7 @@
 """Technical indicators as folds over an array of candles in time order (structs with high, low, close).
 
-Each gives the latest value, or null where the input is too short.
+Each gives the latest value, or null where the input is too short. RSI, MACD, Bollinger bands and ATR have eight
+decimals; the averages have all.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expressions import round8
+
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -53,7 +56,7 @@ def rsi(values: Column, n: int) -> Column:
     gain = wilder(F.transform(steps, lambda d: F.greatest(d, F.lit(0.0))), n)
     loss = wilder(F.transform(steps, lambda d: F.greatest(-d, F.lit(0.0))), n)
     value = F.when((gain == 0) & (loss == 0), 50.0).when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))))
-    return F.when(F.size(values) >= n + 1, value)
+    return F.when(F.size(values) >= n + 1, round8(value))
 
 
 def macd(values: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
@@ -74,7 +77,7 @@ def macd(values: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Col
 
     def end(a: Column) -> Column:
         line = a["f"] - a["s"]
-        return F.struct(line.alias("line"), a["g"].alias("signal"), (line - a["g"]).alias("histogram"))
+        return F.struct(round8(line).alias("line"), round8(a["g"]).alias("signal"), round8(line - a["g"]).alias("histogram"))
 
     return F.when(F.size(values) >= slow + signal - 1, F.aggregate(_rest(values, slow), start, step, end))
 
@@ -84,7 +87,7 @@ def bollinger(values: Column, n: int = 20, width: float = 2.0) -> Column:
     last = _last(values, n)
     mean = _mean(last, n)
     deviation = F.sqrt(F.aggregate(last, F.struct(F.lit(0.0).alias("q"), mean.alias("m")), lambda a, x: F.struct((a["q"] + (x - a["m"]) * (x - a["m"])).alias("q"), a["m"].alias("m")))["q"] / n)
-    return F.when(F.size(values) >= n, F.struct((mean + width * deviation).alias("upper"), mean.alias("middle"), (mean - width * deviation).alias("lower")))
+    return F.when(F.size(values) >= n, F.struct(round8(mean + width * deviation).alias("upper"), round8(mean).alias("middle"), round8(mean - width * deviation).alias("lower")))
 
 
 def atr(candles: Column, n: int) -> Column:
@@ -93,7 +96,7 @@ def atr(candles: Column, n: int) -> Column:
         _pairs(candles),
         lambda p: F.greatest(p["now"]["high"] - p["now"]["low"], F.abs(p["now"]["high"] - p["before"]["close"]), F.abs(p["now"]["low"] - p["before"]["close"])),
     )
-    return F.when(F.size(candles) >= n + 1, wilder(ranges, n))
+    return F.when(F.size(candles) >= n + 1, round8(wilder(ranges, n)))
 
 
 #: Candles that each indicator needs.

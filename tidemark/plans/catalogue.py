@@ -362,7 +362,7 @@ ATR = """SELECT market, symbol, 15 AS i, avg(tr) AS v FROM steps WHERE i <= 15 G
 RSI_VALUE = "SELECT market, symbol, CASE WHEN g = 0 AND l = 0 THEN 50 WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END AS rsi14 FROM (SELECT market, symbol, arg_max(g, i) AS g, arg_max(l, i) AS l FROM r GROUP BY market, symbol) AS x"
 
 
-@register("i3_rsi14", _indicator_sql(RSI_VALUE, {"steps": STEPS, "r": RSI}), "rsi14")
+@register("i3_rsi14", _indicator_sql(RSI_VALUE, {"steps": STEPS, "r": RSI}), "rsi14", 8)
 def _(spark, d):
     return _indicators(spark, d).where("rsi14 is not null").select(*BY, "rsi14")
 
@@ -374,19 +374,20 @@ def _(spark, d):
         {"e12": _ema_cte("e12", 12), "e26": _ema_cte("e26", 26), "lines": "SELECT a.market, a.symbol, a.i - 25 AS i, a.v - b.v AS line FROM e12 AS a JOIN e26 AS b ON a.market = b.market AND a.symbol = b.symbol AND a.i = b.i", "sig": _ema_cte("sig", 9, "lines", "line")},
     ),
     "macd_line macd_signal macd_histogram",
+    8,
 )
 def _(spark, d):
     m = F.col("macd")
     return _indicators(spark, d).where("macd is not null").select(*BY, m["line"].alias("macd_line"), m["signal"].alias("macd_signal"), m["histogram"].alias("macd_histogram"))
 
 
-@register("i5_bollinger", _indicator_sql("SELECT market, symbol, avg(close) + 2 * stddev_pop(close) AS upper_band, avg(close) AS middle_band, avg(close) - 2 * stddev_pop(close) AS lower_band FROM c WHERE back <= 20 GROUP BY market, symbol HAVING count(*) = 20"), "upper_band middle_band lower_band")
+@register("i5_bollinger", _indicator_sql("SELECT market, symbol, avg(close) + 2 * stddev_pop(close) AS upper_band, avg(close) AS middle_band, avg(close) - 2 * stddev_pop(close) AS lower_band FROM c WHERE back <= 20 GROUP BY market, symbol HAVING count(*) = 20"), "upper_band middle_band lower_band", 8)
 def _(spark, d):
     b = F.col("bollinger20")
     return _indicators(spark, d).where("bollinger20 is not null").select(*BY, b["upper"].alias("upper_band"), b["middle"].alias("middle_band"), b["lower"].alias("lower_band"))
 
 
-@register("i6_atr14", _indicator_sql("SELECT market, symbol, arg_max(v, i) AS atr14 FROM a GROUP BY market, symbol", {"steps": STEPS, "a": ATR}), "atr14")
+@register("i6_atr14", _indicator_sql("SELECT market, symbol, arg_max(v, i) AS atr14 FROM a GROUP BY market, symbol", {"steps": STEPS, "a": ATR}), "atr14", 8)
 def _(spark, d):
     return _indicators(spark, d).where("atr14 is not null").select(*BY, "atr14")
 
@@ -419,7 +420,9 @@ def _(spark, d):
 
 
 def _frames(spark, d):
-    return V.candles_raw(spark, d, 3600, "1h").unionByName(V.candles_raw(spark, d, 14400, "4h")).unionByName(V.candles_raw(spark, d, 86400, "1d"))
+    """Candles of three widths from one pass over the tape: the longer are made of the hourly ones."""
+    hours = tape.to_candles(V.tape_raw(spark, d), "trades", 3600, "1h")
+    return tape.widened(hours, {"1h": 3600, "4h": 14400, "1d": 86400}).withColumn("imported_at", F.lit(1))
 
 
 def _frame_sql() -> str:

@@ -11,7 +11,7 @@ import ssl
 import time
 import zipfile
 from pathlib import Path
-from urllib.parse import urljoin, urlsplit, urlunsplit
+from urllib.parse import unquote, urljoin, urlsplit, urlunsplit
 
 from ..validate import InvalidArgument, need
 
@@ -28,6 +28,26 @@ def inside(root: str | Path, path: str | Path) -> Path:
     return found
 
 
+def inside_any(roots: list[Path], path: str | Path) -> Path:
+    """A path in one of the roots that are there; anything else is refused."""
+    need(bool(roots), "path: no import root is set")
+    for root in roots:
+        try:
+            return inside(root, path)
+        except (InvalidArgument, FileNotFoundError):
+            continue
+    raise InvalidArgument("path: not a file in an import root")
+
+
+def mounted(place: str | Path) -> Path:
+    """A path, or that of a file: URI; folders of other stores are refused."""
+    if isinstance(place, Path) or "://" not in place and not place.startswith("file:"):
+        return Path(place)
+    parts = urlsplit(place)
+    need(parts.scheme == "file" and parts.netloc in ("", "localhost"), "path: a mounted folder is needed")
+    return Path(unquote(parts.path))
+
+
 def sha256(path: str | Path) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.expressions import epoch_to_utc, text_to_bool, text_to_utc
 
@@ -54,5 +55,16 @@ def layouts() -> dict[tuple[str, str | None], Layout]:
 #: Import profiles: the dataset that each makes, None where the caller names it.
 PROFILES = {"kline": None, "trades": "trades", "aggtrades": "aggtrades", "metrics": "metrics", "bookdepth": "bookdepth", "generic-csv": None, "parquet": None}
 
+
+def table_schema(spark: SparkSession, dataset: str, interval: str | None = None) -> StructType:
+    """Columns of a dataset's tables, of any market; datasets that are not tapes or series hold candles."""
+    own = [v for (name, _), v in layouts().items() if name == dataset] or [layouts()["klines", None]]
+    # All markets' layouts make the same columns.
+    made = spark.createDataFrame([], own[0].columns).select(*own[0].made)
+    labels = ["dataset", "source", "market", "symbol"] + ["interval"] * (own[0].time == "open_time") + ["import_id"]
+    more = {k: F.lit(None).cast("string") for k in labels} | {"imported_at": F.lit(None).cast("timestamp")}
+    return made.withColumns(more).schema
+
+
 FILES = "import_id string, path string, dataset string, source string, profile string, market string, symbol string, interval string, year int, month int, row_count bigint, file_size_bytes bigint, min_event_time timestamp_ntz, max_event_time timestamp_ntz, created_at timestamp"
 JOBS = "import_id string, status string, dataset string, source string, profile string, market string, symbol string, interval string, checksum string, options string, message string, row_count bigint, created_at timestamp"

@@ -1,7 +1,8 @@
 """The warehouse: typed imports into partitioned Parquet, a catalog of files and jobs, and queries over a selection.
 
 Data files are immutable and named by import. The catalog is two Parquet tables that only grow; a job's latest row
-is its state, and only files of completed jobs are read. One writer at a time within a process.
+is its state, and only files of completed jobs are read. One writer at a time within a process. The root is a folder
+that the driver and all executors have under the same path; whatever executors are told to read lies in it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import shutil
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterable
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -21,18 +23,21 @@ from .. import validate as V
 from ..operators import candles as candle_ops
 from ..operators import catalog, series, tape
 from ..operators.core import capped
-from .files import DEFAULT_BYTES, MOST_BYTES, audit_url, download, inside, sha256, unzip_csv, verify
-from .schemas import FILES, JOBS, PROFILES, layouts
+from .files import DEFAULT_BYTES, MOST_BYTES, audit_url, download, inside_any, mounted, sha256, unzip_csv, verify
+from .schemas import FILES, JOBS, PROFILES, layouts, table_schema
 
 MESSAGE_CHARS = 2000
 IDENTITY = ("checksum", "dataset", "source", "profile", "market", "symbol", "interval", "options")
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str | Path, max_bytes: int = DEFAULT_BYTES):
+    def __init__(self, spark: SparkSession, root: str | Path, import_roots: Iterable[str | Path] = (), max_bytes: int = DEFAULT_BYTES):
+        """Files are imported from import_roots alone: without any, by URL only. root is a path or a file: URI."""
         V.need(0 < max_bytes <= MOST_BYTES, "max_bytes: out of range")
-        self.spark, self.root, self.max_bytes, self.lock = spark, Path(root), max_bytes, threading.Lock()
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.spark, self.max_bytes, self.lock = spark, max_bytes, threading.Lock()
+        self.root, self.import_roots = mounted(root), [mounted(r) for r in import_roots]
+        self.arriving = self.root / "arriving"
+        self.arriving.mkdir(parents=True, exist_ok=True)
 
     # -- catalog ---------------------------------------------------------------------------------------------
     def _table(self, name: str, schema: str) -> DataFrame:
@@ -56,14 +61,15 @@ class Warehouse:
 
     # -- imports ---------------------------------------------------------------------------------------------
     def import_url(self, url: str, profile: str, **labels) -> dict:
-        with tempfile.TemporaryDirectory() as folder:
+        with tempfile.TemporaryDirectory(dir=self.arriving) as folder:
             path = download(url, folder, self.max_bytes)
             return self._import(path, profile, labels) | {"url": audit_url(url)}
 
-    def import_file(self, path: str | Path, profile: str, data_root: str | Path | None = None, **labels) -> dict:
+    def import_file(self, path: str | Path, profile: str, **labels) -> dict:
         """dataset, source, market, symbol, interval, has_header, zip_entry and expected_sha256 say what the file is.
-        The same file under the same labels gives its earlier import again, with duplicate = True."""
-        return self._import(inside(data_root or Path(path).parent, path), profile, labels)
+        It has to lie in an import root, links resolved. The same file under the same labels gives its earlier import
+        again, with duplicate = True."""
+        return self._import(inside_any(self.import_roots, mounted(path)), profile, labels)
 
     def check(self, profile: str, dataset: str, source: str, market=None, symbol=None, interval=None, has_header=None, zip_entry=None, expected_sha256=None) -> dict:
         V.need(profile in PROFILES, f"profile: one of {', '.join(PROFILES)}")
@@ -101,7 +107,7 @@ class Warehouse:
             out = self.root.joinpath("data", *parts, f"import={import_id}")
             self._job(import_id, "running", info)
             try:
-                with tempfile.TemporaryDirectory() as folder:
+                with tempfile.TemporaryDirectory(dir=self.arriving) as folder:
                     if path.suffix.lower() == ".zip":
                         path = unzip_csv(path, folder, labels.get("zip_entry"), self.max_bytes)
                     time = self._write(path, profile, info, labels.get("has_header"), import_id, out)
@@ -147,43 +153,49 @@ class Warehouse:
         return total
 
     # -- selections ------------------------------------------------------------------------------------------
-    def _select(self, dataset: str, start=None, end=None, **labels) -> DataFrame | None:
-        """Data of the selection's files that may touch the window and are still there; None if there are none."""
+    def _there(self, path: str) -> bool:
+        return Path(path).exists() and Path(path).resolve().is_relative_to((self.root / "data").resolve())
+
+    def existing_files(self) -> DataFrame:
+        """The catalog's files that are still there, and within the data folder."""
+        files = self.files()
+        gone = [(r["path"],) for r in files.select("path").collect() if not self._there(r["path"])]
+        return files.join(self.spark.createDataFrame(gone, "path string"), "path", "left_anti") if gone else files
+
+    def _select(self, dataset: str, start=None, end=None, **labels) -> DataFrame:
+        """Data of the selection's files that may touch the window and are still there: an empty frame of the dataset's
+        columns if there are none. The columns of known datasets are not looked for in the files."""
         found = catalog.overlapping(catalog.selected(self.files(), dataset=V.label(dataset, "dataset"), **labels), start, end)
-        root = (self.root / "data").resolve()
-        paths = [r["path"] for r in found.select("path").orderBy("path").collect()]
-        paths = [p for p in paths if Path(p).exists() and Path(p).resolve().is_relative_to(root)]
-        return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
-
-    def query_candles(self, dataset: str, symbol: str, interval: str, source=None, market=None, start=None, end=None, limit: int = 500) -> DataFrame | None:
-        V.limit(limit)
-        V.need(limit <= V.MAX_ROWS, f"limit: at most {V.MAX_ROWS}")
-        df = self._select(dataset, source=source, market=market, symbol=symbol.upper(), interval=interval)
-        return df and candle_ops.candles(df, start, end, limit)
-
-    def query_trades(self, dataset: str, market: str, symbol: str, source=None, limit: int = 500, bucket_seconds: int | None = None, by_price: bool = False, start=None, end=None, **scope) -> DataFrame | None:
+        paths = [p for (p,) in found.select("path").orderBy("path").collect() if self._there(p)]
+        schema = table_schema(self.spark, dataset, labels.get("interval"))
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def query_candles(self, dataset: str, symbol: str, interval: str, source=None, market=None, start=None, end=None, limit: int = 500) -> DataFrame:
+        V.limit(limit, V.MAX_ROWS)
+        df = self._select(dataset, source=source, market=market, symbol=symbol.upper(), interval=V.interval(interval))
+        return candle_ops.candles(df, start, end, limit)
+
+    def query_trades(self, dataset: str, market: str, symbol: str, source=None, limit: int = 500, bucket_seconds: int | None = None, by_price: bool = False, start=None, end=None, **scope) -> DataFrame:
         """Rows, or time buckets, or price levels of time buckets: see operators.tape."""
         V.tape_selection(dataset, market)
-        V.limit(limit)
+        V.limit(limit, V.MAX_ROWS)
         mode = "prices" if by_price else "buckets" if bucket_seconds else "rows"
         V.tape_filters(dataset, mode, start=start, end=end, bucket_seconds=bucket_seconds, **scope)
         df = self._select(dataset, start, end, source=source, market=market, symbol=symbol.upper())
-        if df is None:
-            return None
         if mode == "rows":
             return tape.tape_rows(df, dataset, limit, start=start, end=end, **scope)
         if mode == "buckets":
             return capped(tape.tape_buckets(df, dataset, bucket_seconds, by=(), start=start, end=end, **scope), limit, [F.asc("bucket_start")], "buckets")
         return capped(tape.footprint(df, dataset, bucket_seconds, start, end, by=(), **scope), limit, tape.footprint_order(), "price levels")
 
-    def query_series(self, dataset: str, symbol: str, market: str = "um", source=None, limit: int = 500, bucket_seconds: int | None = None, **scope) -> DataFrame | None:
+    def query_series(self, dataset: str, symbol: str, market: str = "um", source=None, limit: int = 500, bucket_seconds: int | None = None, **scope) -> DataFrame:
         V.series_filters(dataset, scope.get("percentage"), bucket_seconds)
         V.need(market == "um", "market: series are for um")
-        V.limit(limit)
+        V.limit(limit, V.MAX_ROWS)
         spec = series.METRICS if dataset == "metrics" else series.BOOKDEPTH
         df = self._select(dataset, scope.get("start"), scope.get("end"), source=source, market=market, symbol=symbol.upper())
-        if df is None:
-            return None
         if bucket_seconds is None:
             return series.series_rows(df, spec, limit, **scope)
         order = [F.asc("bucket_start"), *map(F.asc, spec.keys)]
@@ -204,12 +216,21 @@ class Warehouse:
             V.need(interval is not None and start is None and end is None, "candles: an interval and no window")
             make = candle_ops.candle_range
         df = self._select(dataset, start, end, **labels)
-        return make(df).first().asDict() if df is not None else {"row_count": 0, "min_time": None, "max_time": None}
+        return make(df).first().asDict()
 
     def coverage(self, dataset: str, start=None, end=None, **labels) -> dict:
-        found = catalog.selected(self.files(), dataset=dataset, **labels)
+        """Days that files which are still there cover, and those missing."""
+        found = catalog.selected(self.existing_files(), dataset=dataset, **labels)
         return catalog.coverage(found, start, end).first().asDict()
 
+    def list_datasets(self) -> DataFrame:
+        return catalog.list_datasets(self.files())
+
+    def list_files(self, limit: int = 100, **labels: str | None) -> DataFrame:
+        return catalog.list_files(self.files(), limit, **labels)
+
     def status(self) -> dict:
+        """Jobs by state, totals of the files, and where and how large imports may be."""
         jobs = {r["status"]: r["job_count"] for r in catalog.job_counts(self.jobs()).collect()}
-        return {"jobs": jobs, "root": str(self.root), **catalog.totals(self.files()).first().asDict()}
+        places = {"root": str(self.root), "data": str(self.root / "data"), "catalog": str(self.root / "catalog"), "import_roots": [str(r) for r in self.import_roots], "max_import_bytes": self.max_bytes}
+        return {"jobs": jobs, **places, **catalog.totals(self.files()).first().asDict()}

@@ -48,8 +48,10 @@ def interval(value: str) -> str:
     return value
 
 
-def limit(value: int) -> int:
-    return number(value, "limit", integer=True, minimum=1)
+def limit(value: int, most: int | None = None) -> int:
+    number(value, "limit", integer=True, minimum=1)
+    need(most is None or value <= most, f"limit: at most {most}")
+    return value
 
 
 def tape_selection(dataset: str, market: str) -> None:
@@ -85,6 +87,7 @@ def series_filters(dataset: str, percentage=None, bucket_seconds=None) -> None:
         need(dataset == "bookdepth", "percentage: only book depth has bands")
     if bucket_seconds is not None:
         number(bucket_seconds, "bucket_seconds", integer=True, minimum=1)
+        need(bucket_seconds <= MAX_BUCKET_SECONDS, f"bucket_seconds: at most {MAX_BUCKET_SECONDS}")
 
 
 def unique(values: list[str], name: str, least: int, most: int) -> list[str]:
