@@ -1,5 +1,6 @@
 import datetime as dt
 import zipfile
+from pathlib import Path
 
 import pytest
 
@@ -209,3 +210,34 @@ def test_nothing_imported_gives_nothing(house):
     assert house.data_range("trades", "BTCUSDT", "spot")["row_count"] == 0
     assert house.coverage("trades")["covered_day_count"] == 0
     assert house.status()["file_count"] == 0
+
+
+def test_only_import_roots_are_read(house, spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out.csv").write_text(SPOT)
+    (tmp_path / "in/link.csv").symlink_to(tmp_path / "out.csv")
+    labels = {"dataset": "trades", "source": "t", "market": "spot", "symbol": "BTCUSDT"}
+    narrow = Warehouse(spark, (tmp_path / "narrow").as_uri(), [tmp_path / "none", (tmp_path / "in").as_uri()])
+    for path in (tmp_path / "out.csv", tmp_path / "in/link.csv", tmp_path / "in/../out.csv", tmp_path / "in/nothing.csv"):
+        with pytest.raises(InvalidArgument):
+            narrow.import_file(path, "trades", **labels)
+    with pytest.raises(InvalidArgument, match="no import root"):
+        Warehouse(spark, tmp_path / "bare").import_file(tmp_path / "out.csv", "trades", **labels)
+    with pytest.raises(InvalidArgument, match="mounted"):
+        Warehouse(spark, "s3a://bucket/x")
+    (tmp_path / "in/there.csv").write_text(SPOT)
+    assert narrow.import_file("there.csv", "trades", **labels)["row_count"] == 2
+    s = narrow.status()
+    assert (s["jobs"], s["import_roots"][1], s["max_import_bytes"]) == ({"completed": 1}, str(tmp_path / "in"), narrow.max_bytes)
+    assert [r["file_count"] for r in narrow.list_datasets().collect()] == [1] and narrow.list_files(5, market="spot").count() == 1
+
+
+def test_deleted_files_cover_nothing(house, tmp_path):
+    trades(house, tmp_path, SPOT, name="a.csv")
+    later = trades(house, tmp_path, LATER, name="b.csv")
+    assert house.coverage("trades")["covered_day_count"] == 2
+    for r in house.files().where(f"import_id = '{later['import_id']}'").collect():
+        Path(r["path"]).unlink()
+    c = house.coverage("trades")
+    assert (c["covered_day_count"], c["missing_day_count"], c["first_day"], c["last_day"]) == (1, 0, dt.date(2026, 9, 7), dt.date(2026, 9, 7))
+    assert house.query_trades("trades", "spot", "BTCUSDT").count() == 2

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bucket_start, ratio, signed, span, taker_buy, taker_sell
+from ..functions.expressions import BUCKET_ORIGIN, bucket_start, ratio, signed, span, taker_buy, taker_sell
 from ..validate import tape_filters
 from .core import between, latest, newest, running_sum, time_range
 
@@ -120,7 +120,8 @@ def to_candles(tape: DataFrame, dataset: str, bucket_seconds: int, interval: str
 def widened(candles: DataFrame, widths: dict[str, int]) -> DataFrame:
     """Candles of several intervals (names and seconds) from those of one that divides them all: one pass and one
     shuffle of the short candles, and none of the tape."""
-    at = lambda seconds: bucket_start(F.col("open_time"), seconds)
+    since = F.unix_seconds(F.col("open_time").cast("timestamp")) - BUCKET_ORIGIN
+    at = lambda seconds: F.timestamp_seconds(since - F.pmod(since, F.lit(seconds)) + BUCKET_ORIGIN).cast("timestamp_ntz")
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("interval"), at(s).alias("open_time"), F.lit(s).alias("seconds")) for name, s in widths.items()]))
     wide = candles.select("*", each.alias("w")).groupBy("source", "market", "symbol", "w")
     sums = ("volume", "quote_asset_volume", "trade_count", "taker_buy_base_asset_volume", "taker_buy_quote_asset_volume")

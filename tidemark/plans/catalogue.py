@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -13,50 +10,15 @@ from ..operators import account, candles, catalog, flow, market, series, tape
 from ..operators.core import capped, latest, newest, time_range
 from ..sources.schemas import layouts
 from ..sources.shared import shared_folder
+from . import imports  # noqa: F401  its queries are registered too
 from . import views as V
+from .registry import oracle_sql, queries, register  # noqa: F401
 
 START, END = "2024-01-05T05:30:00+05:00", "2024-01-20T00:00:00Z"
 START_SQL, END_SQL = "TIMESTAMP '2024-01-05 00:30:00'", "TIMESTAMP '2024-01-20 00:00:00'"
 BY = ["market", "symbol"]
 
 
-@dataclass(frozen=True)
-class Query:
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None = None
-    #: Doubles that the SQL side rounds; the Spark side rounds all its doubles to as many digits.
-    doubles: tuple[str, ...] = ()
-    digits: int = 6
-
-
-QUERIES: dict[str, Query] = {}
-
-
-def register(name: str, sql: str | None = None, doubles: str = "", digits: int = 6):
-    def add(f):
-        QUERIES[name] = Query(f, sql, tuple(doubles.split()), digits)
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, d, q=q: rounded(q.run(spark, d), q.digits)) for name, q in QUERIES.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    out = {}
-    for name, q in QUERIES.items():
-        if q.sql:
-            again = ", ".join(f"round({c}, {q.digits}) AS {c}" for c in q.doubles)
-            out[name] = f"SELECT * REPLACE ({again}) FROM ({q.sql}) AS q" if again else q.sql
-    return out
-
-
 W = V.with_views
 BUCKETS = "volume quote_volume vwap taker_buy_volume taker_sell_volume taker_imbalance large_trade_notional open close high low taker_delta cvd"
 LEVELS = "price taker_buy_volume taker_sell_volume delta volume"

@@ -193,6 +193,7 @@ class Warehouse:
     def query_series(self, dataset: str, symbol: str, market: str = "um", source=None, limit: int = 500, bucket_seconds: int | None = None, **scope) -> DataFrame:
         V.series_filters(dataset, scope.get("percentage"), bucket_seconds)
         V.need(market == "um", "market: series are for um")
+        V.need(bucket_seconds is None or bucket_seconds <= V.MAX_BUCKET_SECONDS, f"bucket_seconds: at most {V.MAX_BUCKET_SECONDS}")
         V.limit(limit, V.MAX_ROWS)
         spec = series.METRICS if dataset == "metrics" else series.BOOKDEPTH
         df = self._select(dataset, scope.get("start"), scope.get("end"), source=source, market=market, symbol=symbol.upper())

@@ -87,7 +87,6 @@ def series_filters(dataset: str, percentage=None, bucket_seconds=None) -> None:
         need(dataset == "bookdepth", "percentage: only book depth has bands")
     if bucket_seconds is not None:
         number(bucket_seconds, "bucket_seconds", integer=True, minimum=1)
-        need(bucket_seconds <= MAX_BUCKET_SECONDS, f"bucket_seconds: at most {MAX_BUCKET_SECONDS}")
 
 
 def unique(values: list[str], name: str, least: int, most: int) -> list[str]:
