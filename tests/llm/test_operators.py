@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -12,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontamination, language, language_model, near_duplicates, packing, quality, repeats, sharding, token_counts, token_files, tokenization
@@ -446,6 +448,34 @@ def test_local_search_empties_a_bin():
     assert len(packing.local_search(bins, lengths, 100)) == 3
 
 
+def fewest_bins(lengths, cap):
+    """By trying every place for every item."""
+    best = [len(lengths)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for i in sorted({r: i for i, r in enumerate(rooms)}.values()):
+            if rooms[i] >= lengths[k]:
+                put(k + 1, [*rooms[:i], rooms[i] - lengths[k], *rooms[i + 1 :]])
+        put(k + 1, [*rooms, cap - lengths[k]])
+
+    put(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_few_items_are_packed_as_well_as_can_be(seed):
+    """Within one bin of the optimum, and at the optimum for most."""
+    r = random.Random(100 + seed)
+    cases_ = [sorted((r.randint(15, 70) for _ in range(9)), reverse=True) for _ in range(6)]
+    made = [(len(set(packing.pack(x, 100)[0].tolist())), fewest_bins(x, 100)) for x in cases_]
+    assert all(a <= b + 1 for a, b in made) and sum(a == b for a, b in made) >= 5
+
+
 # -- 9 sharding ----------------------------------------------------------------------------------------------
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, 4, bucket_bytes=5000).collect()
@@ -464,6 +494,27 @@ def test_sharding(docs, empty):
     assert {r["shard"] for r in sharding.shard_documents(docs, 1).collect()} == {0}
 
 
+def plain_shard(key, n, seed=17):
+    """Rendezvous hashing in plain words: chained XXH64 of seed, shard and key; a null key leaves the hash as it is."""
+
+    def weight(s):
+        h = 42
+        for data in (struct.pack("<i", seed), struct.pack("<i", s), None if key is None else struct.pack("<q", key)):
+            h = h if data is None else xxhash.xxh64_intdigest(data, h)
+        return h - (1 << 64) if h >> 63 else h, s
+
+    return max(map(weight, range(n)))[1]
+
+
+def test_shards_are_those_of_the_plain_law(spark, docs):
+    for n in (1, 7, 24):
+        rows = sharding.shard_documents(docs, n).collect()
+        assert all((r["shard"], r["grown_shard"]) == (plain_shard(r["doc_id"], n), plain_shard(r["doc_id"], n + 1)) for r in rows)
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).repartition(5)
+    one, two = ({(r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard_documents(many.coalesce(k), 3, bucket_bytes=4000).collect()} for k in (5, 5))
+    assert one == two
+
+
 def test_a_shard_is_shuffled(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     rows = sorted(sharding.shard_documents(df, 2).where("shard = 0").collect(), key=lambda r: r["slot"])
@@ -572,6 +623,30 @@ def test_all_contexts_are_kept(spark):
     assert [r["score"] for r in got] == pytest.approx(want, rel=1e-6)
 
 
+# -- very long texts -----------------------------------------------------------------------------------------
+def test_a_text_longer_than_a_slice(spark):
+    """It is a slice of its own, and counted whole."""
+    long = (prose(41, 20_000) + "\n") * 45
+    assert len(long) > 1.2 * common.SLICE_BYTES
+    rows = [(0, prose(42, 60), "en"), (1, long, "en"), (2, None, None), (3, prose(43, 400), "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    n = len(words(long))
+    one = lambda df: df.where("doc_id = 1").first()
+    assert one(language.identify_language(d, d))["lang_pred"] == "en"
+    r = one(quality.quality_report(d))
+    assert (r["n_words"], r["n_repeat_words"], r["n_dup_lines"]) == (n, n, 44)
+    assert one(token_counts.count_tokens(d, PATH))["n_tokens"] == len(ids(long))
+    assert one(near_duplicates.near_duplicate_groups(d))["n_shingles"] == len({tuple(w) for w in zip(*(words(long)[k:] for k in range(5)))})
+    bench = spark.createDataFrame([(9, " ".join(long.split()[500:530]))], "item_id long, text string")
+    r = one(decontamination.find_benchmark(d, bench))
+    assert (r["n_words"], r["n_hit"], r["contaminated"]) == (n, 45 * 30, False)
+    r = one(repeats.remove_repeats(d))
+    assert (r["n_words"], r["n_removed"], r["kept"]) == (n, n, "")
+    assert packing.pack_documents(d, PATH, 2).where("doc_id = 1").agg(F.sum("length")).first()[0] == len(ids(long)) + 1
+    assert one(sharding.shard_documents(d, 3))["size"] == len(long.encode()) + 8
+    assert one(language_model.score_texts(d, F.lit(True)))["n_tokens"] == n + 1
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
@@ -617,3 +692,90 @@ def test_pipeline_keeps_one_of_rows_that_share_an_id_or_have_none(spark):
     assert got == Counter(rows[5:6] + rows[9:10] + rows[11:])
     kept = corpus_pipeline.repeats(spark, spark.createDataFrame(out.collect(), docs.schema), "").collect()
     assert {r["text"] for r in kept} >= {first[0][1], b, c, d, e}
+
+
+def plain_quality(t):
+    n, chars, symbols, dup, hit = plain_features(t)
+    w = words(t)
+    lines = [x for x in (t or "").split("\n") if words(x)]
+    shouted = sum(sum(65 <= c <= 90 for c in x) > 1 and not any(97 <= c <= 122 for c in x) for x in w)
+    marks = sum(not any(c >= 128 or chr(c).isalnum() for c in x) for x in w)
+    echoes = sum(a == b for a, b in zip(w, w[1:]))
+    out = [n < 20, 100 * hit > 30 * n, 10 * symbols > n, 2 * dup > len(lines), not 2 * n <= chars <= 15 * n, 100 * shouted > 30 * n, 100 * echoes > 30 * n, 100 * marks > 20 * n]
+    return not any(out)
+
+
+def test_pipeline_stages_are_the_plain_ones(spark, tmp_path):
+    """Each stage of the pipeline against a plain version of it, on what the plain stages before have kept."""
+    import corpus_pipeline
+
+    r = random.Random(77)
+    rows = [(i, prose(2000 + i, r.randint(10, 160)), "en", "s") for i in range(60)]
+    for i in range(0, 12, 2):  # near copies, copies, shared passages, passages of the benchmark, junk
+        rows[i + 1] = (i + 1, rows[i][1] + " more" if i % 4 else rows[i][1], "en", "s")
+    shared, bench = prose(2900, 70), prose(2901, 40)
+    for i in range(20, 26):
+        rows[i] = (i, prose(2100 + i, 30 + i) + " " + " ".join(shared.split()[i - 20 : 60]) + " " + prose(2200 + i, 150), "en", "s")
+    for i in range(30, 34):
+        rows[i] = (i, rows[i][1] + " " + " ".join(bench.split()[: 16 + i - 30]), "en", "s")
+    rows += [(70, "HEY YOU " * 30, "en", "s"), (71, prose(5, 30) + " | ! ? " * 20, "en", "s"), (72, "a " * 60, "en", "s"), (73, "", "en", "s"), (None, None, None, None)]
+    rows = [(i, t, lang, s, len(t or "")) for i, t, lang, s in rows]
+    place = tmp_path / "d"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    docs, after = spark.read.parquet(f"{place}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.staged(stage(spark, docs, str(place)))
+        after.append(docs.collect())
+    as_rows = lambda k: Counter(map(tuple, after[k]))
+    plain = [x for x in rows if plain_quality(x[1])]
+    assert as_rows(0) == Counter(plain) and 0 < len(plain) < len(rows)
+    component = {d: c for d, _, c in plain_groups([x[:2] for x in plain])}
+    plain = [x for x in plain if component[x[0]] == x[0]]
+    assert as_rows(1) == Counter(plain)
+    seen = Counter(tuple(w[k : k + 35]) for x in plain for w in [words(x[1])] for k in range(len(w) - 34))
+    cut = []
+    for d, text, *rest, n_chars in plain:
+        w = words(text)
+        gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone).decode()
+        cut.append((d, kept, *rest, len(kept)) if gone else (d, text, *rest, n_chars))
+    assert as_rows(2) == Counter(cut) and cut != plain
+    windows = {tuple(w[k : k + 13]) for w in [plain_words(bench)] for k in range(len(w) - 12)}
+    clean = []
+    for x in cut:
+        w = plain_words(x[1])
+        hit = {j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for j in range(k, k + 13)}
+        if not hit or 20 * len(hit) < len(w):
+            clean.append(x)
+    assert as_rows(3) == Counter(clean) and len(clean) < len(cut)
+    pieces = Counter()
+    for x in clean:
+        full, at = [*ids(x[1]), 2], 0
+        steps = [len(full) % 1024 or 1024] + [1024] * (-(-len(full) // 1024) - 1)
+        for k, step in enumerate(steps):
+            pieces[x[0], k, at, step, crc(full[at : at + step])] += 1
+            at += step
+    assert bag(after[4], "doc_id", "piece", "start", "length", "ids_crc32") == pieces
+    bins = defaultdict(list)
+    for p in after[4]:
+        bins[p["sequence_id"]].append((p["offset"], p["length"]))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == np.cumsum([0] + [n for _, n in b])[:-1].tolist() and sum(n for _, n in b) <= 1024
+    assert len(bins) == fewest_bins(sorted((n for *_, n, _ in pieces), reverse=True), 1024) if len(pieces) < 12 else len(bins) <= -(-sum(n for *_, n, _ in pieces) // 1024) + 1
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    """No rows, and columns of clashing names."""
+    import corpus_pipeline
+
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, key string, digest long, root int, kept string, n_words string, d1 int, whole string")
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    some = spark.createDataFrame([(i, prose(i, 60) if i else None, "en", "s", 1, "k", i, i, "x", "y", i, "w") for i in range(6)], empty.schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        some = common.staged(stage(spark, some, str(tmp_path)))
+        assert some.columns == empty.columns
+    assert {r["doc_id"] for r in some.collect()} == {1, 2, 3, 4, 5}
