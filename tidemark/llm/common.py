@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.shared import shared_folder as shared_dir
 
 #: UTF-8 bytes of text that one in-memory slice holds (a longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: The bytes of an Arrow batch that goes to a Python worker.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

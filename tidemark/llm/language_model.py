@@ -36,7 +36,7 @@ TASK_STRINGS = 200_000
 #: Worths of byte strings, and of words, that go to every worker at most (16 bytes each); the others are joined.
 COMMON = 1 << 20
 #: Distinct items a task holds before it sends their counts, and bytes of text that are scored together.
-HELD, SCORED_BYTES = 1 << 20, 2 << 20
+HELD, SCORED_BYTES = 1 << 20, 1 << 20
 NEWLINE = 10
 
 

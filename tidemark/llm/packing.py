@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, text_slices
-from .tokenization import encode
+from .tokenization import ENCODED_BYTES, encode
 
 #: Documents that are packed together in one task.
 GROUP_DOCS = 16384
@@ -127,7 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: int = 1024
 
     def cut(batches):
         turn = hash((TaskContext.get().partitionId() * 0x9E3779B1) & 0xFFFFFFFF)
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", ENCODED_BYTES):
             tokens, n = encode(b.column(1), tokenizer)
             tokens = np.insert(tokens, np.cumsum(n), end_id).astype("<u4")
             n = n + 1

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import by_bytes, text_slices
-from .tokenization import Pieces, texts_to_runs
+from .tokenization import ENCODED_BYTES, Pieces, texts_to_runs
 
 # Fixed values of byte-level BPE: the split pattern, and the visible stand-ins of the 256 bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -121,7 +121,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     kind = src.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for b in text_slices(batches, text_col):
+        for b in text_slices(batches, text_col, ENCODED_BYTES):
             n_bytes = pc.fill_null(pc.binary_length(b.column(1).cast(pa.string())), 0).cast(pa.int64())
             n = text_counts(b.column(1), tokenizer)
             yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, partitions_for, shared_dir, text_slices
 from .files import mapped, open_output
-from .tokenization import encode
+from .tokenization import ENCODED_BYTES, encode
 
 MAGIC, VERSION, HEADER = 0x5449444554584944, 1, 6
 MANIFEST = "part int, name string, width int, n_docs long, n_tokens long"
@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, uri: str | N
         part = TaskContext.get().partitionId()
         name = f"part-{part:07d}-{uuid.uuid4().hex}"
         ids, sizes, nulls, out = [], [], 0, None
-        for b in text_slices(batches, "text"):
+        for b in text_slices(batches, "text", ENCODED_BYTES):
             out = out or open_output(f"{uri}/{name}.bin")
             tokens, n = encode(b.column(1), tokenizer)
             ends = np.cumsum(n)
