@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Worths, by_bytes, filled, ragged, text_slices
+from .common import Worths, by_bytes, drop_staged, filled, ragged, staged, text_slices
 
 #: Bounds of the labelled sample: at most so many texts per language and so many characters of each.
 SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 400, 20_000
@@ -197,14 +197,20 @@ def labelled_sample(train: DataFrame, lang_col: str, text_col: str) -> dict[str,
     labelled text has a sample."""
     src = train.select(train[lang_col].alias("lang"), train[text_col].alias("text")).where("lang is not null and text is not null")
     keyed = src.withColumn("key", F.xxhash64("text"))
-    # Copies are one key before any is left out, and each partition sends the window its least keys only.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 40)), "key"))
-    least = keyed.select("lang", "key").distinct().withColumn("k", rank).where(F.col("k") <= SAMPLE_TEXTS)
+    # Copies are one key before any is left out. Of many keys only about 4 * SAMPLE_TEXTS with the least hashes meet, of
+    # up to as many all: with less than one chance in 10**100 are they fewer than SAMPLE_TEXTS.
+    low = F.pmod("key", F.lit(1 << 40))
+    keys = staged(keyed.select("lang", "key").distinct())
+    share = keys.groupBy("lang").agg(F.least(F.lit(1.0), 4 * SAMPLE_TEXTS / F.count("*")).alias("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(low, "key"))
+    few = keys.join(share, "lang").where(low <= F.col("share") * float(1 << 40))
+    least = few.select("lang", "key").withColumn("k", rank).where(F.col("k") <= SAMPLE_TEXTS)
     piece = F.when(F.length("text") > SAMPLE_TEXT_CHARS, F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, SAMPLE_TEXT_CHARS)).otherwise(F.col("text"))
     chosen = keyed.join(F.broadcast(least), ["lang", "key"]).select("lang", "k", piece.alias("text")).distinct()
     out: dict[str, list[str]] = {}
     for r in chosen.orderBy("lang", "k", "text").collect():
         out.setdefault(r["lang"], []).append(r["text"])
+    drop_staged(keys)
     return out
 
 
