@@ -24,6 +24,8 @@ SAMPLE_TEXTS, SAMPLE_TEXT_CHARS = 400, 20_000
 MODEL_CHARS, ALL_CHARS = 32_000, 4_000_000
 #: Cells (4 bytes each) of a language's table of states by letters; a larger one is a hash table of the moves there are.
 TABLE_CELLS = 8_000_000
+#: Languages whose shares are broadcast at most; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 BLOCK = 128
 #: Symbols: PAD is none, GAP is a run of anything but letters, FOREIGN a letter that other languages have, and the
 #: language's own letters follow.
@@ -203,7 +205,8 @@ def labelled_sample(train: DataFrame, lang_col: str, text_col: str) -> dict[str,
     keys = staged(keyed.select("lang", "key").distinct())
     share = keys.groupBy("lang").agg(F.least(F.lit(1.0), 4 * SAMPLE_TEXTS / F.count("*")).alias("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(low, "key"))
-    few = keys.join(share, "lang").where(low <= F.col("share") * float(1 << 40))
+    share = staged(share)
+    few = keys.join(F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share, "lang").where(low <= F.col("share") * float(1 << 40))
     least = few.select("lang", "key").withColumn("k", rank).where(F.col("k") <= SAMPLE_TEXTS)
     piece = F.when(F.length("text") > SAMPLE_TEXT_CHARS, F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, SAMPLE_TEXT_CHARS)).otherwise(F.col("text"))
     chosen = keyed.join(F.broadcast(least), ["lang", "key"]).select("lang", "k", piece.alias("text")).distinct()
@@ -211,6 +214,7 @@ def labelled_sample(train: DataFrame, lang_col: str, text_col: str) -> dict[str,
     for r in chosen.orderBy("lang", "k", "text").collect():
         out.setdefault(r["lang"], []).append(r["text"])
     drop_staged(keys)
+    drop_staged(share)
     return out
 
 
