@@ -21,8 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces that one worker remembers; later ones are encoded again in each batch.
 REMEMBERED = 150_000
-#: UTF-8 bytes of text that are encoded at once.
-ENCODED_BYTES = 1 << 20
+#: UTF-8 bytes of text that are encoded at once: each distinct run in them is looked up once.
+ENCODED_BYTES = 4 << 20
 #: Longer ones are not remembered.
 LONGEST = 128
 
