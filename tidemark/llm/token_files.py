@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, uri: str | N
         part = TaskContext.get().partitionId()
         name = f"part-{part:07d}-{uuid.uuid4().hex}"
         ids, sizes, nulls, out = [], [], 0, None
-        for b in text_slices(batches, "text", ENCODED_BYTES):
+        for b in text_slices(batches, "text", 2 * ENCODED_BYTES):
             out = out or open_output(f"{uri}/{name}.bin")
             tokens, n = encode(b.column(1), tokenizer)
             ends = np.cumsum(n)
