@@ -18,6 +18,8 @@ from tidemark.llm.quality import keep_quality
 from tidemark.llm.repeats import remove_repeats
 
 END_ID = 2
+#: Bytes of text that packing encodes at once: few, as its workers still hold memory of the stages before.
+ENCODED_AT_ONCE = 1 << 20
 #: Bytes of digests of (doc_id, text) to leave out that are broadcast at most, and of each; more are joined by a shuffle.
 BROADCAST_BYTES, ID_BYTES = 64 << 20, 64
 
@@ -76,7 +78,7 @@ def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, packed into sequences of at most 1024 ids."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, at_once=ENCODED_AT_ONCE)
 
 
 STAGES = [

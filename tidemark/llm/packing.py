@@ -111,14 +111,15 @@ def pack(lengths: list[int], cap: int) -> tuple[np.ndarray, np.ndarray]:
     return which, offset
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: int = 1024, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: int = 1024, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", at_once: int = ENCODED_BYTES) -> DataFrame:
     """Every document's ids with end_id appended, cut into pieces of at most cap ids, packed into sequences.
 
     Only documents of more than cap ids are cut; their first piece may be the shorter one. Returns a row per
     piece: id_col, piece, start, length, ids_crc32, sequence_id, offset and, if wanted, ids. Null and empty
     texts are pieces of one id; repeated rows and null ids are pieces of their own; an empty table gives no
     rows. Other columns are not read. Pieces are dealt in turn to groups of about GROUP_DOCS documents', each packed
-    in one task, so no group grows with the data or with one text; what that can cost is one underfull sequence a group.
+    in one task, so no group grows with the data or with one text. at_once: bytes of text that are encoded together,
+    which is the memory a worker takes and not the result; what that can cost is one underfull sequence a group.
     """
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = src.schema["id"].dataType.simpleString()
@@ -127,7 +128,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: int = 1024
 
     def cut(batches):
         turn = hash((TaskContext.get().partitionId() * 0x9E3779B1) & 0xFFFFFFFF)
-        for b in text_slices(batches, "text", ENCODED_BYTES):
+        for b in text_slices(batches, "text", at_once):
             tokens, n = encode(b.column(1), tokenizer)
             tokens = np.insert(tokens, np.cumsum(n), end_id).astype("<u4")
             n = n + 1
