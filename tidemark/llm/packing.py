@@ -118,8 +118,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, cap: int = 1024
     piece: id_col, piece, start, length, ids_crc32, sequence_id, offset and, if wanted, ids. Null and empty
     texts are pieces of one id; repeated rows and null ids are pieces of their own; an empty table gives no
     rows. Other columns are not read. Pieces are dealt in turn to groups of about GROUP_DOCS documents', each packed
-    in one task, so no group grows with the data or with one text. at_once: bytes of text that are encoded together,
-    which is the memory a worker takes and not the result; what that can cost is one underfull sequence a group.
+    in one task, so no group grows with the data or with one text; what that can cost is one underfull sequence a
+    group. at_once: bytes of text that are encoded together, which changes a worker's memory and not the result.
     """
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = src.schema["id"].dataType.simpleString()
