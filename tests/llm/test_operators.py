@@ -331,11 +331,12 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert decontamination.find_benchmark(docs.select("doc_id", "text"), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_index_finds_what_is_there():
+@pytest.mark.parametrize("n_symbols", [2, 5, 300])
+def test_index_finds_what_is_there(n_symbols):
     r = np.random.default_rng(2)
     sizes = r.integers(1, 40, 30)
-    symbols = r.integers(1, 5, int(sizes.sum()))
-    index = decontamination.FMIndex(symbols, sizes, 5)
+    symbols = r.integers(1, n_symbols, int(sizes.sum()))
+    index = decontamination.FMIndex(symbols, sizes, n_symbols)
     first = np.cumsum(sizes) - sizes
     patterns = [symbols[a : a + n].tolist() for a, n in zip(r.integers(0, len(symbols) - 6, 60), r.integers(1, 6, 60))]
     back = np.zeros((6, len(patterns)), np.int64)

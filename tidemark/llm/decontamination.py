@@ -1,11 +1,11 @@
 r"""Benchmark decontamination by an FM-index of each shard of the training texts.
 
 Texts are lower-cased (A-Z) and cut into words of digits, ASCII letters and characters beyond ASCII. A word
-that no benchmark item has cannot be in an occurrence of a phrase, so a shard is indexed as its runs of
-benchmark words that are long enough, each closed by a separator: suffix array, BWT and a wavelet tree of the
-BWT for ranks. All phrases are searched backward at once, occurrences are located by sampled suffix positions,
-and their words merge into spans. Phrases are read from the shared folder block by block, so a worker holds one
-block of a bounded size whatever the benchmark's.
+that no benchmark item has cannot be in an occurrence of a phrase, so a shard is indexed, once, as its runs of
+benchmark words that are long enough, each closed by a separator. What is kept of it are the BWT, as a wavelet tree of
+bits with ranks, and sampled suffix positions. A block's phrases are searched backward at once, occurrences are located
+by the sampled positions, and their words merge into spans. Phrases are read from the shared folder block by block, so
+a worker holds one block of a bounded size whatever the benchmark's.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .files import local_path, open_output
 BLOCK_BYTES = 1 << 20
 #: One of so many suffix positions is kept, and each run's first.
 SAMPLED = 16
+#: The ending of the name of a block's file of words.
+WORDS = "-words"
 
 _LOWER = np.full(256, 32, np.uint8)
 _LOWER[48:58] = np.arange(48, 58)
@@ -71,27 +73,53 @@ class Phrases:
         self.item = np.array([i for o in owners for i in o], np.int64)
 
 
+class Bits:
+    """A sequence of bits with ranks: 64 of them to a word, and the ones before each word."""
+
+    def __init__(self, ones: np.ndarray):
+        packed = np.packbits(ones, bitorder="little")
+        self.words = np.zeros(len(ones) // 64 + 1, "<u8")
+        self.words.view(np.uint8)[: len(packed)] = packed
+        in_word = np.bitwise_count(self.words).astype(np.int32)
+        self.before = np.cumsum(in_word, dtype=np.int32) - in_word
+        self.zeros = len(ones) - int(in_word.sum())
+
+    def __getitem__(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        lower = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[place >> 6] + np.bitwise_count(self.words[place >> 6] & lower).astype(np.int64)
+
+
 class WaveletTree:
     """Ranks of symbols in a sequence, level by level from the highest bit, with zeros moved to the front."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
-        self.bits = max(1, int(n_symbols - 1).bit_length())
-        self.zeros: list[np.ndarray] = []  # zeros before each place
-        for shift in range(self.bits - 1, -1, -1):
-            one = (symbols >> shift) & 1
-            self.zeros.append(np.r_[0, np.cumsum(1 - one)].astype(np.int32))
-            symbols = np.r_[symbols[one == 0], symbols[one == 1]]
+        self.levels: list[Bits] = []
+        for shift in range(max(1, int(n_symbols - 1).bit_length()) - 1, -1, -1):
+            one = (symbols >> shift & 1).astype(bool)
+            self.levels.append(Bits(one))
+            symbols = np.r_[symbols[~one], symbols[one]]
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its place."""
         low = np.zeros_like(place)
-        for shift, zeros in zip(range(self.bits - 1, -1, -1), self.zeros):
-            one = ((symbol >> shift) & 1).astype(bool)
-            low_zero, place_zero = zeros[low], zeros[place]
-            low = np.where(one, zeros[-1] + low - low_zero, low_zero)
-            place = np.where(one, zeros[-1] + place - place_zero, place_zero)
+        for shift, bits in zip(range(len(self.levels) - 1, -1, -1), self.levels):
+            one = (symbol >> shift & 1).astype(bool)
+            low, place = (np.where(one, bits.zeros + r, x - r) for x, r in ((low, bits.rank(low)), (place, bits.rank(place))))
         return place - low
 
+    def at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it stands before that."""
+        low, symbol = np.zeros_like(place), np.zeros_like(place)
+        for bits in self.levels:
+            one = bits[place]
+            symbol = symbol << 1 | one
+            low, place = (np.where(one, bits.zeros + r, x - r) for x, r in ((low, bits.rank(low)), (place, bits.rank(place))))
+        return symbol, place - low
+
 
 class FMIndex:
     """Of runs of symbols from 1 up, each of at least one, given joined with their lengths."""
@@ -114,15 +142,14 @@ class FMIndex:
             if fresh[-1] == n - 1:
                 break
             step *= 2
-        self.size, self.bwt = n, text[order - 1].astype(np.int32)
+        self.size = n
         self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=n_symbols))]
-        self.tree = WaveletTree(self.bwt, n_symbols)
+        self.tree = WaveletTree(text[order - 1], n_symbols)
         start = np.zeros(n, bool)
         start[np.r_[0, ends[:-1] + 1]] = True
-        #: Rows whose suffix positions are kept, how many of them stand before each row, and those positions.
-        self.sampled = (order % SAMPLED == 0) | start[order]
-        self.before_row = (np.cumsum(self.sampled) - self.sampled).astype(np.int32)
-        self.position = order[self.sampled].astype(np.int32)
+        #: Rows whose suffix positions are kept, and those positions.
+        kept = (order % SAMPLED == 0) | start[order]
+        self.sampled, self.position = Bits(kept), order[kept].astype(np.int32)
         self.ends = ends
 
     def search(self, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,53 +170,71 @@ class FMIndex:
         rows, steps = rows.copy(), np.zeros(len(rows), np.int64)
         going = np.flatnonzero(~self.sampled[rows])
         while len(going):
-            c = self.bwt[rows[going]]
-            rows[going] = self.before[c] + self.tree.rank(c, rows[going])
+            c, times = self.tree.at(rows[going])
+            rows[going] = self.before[c] + times
             steps[going] += 1
             going = going[~self.sampled[rows[going]]]
-        at = self.position[self.before_row[rows]] + steps
+        at = self.position[self.sampled.rank(rows)] + steps
         return at - np.searchsorted(self.ends, at)  # in the joined symbols: without the separators before
 
 
-def occurrences(words: pa.Array, counts: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Places, among the words of all texts, at which windows occur; and those windows."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not len(phrases.size) or not len(words):
-        return none
-    code = pc.fill_null(pc.index_in(words, value_set=phrases.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    known = code >= 0
-    head = known & np.r_[True, ~known[:-1] | (doc[1:] != doc[:-1])]
-    run = np.cumsum(head)[known] - 1
-    sizes = np.bincount(run, minlength=1)
-    long = sizes >= phrases.size.min()
-    if not long.any():
-        return none
-    places = np.flatnonzero(known)[long[run]]
-    index = FMIndex(code[places] + 1, sizes[long], len(phrases.vocabulary) + 1)
-    low, high = index.search(phrases.back)
-    times = np.maximum(high - low, 0)
-    window = np.repeat(np.arange(len(times)), times)
-    return places[index.locate(low[window] + ragged(times))], window
+class Shard:
+    """An FM-index of texts, given as their joined words and numbers of words, for blocks of phrases."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray, blocks: list[str]):
+        coded = words.dictionary_encode()
+        known, shortest = np.zeros(len(coded.dictionary), bool), None
+        for block in blocks:
+            vocabulary, least = load(block + WORDS)
+            if least is not None:
+                known |= pc.is_in(coded.dictionary, value_set=vocabulary).to_numpy(zero_copy_only=False)
+                shortest = least if shortest is None else min(shortest, least)
+        self.vocabulary = coded.dictionary.filter(pa.array(known))
+        code = np.where(known, np.cumsum(known), 0)[coded.indices.to_numpy(zero_copy_only=False)]
+        doc = np.repeat(np.arange(len(counts)), counts)
+        there = code > 0
+        head = there & np.r_[True, ~there[:-1] | (doc[1:] != doc[:-1])][: len(there)]
+        run = np.cumsum(head)[there] - 1
+        sizes = np.bincount(run, minlength=1)
+        long = sizes >= (shortest or 1)
+        self.places = np.flatnonzero(there)[long[run]]
+        self.index = FMIndex(code[self.places], sizes[long], len(self.vocabulary) + 1) if len(self.places) else None
+
+    def occurrences(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Places, among the words of all texts, at which windows occur; and those windows."""
+        if self.index is None or not len(phrases.size):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        code = pc.index_in(phrases.vocabulary, value_set=self.vocabulary)
+        code = np.r_[0, pc.fill_null(code, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1]
+        back = code[phrases.back]
+        # A window with a word that the texts do not have is not looked for.
+        whole = np.flatnonzero(((back > 0) == (phrases.back > 0)).all(axis=0))
+        low, high = self.index.search(back[:, whole])
+        times = np.maximum(high - low, 0)
+        window = np.repeat(np.arange(len(times)), times)
+        return self.places[self.index.locate(low[window] + ragged(times))], whole[window]
 
 
 def write_phrases(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> list[str]:
-    """Blocks of phrases as files in the shared folder, made by the tasks that read the table; their names."""
+    """Blocks of phrases as files in the shared folder, made by the tasks that read the table; their names. Beside each
+    is a file of its words and the length of its shortest window."""
     uri = shared_dir(benchmark.sparkSession)
     rows = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("i"), benchmark[text_col].alias("t")).where("t is not null")
 
     def run(batches):
         for b in text_slices(batches, "t", BLOCK_BYTES):
             name = f"{uri}/phrases-{uuid.uuid4().hex}"
-            with open_output(name) as f:
-                f.write(pickle.dumps(Phrases(list(zip(*(c.to_pylist() for c in b.columns))), width)))
+            phrases = Phrases(list(zip(*(c.to_pylist() for c in b.columns))), width)
+            for end, kept in (("", phrases), (WORDS, (phrases.vocabulary, min(phrases.size.tolist(), default=None)))):
+                with open_output(name + end) as f:
+                    f.write(pickle.dumps(kept))
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
     return [r["name"] for r in by_bytes(rows).mapInArrow(run, "name string").collect()]
 
 
-@lru_cache(1)
-def load_phrases(uri: str) -> Phrases:
+@lru_cache(2)
+def load(uri: str) -> Phrases | tuple[pa.Array, int | None]:
     if (path := local_path(uri)) is not None:
         with open(path, "rb") as f:
             return pickle.load(f)
@@ -222,9 +267,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_
             doc = np.repeat(np.arange(len(counts)), counts)
             edge = np.zeros(n + 1, np.int64)
             items: dict[int, set[str]] = {}
+            shard = Shard(words, counts, blocks)
             for block in blocks:
-                phrases = load_phrases(block)
-                place, window = occurrences(words, counts, phrases)
+                phrases = load(block)
+                place, window = shard.occurrences(phrases)
                 np.add.at(edge, place, 1)
                 np.add.at(edge, place + phrases.size[window], -1)
                 pairs = np.unique(doc[place] * max(len(phrases.size), 1) + window)
