@@ -73,6 +73,11 @@ class Phrases:
         self.item = np.array([i for o in owners for i in o], np.int64)
 
 
+#: Each bit of a word, and those lower than it.
+BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+LOWER_BITS = BIT - np.uint64(1)
+
+
 class Bits:
     """A sequence of bits with ranks: 64 of them to a word, and the ones before each word."""
 
@@ -85,12 +90,12 @@ class Bits:
         self.zeros = len(ones) - int(in_word.sum())
 
     def __getitem__(self, place: np.ndarray) -> np.ndarray:
-        return (self.words[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return (self.words[place >> 6] & BIT[place & 63]) > 0
 
     def rank(self, place: np.ndarray) -> np.ndarray:
         """Ones before each place."""
-        lower = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[place >> 6] + np.bitwise_count(self.words[place >> 6] & lower).astype(np.int64)
+        word = place >> 6
+        return self.before[word] + np.bitwise_count(self.words[word] & LOWER_BITS[place & 63])
 
 
 class WaveletTree:
