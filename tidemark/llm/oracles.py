@@ -74,3 +74,44 @@ y AS (SELECT doc_id, word, i, max(twice) OVER (PARTITION BY doc_id ORDER BY i RO
 z AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM y GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN z ON z.doc_id = w.doc_id"""
 )
+
+_KIND_NAMES = "['assign', 'access', 'hex', 'login', 'opaque', 'endpoint']"
+
+
+def _either_case(words: str) -> str:
+    """A pattern whose ASCII letters match in either case, and no others as (?i) would."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _matches(kind: int, pattern: str, group: int = 0) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"SELECT row, {kind} AS kind, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS v, string_split_regex(text, {p}) AS g FROM d"
+
+
+_VALUE = r"""["']?\x20*[:=]\x20*["']?"""
+_PLACED = " UNION ALL ".join(
+    [
+        _matches(0, f"(?:{_either_case('password|passwd|secret|token|api_?key')}){_VALUE}([A-Za-z0-9+/_.=-]+)", 1),
+        _matches(1, "AKIA[A-Z0-9]+"),
+        _matches(2, "[0-9a-f]+"),
+        _matches(3, f"(?:{_either_case('user(name)?|login|account|client_?id')}){_VALUE}[A-Za-z0-9_.@-]{{3,}}"),
+        _matches(4, "[A-Za-z0-9+/]{32,}"),
+        _matches(5, "(?:https?|ftp|ssh|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@-]+"),
+        _matches(6, r"\n[ \t\r]*\n"),
+    ]
+)
+
+SECRETS = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+h AS ({_PLACED}),
+e AS (SELECT row, kind, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM h WHERE len(m) > 0),
+c AS (SELECT row, kind, m, v, sum(length(g) + length(m)) OVER (PARTITION BY row, kind ORDER BY i) AS stop FROM e),
+s AS (SELECT row, kind, stop - length(m) AS start, stop FROM c WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 1 THEN length(m) >= 20 WHEN 2 THEN length(m) >= 24
+ WHEN 4 THEN length(m) <= 128 AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]') ELSE true END),
+w AS (SELECT *, count(*) FILTER (WHERE kind = 6) OVER o AS scope, coalesce(max(stop) FILTER (WHERE kind < 3) OVER o, -1) >= stop AS inside FROM s WINDOW o AS (PARTITION BY row ORDER BY start)),
+p AS (SELECT row, kind, start, stop, scope, CASE WHEN kind IN (1, 3) THEN 'identifier' WHEN kind = 5 THEN 'endpoint' ELSE 'secret' END AS role FROM w WHERE kind < 3 OR (kind < 6 AND NOT inside)),
+l AS (SELECT DISTINCT x.* FROM p AS x JOIN p AS y ON x.row = y.row AND x.scope = y.scope AND x.role <> y.role AND (y.start - x.stop BETWEEN 0 AND 200 OR x.start - y.stop BETWEEN 0 AND 200) WHERE x.role <> 'endpoint' AND y.role <> 'endpoint'),
+t AS (SELECT row, kind, start, stop FROM l WHERE kind >= 3 UNION SELECT x.row, x.kind, x.start, x.stop FROM p AS x JOIN l AS y ON x.row = y.row AND x.scope = y.scope AND (y.start - x.stop BETWEEN 0 AND 200 OR x.start - y.stop BETWEEN 0 AND 200) WHERE x.role = 'endpoint'),
+a AS (SELECT row, kind, start, stop FROM s WHERE kind < 3 UNION ALL SELECT * FROM t),
+r AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans
+ FROM (SELECT *, {_KIND_NAMES}[kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS name FROM a) AS z GROUP BY row)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r ON r.row = d.row"""

@@ -14,6 +14,7 @@ from .near_duplicates import near_duplicate_groups
 from .packing import pack_documents
 from .quality import quality_report
 from .repeats import remove_repeats
+from .secrets import n_of, scan_secrets, written
 from .sharding import shard_documents
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
@@ -82,9 +83,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, remainder(5) != 1, also=("held_out",))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(documents(spark, sf_dir))
+    counts = [n_of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 def queries() -> dict:
-    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op4_near_duplicates": op4, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9, "op10_language_model": op10}
+    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op4_near_duplicates": op4, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9, "op10_language_model": op10, "op11_secrets": op11}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": oracles.QUALITY, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op5_decontamination": oracles.DECONTAMINATION, "op7_repeats": oracles.REPEATS}
+    return {"op2_quality": oracles.QUALITY, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op5_decontamination": oracles.DECONTAMINATION, "op7_repeats": oracles.REPEATS, "op11_secrets": oracles.SECRETS}
