@@ -14,6 +14,7 @@ from .near_duplicates import near_duplicate_groups
 from .packing import pack_documents
 from .quality import quality_report
 from .repeats import remove_repeats
+from .resampling import resample
 from .secrets import n_of, scan_secrets, written
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -89,8 +90,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample(documents(spark, sf_dir), benchmark).drop("n_words")
+
+
 def queries() -> dict:
-    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op4_near_duplicates": op4, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9, "op10_language_model": op10, "op11_secrets": op11}
+    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op4_near_duplicates": op4, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9, "op10_language_model": op10, "op11_secrets": op11, "op13_resampling": op13}
 
 
 def oracle_sql() -> dict[str, str]:
