@@ -12,6 +12,7 @@ from .language import identify_language
 from .language_model import score_texts
 from .near_duplicates import near_duplicate_groups
 from .packing import pack_documents
+from .prefix_trie import prefix_trie
 from .quality import quality_report
 from .repeats import remove_repeats
 from .resampling import resample
@@ -90,13 +91,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return resample(documents(spark, sf_dir), benchmark).drop("n_words")
 
 
 def queries() -> dict:
-    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op4_near_duplicates": op4, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9, "op10_language_model": op10, "op11_secrets": op11, "op13_resampling": op13}
+    return {"op1_language": op1, "op2_quality": op2, "op3_token_counts": op3, "op4_near_duplicates": op4, "op5_decontamination": op5, "op6_token_files": op6, "op7_repeats": op7, "op8_packing": op8, "op9_sharding": op9, "op10_language_model": op10, "op11_secrets": op11, "op12_prefix_trie": op12, "op13_resampling": op13}
 
 
 def oracle_sql() -> dict[str, str]:
