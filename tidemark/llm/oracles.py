@@ -115,3 +115,46 @@ a AS (SELECT row, kind, start, stop FROM s WHERE kind < 3 UNION ALL SELECT * FRO
 r AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans
  FROM (SELECT *, {_KIND_NAMES}[kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS name FROM a) AS z GROUP BY row)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r ON r.row = d.row"""
+
+# crc32: a table of the 256 bytes' remainders, then one step for each byte of a text.
+_CRC_TABLE = """crc_steps(i, c, s) AS (SELECT i, i, 0 FROM range(256) AS r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, s + 1 FROM crc_steps WHERE s < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS tab FROM crc_steps WHERE s = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """crc32 of the UTF-8 bytes of a text, where crc_table is in the FROM clause."""
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+PREFIX_TRIE = f"""WITH RECURSIVE {_CRC_TABLE},
+x AS (SELECT conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said, len({_WORDS}) AS words FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, md5(said) AS said, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(said)) AS i FROM x),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS head, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM n, crc_table),
+r AS (SELECT c.conv_id, i AS depth, said, words FROM c JOIN t ON t.conv_id = c.head AND i <= h UNION ALL
+ SELECT c.conv_id, i - h + least(h, coalesce(n.n, 0)), said, words FROM c JOIN t ON t.conv_id = c.conv_id AND i > h LEFT JOIN n ON n.conv_id = c.head),
+p AS (SELECT conv_id, 0 AS depth, '' AS path, 0 AS words FROM c UNION ALL SELECT conv_id, depth, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth), words FROM r),
+z AS (SELECT conv_id, max(depth) AS size FROM p GROUP BY conv_id),
+g AS (SELECT path, depth, min(p.conv_id) AS conv_id, count(*) AS n, max(words) AS words, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (WHERE depth = size) AS ends FROM p JOIN z ON z.conv_id = p.conv_id GROUP BY path, depth),
+k AS (SELECT path[1:32 * (depth - 1)] AS path, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY 1),
+a AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k ON k.path = g.path),
+u AS (SELECT path, depth, n, words, n_children, unnest(range(depth + 1)) AS above FROM a),
+s AS (SELECT path[1:32 * above] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n - 1) * words) AS BIGINT) AS saved_tokens FROM u GROUP BY 1)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, o.conv_id AS parent_conv_id, a.n AS n_convs, a.n_children, n_leaves, saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM a JOIN s ON s.path = a.path LEFT JOIN a AS o ON a.depth > 0 AND o.path = a.path[1:32 * (a.depth - 1)]"""
+
+RESAMPLING = f"""WITH RECURSIVE {_CRC_TABLE},
+w AS (SELECT 0 AS corpus, row_number() OVER () AS row, doc_id, {_PLAIN} AS words FROM documents UNION ALL SELECT 1, 0, NULL, {_PLAIN} FROM benchmark),
+u AS (SELECT corpus, row, words, generate_subscripts(words, 1) AS i FROM w),
+f AS (SELECT corpus, row, words[i] AS feature FROM u UNION ALL SELECT corpus, row, words[i] || ' ' || words[i + 1] FROM u WHERE i < len(words)),
+q AS (SELECT feature, {_crc32("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM f) AS y, crc_table),
+b AS (SELECT corpus, row, bucket, count(*) AS n FROM f JOIN q ON q.feature = f.feature GROUP BY corpus, row, bucket),
+t AS (SELECT coalesce(sum(n) FILTER (WHERE corpus = 0), 0) AS big_s, coalesce(sum(n) FILTER (WHERE corpus = 1), 0) AS big_t FROM b),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(sum(n) FILTER (WHERE corpus = 1), 0) + 1)::DOUBLE * (any_value(big_s) + 10000)::DOUBLE / ((coalesce(sum(n) FILTER (WHERE corpus = 0), 0) + 1)::DOUBLE * (any_value(big_t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM b, t GROUP BY bucket),
+s AS (SELECT row, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * gain) AS BIGINT) AS total FROM b JOIN g ON g.bucket = b.bucket WHERE corpus = 0 GROUP BY row),
+d AS (SELECT w.row, doc_id, len(words) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - (total % n + n) % n) // n ELSE 0 END AS weight,
+ CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN s ON s.row = w.row WHERE corpus = 0),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS fit FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * fit // 100 THEN place END AS rank FROM o"""

@@ -105,4 +105,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": oracles.QUALITY, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op5_decontamination": oracles.DECONTAMINATION, "op7_repeats": oracles.REPEATS, "op11_secrets": oracles.SECRETS}
+    return {"op2_quality": oracles.QUALITY, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op5_decontamination": oracles.DECONTAMINATION, "op7_repeats": oracles.REPEATS, "op11_secrets": oracles.SECRETS, "op12_prefix_trie": oracles.PREFIX_TRIE, "op13_resampling": oracles.RESAMPLING}
