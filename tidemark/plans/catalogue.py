@@ -10,7 +10,7 @@ from ..operators import account, candles, catalog, flow, market, series, tape
 from ..operators.core import capped, latest, newest, time_range
 from ..sources.schemas import layouts
 from ..sources.shared import shared_folder
-from . import imports  # noqa: F401  its queries are registered too
+from . import histories, imports  # noqa: F401  their queries are registered too
 from . import views as V
 from .registry import oracle_sql, queries, register  # noqa: F401
 

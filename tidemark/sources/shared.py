@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where a session on one machine names no shared folder (local runs and tests).
 LOCAL = "file:///tmp/checkpoints"
@@ -19,3 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = LOCAL
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what reads it neither makes it again nor needs the executors that made it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
