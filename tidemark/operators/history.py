@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import round8, signed
+from ..functions.expressions import signed
 from .core import latest
 from .scan import affine_scan, numbered, running_total, with_halo
 from .tape import ID, TIES, keys
@@ -27,7 +27,7 @@ def seeded(x: Column, at: Column, n: int, weight: float) -> tuple[Column, Column
 
 def indicator_history(candles: DataFrame, by: Sequence[str] = ("market", "symbol"), time: str = "open_time") -> DataFrame:
     """by, time, close and at every candle: sma20, ema20, rsi14, macd_line, macd_signal, macd_histogram, upper_band, middle_band,
-    lower_band and atr14; null where there are too few candles before, as in indicators of the latest candle.
+    lower_band and atr14; null where there are too few candles before, as in indicators of the latest candle, but with all decimals.
 
     Candles are one per group and time, with high, low and close; time and prices are not null. Averages of the last
     20 candles see 19 of the block before; recursions go through blocks as affine maps. Four shuffles of the
@@ -55,13 +55,13 @@ def indicator_history(candles: DataFrame, by: Sequence[str] = ("market", "symbol
     made = {
         "sma20": F.when(full, mean),
         "ema20": F.when(full, F.col("ema20")),
-        "rsi14": F.when(nth >= 14, round8(rsi)),
-        "macd_line": F.when(nth >= 33, round8(line)),
-        "macd_signal": F.when(nth >= 33, round8(signal)),
-        "macd_histogram": F.when(nth >= 33, round8(line - signal)),
-        "upper_band": F.when(full, round8(mean + 2 * dev)),
-        "middle_band": F.when(full, round8(mean)),
-        "lower_band": F.when(full, round8(mean - 2 * dev)),
-        "atr14": F.when(nth >= 14, round8(F.col("__range"))),
+        "rsi14": F.when(nth >= 14, rsi),
+        "macd_line": F.when(nth >= 33, line),
+        "macd_signal": F.when(nth >= 33, signal),
+        "macd_histogram": F.when(nth >= 33, line - signal),
+        "upper_band": F.when(full, mean + 2 * dev),
+        "middle_band": F.when(full, mean),
+        "lower_band": F.when(full, mean - 2 * dev),
+        "atr14": F.when(nth >= 14, F.col("__range")),
     }
     return rows.select(*by, time, "close", *[c.alias(k) for k, c in made.items()])

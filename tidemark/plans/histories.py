@@ -54,9 +54,9 @@ _RANGE = "greatest(c.high - c.low, abs(c.high - c.before), abs(c.low - c.before)
 RECURSION = f"""SELECT DISTINCT market, CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS e, 0.0::DOUBLE AS f, 0.0::DOUBLE AS s, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l, 0.0::DOUBLE AS a, 0.0::DOUBLE AS m FROM c
  UNION ALL SELECT market, i, e, f, s, g, l, a, {_STEP.format(i='i - 25', n=9, y='m', x='(f - s)', w='0.2')} FROM (SELECT c.market, c.i, {_step('e', 'c.close', 20, '2.0 / 21')} AS e, {_step('f', 'c.close', 12, '2.0 / 13')} AS f, {_step('s', 'c.close', 26, '2.0 / 27')} AS s,
  {_step('g', _GAIN, 14, '1.0 / 14', 'c.i - 1')} AS g, {_step('l', _LOSS, 14, '1.0 / 14', 'c.i - 1')} AS l, {_step('a', _RANGE, 14, '1.0 / 14', 'c.i - 1')} AS a, r.m FROM r JOIN c ON c.market = r.market AND c.i = r.i + 1) AS x"""
-EVERY = """SELECT c.market, open_time, close, CASE WHEN c.i >= 20 THEN avg(close) OVER w END AS sma20, CASE WHEN c.i >= 20 THEN e END AS ema20, CASE WHEN c.i < 15 THEN NULL WHEN g = 0 AND l = 0 THEN 50 WHEN l = 0 THEN 100 ELSE round(100 - 100 / (1 + g / l), 8) END AS rsi14,
- CASE WHEN c.i >= 34 THEN round(f - s, 8) END AS macd_line, CASE WHEN c.i >= 34 THEN round(m, 8) END AS macd_signal, CASE WHEN c.i >= 34 THEN round(f - s - m, 8) END AS macd_histogram, CASE WHEN c.i >= 20 THEN round(avg(close) OVER w + 2 * stddev_pop(close) OVER w, 8) END AS upper_band,
- CASE WHEN c.i >= 20 THEN round(avg(close) OVER w, 8) END AS middle_band, CASE WHEN c.i >= 20 THEN round(avg(close) OVER w - 2 * stddev_pop(close) OVER w, 8) END AS lower_band, CASE WHEN c.i >= 15 THEN round(a, 8) END AS atr14
+EVERY = """SELECT c.market, open_time, close, CASE WHEN c.i >= 20 THEN avg(close) OVER w END AS sma20, CASE WHEN c.i >= 20 THEN e END AS ema20, CASE WHEN c.i < 15 THEN NULL WHEN g = 0 AND l = 0 THEN 50 WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END AS rsi14,
+ CASE WHEN c.i >= 34 THEN f - s END AS macd_line, CASE WHEN c.i >= 34 THEN m END AS macd_signal, CASE WHEN c.i >= 34 THEN f - s - m END AS macd_histogram, CASE WHEN c.i >= 20 THEN avg(close) OVER w + 2 * stddev_pop(close) OVER w END AS upper_band,
+ CASE WHEN c.i >= 20 THEN avg(close) OVER w END AS middle_band, CASE WHEN c.i >= 20 THEN avg(close) OVER w - 2 * stddev_pop(close) OVER w END AS lower_band, CASE WHEN c.i >= 15 THEN a END AS atr14
  FROM c JOIN r ON r.market = c.market AND r.i = c.i WINDOW w AS (PARTITION BY c.market ORDER BY c.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""
 
 
