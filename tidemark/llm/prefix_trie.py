@@ -76,14 +76,13 @@ def in_bands(turns: DataFrame) -> DataFrame:
 def grown(convs: DataFrame, turns: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
     """Level by level from the root, the nodes of many conversations: for each depth those nodes, (conv, node, size) of
     their conversations, and (conv, size, node, parent, depth, n) of those whose next node needs no further level."""
-    root = convs.agg(F.min("conv").alias("conv_id"), F.count("*").alias("n"))
-    nodes = [staged(root.select("conv_id", F.lit(None).cast("long").alias("parent"), "n", F.lit(0).cast("long").alias("words")))]
-    live = convs.crossJoin(F.broadcast(root.select(F.col("conv_id").alias("node"))))
+    root = convs.agg(F.min("conv").alias("conv_id"), F.lit(None).cast("long").alias("parent"), F.count("*").alias("n"), F.lit(0).cast("long").alias("words"))
+    nodes = [staged(root)]
+    live = convs.withColumn("node", F.lit(nodes[0].first()["conv_id"]))
     lives, finished = [], []
     large = (F.col("n") > SUBTREE_CONVERSATIONS) | ((F.col("n") > 1) & (F.col("turns") > SUBTREE_TURNS))
     while True:
         depth = len(nodes)
-        live = staged(live) if depth == 1 else live
         lives.append(live)
         next_turns = turns.where((F.col("band") == depth.bit_length() - 1) & (F.col("depth") == depth)).select("conv", "turn", "n_words")
         steps = staged(live.where(F.col("size") >= depth).withColumnRenamed("node", "parent").join(next_turns, "conv"))
@@ -235,8 +234,8 @@ def prefix_trie(conversations: DataFrame, family: int = 20, most: int = 4) -> Da
     not read, and no text is shuffled: turns go by 128 bits. The cluster's levels are as many as the depth at which some
     node still has more than SUBTREE_CONVERSATIONS conversations, some jobs each; each ends in staged tables.
     """
-    rebuilt, rows = shared_heads(as_turns(conversations), family, most)
-    convs, turns = rebuilt, in_bands(rows)
+    convs, rows = shared_heads(as_turns(conversations), family, most)
+    turns = in_bands(rows)
     if convs.isEmpty():
         return convs.sparkSession.createDataFrame([], NODE)
     nodes, lives, finished = grown(convs, turns)
