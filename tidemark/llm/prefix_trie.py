@@ -78,7 +78,7 @@ def grown(convs: DataFrame, turns: DataFrame) -> tuple[list[DataFrame], list[Dat
     their conversations, and (conv, size, node, parent, depth, n) of those whose next node needs no further level."""
     root = convs.agg(F.min("conv").alias("conv_id"), F.lit(None).cast("long").alias("parent"), F.count("*").alias("n"), F.lit(0).cast("long").alias("words"))
     nodes = [staged(root)]
-    live = convs.withColumn("node", F.lit(nodes[0].first()["conv_id"]))
+    live = convs.withColumn("node", F.lit(nodes[0].first()["conv_id"]).cast("long"))
     lives, finished = [], []
     large = (F.col("n") > SUBTREE_CONVERSATIONS) | ((F.col("n") > 1) & (F.col("turns") > SUBTREE_TURNS))
     while True:
