@@ -1,4 +1,5 @@
-"""Queries over whole histories: the row in force at each trade, running sums and indicators at every row."""
+"""Queries over whole histories: the row in force at each trade, running sums and indicators at every row, and a
+stream that corrects its buckets."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import history, tape
 from ..operators.core import latest
 from ..operators.scan import asof_join
+from ..sources.shared import shared_folder
+from ..streaming.revisions import RevisedBuckets
 from . import views as V
 from .registry import register
 
@@ -69,3 +72,24 @@ def _(spark, d):
     """All symbols of a market as one, so that its history is long."""
     bars = tape.to_candles(V.tape_raw(spark, d).withColumn("symbol", F.lit("ALLUSDT")), "trades", 900, "15m")
     return history.indicator_history(bars, ["market"])
+
+
+MOVED = "SELECT * REPLACE (CASE WHEN imported_at = 2 AND trade_id % 2 = 0 THEN event_time + INTERVAL 3 DAY ELSE event_time END AS event_time) FROM tape_raw"
+
+
+@register(
+    "st1_revised_buckets",
+    W(["tape_raw"], "SELECT market, symbol, bucket_start, trade_count, volume, quote_volume, taker_buy_volume, taker_sell_volume, open, close, high, low FROM b", {"moved": MOVED, "now": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, trade_id ORDER BY imported_at DESC) AS rn FROM moved) AS x WHERE rn = 1", "b": V.bucket_sql("now", 86400)}),
+    "volume quote_volume taker_buy_volume taker_sell_volume open close high low",
+)
+def _(spark, d):
+    """All trades through a stream, which then starts again and gets the republished ones, half of them at other times."""
+    src = V.tape_raw(spark, d)
+    move = (F.col("imported_at") == 2) & (F.col("trade_id") % 2 == 0)
+    src = src.withColumn("event_time", F.when(move, F.col("event_time") + F.expr("interval 3 days")).otherwise(F.col("event_time")))
+    source, checkpoint, out = shared_folder(spark), shared_folder(spark), RevisedBuckets(shared_folder(spark), "trades", 86400)
+    for revision in (1, 2):
+        src.where(F.col("imported_at") == revision).write.mode("append").parquet(source)
+        query = out.start(spark.readStream.schema(src.schema).parquet(source), checkpoint, availableNow=True)
+        query.awaitTermination()
+    return out.buckets(spark).select("market", "symbol", "bucket_start", "trade_count", "volume", "quote_volume", "taker_buy_volume", "taker_sell_volume", "open", "close", "high", "low")

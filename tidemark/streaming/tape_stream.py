@@ -1,5 +1,6 @@
 """Time buckets of a growing tape. Beyond batch parity: a watermark bounds what is kept, so a trade that comes
-later than it is left out, and a republished trade does not replace the first one."""
+later than it is left out, and a republished trade does not replace the first one. revisions.py
+keeps the latest revisions, and corrects buckets that were told."""
 
 from __future__ import annotations
 
