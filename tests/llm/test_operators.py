@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -477,6 +478,36 @@ def test_few_items_are_packed_as_well_as_can_be(seed):
     assert all(a <= b + 1 for a, b in made) and sum(a == b for a, b in made) >= 5
 
 
+@pytest.mark.parametrize("low, high", [(600, 600), (520, 700), (300, 400), (1, 60), (1, 1024)])
+def test_a_group_of_its_real_size_is_packed_in_seconds(low, high):
+    r = random.Random(low)
+    lengths = [r.randint(low, high) for _ in range(packing.GROUP_PIECES)]
+    began = time.time()
+    which, offset = packing.pack(lengths, 1024)
+    assert time.time() - began < 20  # 2 seconds on an idle machine; the square of the items takes minutes
+    fill, least = np.bincount(which, lengths), -(-sum(lengths) // 1024)
+    assert fill.max() <= 1024 and fill.min() > 0 and len(fill) <= (packing.GROUP_PIECES if low > 512 else 1.11 * least)
+    order = np.lexsort((offset, which))
+    ends = (offset + np.array(lengths))[order]
+    assert (np.where(np.diff(which[order], prepend=-1) > 0, 0, np.r_[0, ends[:-1]]) == offset[order]).all()
+
+
+def test_a_document_of_very_many_pieces(spark, monkeypatch):
+    """A million ids; full pieces are sequences of their own, and short ones are dealt to groups by their number."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    rows = [(0, "word " * 1_000_000)] + [(i, prose(i, 20 + i % 7)) for i in range(1, 400)] + [(400, "same text")] * 300
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, 2).persist()
+    long = out.where("doc_id = 0").orderBy("piece").collect()
+    n = len(ids(rows[0][1])) + 1
+    assert [r.length for r in long] == [n % 1024 or 1024] + [1024] * (-(-n // 1024) - 1) and [r.start for r in long] == np.cumsum([0] + [r.length for r in long])[:-1].tolist()
+    bins = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("places"), F.count("*").alias("pieces"), F.max("length").alias("most"))
+    assert bins.where("n <> end or n > 1024 or places <> pieces or (most = 1024 and pieces > 1)").isEmpty()
+    groups = out.where("length < 1024").groupBy(F.expr("shiftright(sequence_id, 32)").alias("g")).count().collect()
+    assert len(groups) == 14 and max(r["count"] for r in groups) <= 50 + 3
+    assert bins.count() <= -(-sum(len(ids(t)) + 1 for _, t in rows) // 1024) + len(groups)
+    out.unpersist()
+
+
 # -- 9 sharding ----------------------------------------------------------------------------------------------
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, 4, bucket_bytes=5000).collect()
