@@ -1,8 +1,9 @@
 """The warehouse: typed imports into partitioned Parquet, a catalog of files and jobs, and queries over a selection.
 
-Data files are immutable and named by import. The catalog is two Parquet tables that only grow; a job's latest row
-is its state, and only files of completed jobs are read. One writer at a time within a process. The root is a folder
-that the driver and all executors have under the same path; whatever executors are told to read lies in it.
+Data files are immutable and named by import. The catalog is a log of commits; a job's latest row is its state, and
+the commit that completes a job brings its files, so nothing else is ever read. One writer at a time within a
+process, and any number of processes: of two that import the same file at once one gives the other's import. The root
+is a folder that the driver and all executors have under the same path; whatever executors are told to read lies in it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .. import validate as V
 from ..operators import candles as candle_ops
 from ..operators import catalog, series, tape
 from ..operators.core import capped
+from .commits import CommitLog
 from .files import DEFAULT_BYTES, MOST_BYTES, audit_url, download, inside_any, mounted, sha256, unzip_csv, verify
 from .schemas import FILES, JOBS, PROFILES, layouts, table_schema
 
@@ -30,34 +32,36 @@ MESSAGE_CHARS = 2000
 IDENTITY = ("checksum", "dataset", "source", "profile", "market", "symbol", "interval", "options")
 
 
+class ImportedMeanwhile(Exception):
+    """Another process has completed the same import."""
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str | Path, import_roots: Iterable[str | Path] = (), max_bytes: int = DEFAULT_BYTES):
         """Files are imported from import_roots alone: without any, by URL only. root is a path or a file: URI."""
         V.need(0 < max_bytes <= MOST_BYTES, "max_bytes: out of range")
         self.spark, self.max_bytes, self.lock = spark, max_bytes, threading.Lock()
         self.root, self.import_roots = mounted(root), [mounted(r) for r in import_roots]
+        self.log = CommitLog(spark, self.root / "catalog", {"jobs": JOBS, "files": FILES}, self._newest)
         self.arriving = self.root / "arriving"
         self.arriving.mkdir(parents=True, exist_ok=True)
 
     # -- catalog ---------------------------------------------------------------------------------------------
-    def _table(self, name: str, schema: str) -> DataFrame:
-        path = self.root / "catalog" / name
-        return self.spark.read.schema(schema).parquet(str(path)) if path.exists() else self.spark.createDataFrame([], schema)
-
-    def _append(self, name: str, rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("append").parquet(str(self.root / "catalog" / name))
+    @staticmethod
+    def _newest(name: str, rows: DataFrame) -> DataFrame:
+        """Of a job the last row; of files all."""
+        if name == "files":
+            return rows.sortWithinPartitions("dataset", "market", "symbol", "min_event_time")
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy("import_id").orderBy(F.desc("commit")))).where("k = 1").drop("k")
 
     def jobs(self) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("import_id").orderBy(F.desc("created_at"), "status"))
-        return self._table("jobs", JOBS).withColumn("k", rank).where("k = 1").drop("k")
+        return self._newest("jobs", self.log.read("jobs")).drop("commit")
 
     def files(self) -> DataFrame:
-        done = self.jobs().where("status = 'completed'").select("import_id")
-        return self._table("files", FILES).join(done, "import_id", "left_semi")
+        return self.log.read("files").drop("commit")
 
-    def _job(self, import_id: str, status: str, info: dict, message: str | None = None, rows: int | None = None) -> None:
-        row = {"import_id": import_id, "status": status, **{k: info[k] for k in IDENTITY}, "message": message and message[:MESSAGE_CHARS], "row_count": rows, "created_at": datetime.now(UTC)}
-        self._append("jobs", self.spark.createDataFrame([row], JOBS))
+    def _job(self, import_id: str, status: str, info: dict, message: str | None = None, rows: int | None = None) -> tuple[str, dict]:
+        return "jobs", {"import_id": import_id, "status": status, **{k: info[k] for k in IDENTITY}, "message": message and message[:MESSAGE_CHARS], "row_count": rows, "created_at": datetime.now(UTC).isoformat()}
 
     # -- imports ---------------------------------------------------------------------------------------------
     def import_url(self, url: str, profile: str, **labels) -> dict:
@@ -95,30 +99,49 @@ class Warehouse:
         info["checksum"] = sha256(path)
         verify(info["checksum"], labels.get("expected_sha256"))
         with self.lock:
-            same = self.jobs().where("status = 'completed'")
-            for k in IDENTITY:
-                same = same.where(F.col(k).eqNullSafe(F.lit(info[k])))
-            for old in same.collect():
-                held = self.files().where(F.col("import_id") == old["import_id"]).select("path").collect()
-                if held and all(Path(r["path"]).exists() for r in held):
-                    return {"import_id": old["import_id"], "duplicate": True, "row_count": old["row_count"]}
+            seen = self.log.version()
+            if old := self._same(info):
+                return old
             import_id = str(uuid.uuid4())
             parts = [f"{k}={info[k]}" for k in ("dataset", "source", "market", "symbol", "interval") if info[k]]
             out = self.root.joinpath("data", *parts, f"import={import_id}")
-            self._job(import_id, "running", info)
+            self.log.append([self._job(import_id, "running", info)])
             try:
                 with tempfile.TemporaryDirectory(dir=self.arriving) as folder:
                     if path.suffix.lower() == ".zip":
                         path = unzip_csv(path, folder, labels.get("zip_entry"), self.max_bytes)
                     time = self._write(path, profile, info, labels.get("has_header"), import_id, out)
-                rows = self._register(import_id, info, out, time)
+                files = self._described(import_id, info, out, time)
+                rows = sum(f["row_count"] for f in files)
+                V.need(rows > 0, "the file has no rows")
+                # What another process has completed meanwhile is looked for with each number that is tried.
+                done = [("files", f) for f in files] + [self._job(import_id, "completed", info, rows=rows)]
+                self.log.append(done, seen, lambda since: self._refuse(since, info))
             except Exception as e:
                 shutil.rmtree(out, ignore_errors=True)
-                self._job(import_id, "failed", info, str(e))
+                self.log.append([self._job(import_id, "failed", info, str(e))])
+                if isinstance(e, ImportedMeanwhile) and (old := self._same(info)):
+                    return old
                 raise
-            self._job(import_id, "completed", info, rows=rows)
             return {"import_id": import_id, "duplicate": False, "row_count": rows}
 
+    def _same(self, info: dict) -> dict | None:
+        """The completed import of the same file under the same labels whose files are all there."""
+        same = self.jobs().where("status = 'completed'")
+        for k in IDENTITY:
+            same = same.where(F.col(k).eqNullSafe(F.lit(info[k])))
+        for old in same.collect():
+            held = self.files().where(F.col("import_id") == old["import_id"]).select("path").collect()
+            if held and all(Path(r["path"]).exists() for r in held):
+                return {"import_id": old["import_id"], "duplicate": True, "row_count": old["row_count"]}
+        return None
+
+    @staticmethod
+    def _refuse(since: list[dict], info: dict) -> None:
+        for row in since:
+            if row["table"] == "jobs" and row["status"] == "completed" and all(row[k] == info[k] for k in IDENTITY):
+                raise ImportedMeanwhile(f"imported at the same time as {row['import_id']}")
+
     def _write(self, path: Path, profile: str, info: dict, has_header: bool | None, import_id: str, out: Path) -> str | None:
         now = F.lit(datetime.now(UTC))
         if profile in ("generic-csv", "parquet"):
@@ -136,21 +159,19 @@ class Warehouse:
         df.sortWithinPartitions(layout.time).write.partitionBy("year", "month").option("compression", "zstd").parquet(str(out))
         return layout.time
 
-    def _register(self, import_id: str, info: dict, out: Path, time: str | None) -> int:
+    def _described(self, import_id: str, info: dict, out: Path, time: str | None) -> list[dict]:
+        """An import's files: where and how large they are, their rows and bounds."""
         df = self.spark.read.parquet(str(out))
         empty = F.lit(None).cast("timestamp_ntz")
         low, high = (F.min(time), F.max(time)) if time else (F.min(empty), F.max(empty))
         per = df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size_bytes"))
         stats = per.agg(F.count("*").alias("row_count"), low.alias("min_event_time"), high.alias("max_event_time"))
         part = lambda name: F.regexp_extract("path", f"/{name}=(\\d+)/", 1)
-        made = {"import_id": F.lit(import_id), "created_at": F.lit(datetime.now(UTC)), "path": F.regexp_replace(F.url_decode("path"), "^file:/*", "/")}
-        made |= {k: F.lit(info[k]).cast("string") for k in ("dataset", "source", "profile", "market", "symbol", "interval")}
-        made |= {k: F.when(part(k) != "", part(k).try_cast("int")) for k in ("year", "month")}
-        rows = self.spark.createDataFrame(stats.withColumns(made).select(*[c.split()[0] for c in FILES.split(", ")]).collect(), FILES)
-        total = rows.agg(F.sum("row_count")).first()[0] or 0
-        V.need(total > 0, "the file has no rows")
-        self._append("files", rows)
-        return total
+        made = {"path": F.regexp_replace(F.url_decode("path"), "^file:/*", "/")} | {k: F.when(part(k) != "", part(k).try_cast("int")) for k in ("year", "month")}
+        labels = {k: info[k] for k in ("dataset", "source", "profile", "market", "symbol", "interval")}
+        now = datetime.now(UTC).isoformat()
+        rows = [r.asDict() | labels | {"import_id": import_id, "created_at": now} for r in stats.withColumns(made).collect()]
+        return [{k: v.isoformat() if isinstance(v, datetime) else v for k, v in r.items()} for r in rows]
 
     # -- selections ------------------------------------------------------------------------------------------
     def _there(self, path: str) -> bool:
