@@ -4,15 +4,17 @@ Texts are lower-cased (A-Z) and cut into words of digits, ASCII letters and char
 that no benchmark item has cannot be in an occurrence of a phrase, so a shard is indexed, once, as its runs of
 benchmark words that are long enough, each closed by a separator. What is kept of it are the BWT, as a wavelet tree of
 bits with ranks, and sampled suffix positions. A block's phrases are searched backward at once, occurrences are located
-by the sampled positions, and their words merge into spans. Phrases are read from the shared folder block by block, so
-a worker holds one block of a bounded size whatever the benchmark's.
+by the sampled positions, and their words merge into spans. Phrases are in the shared folder, in blocks of a bounded size whatever
+the benchmark's. A shard opens a block only if it has the rarest word of one of its windows, and a worker keeps the
+blocks that it used last.
 """
 
 from __future__ import annotations
 
 import pickle
 import uuid
-from functools import lru_cache
+from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from .files import local_path, open_output
 BLOCK_BYTES = 1 << 20
 #: One of so many suffix positions is kept, and each run's first.
 SAMPLED = 16
+#: Bytes of blocks' files that a worker holds.
+HELD_BYTES = 64 << 20
 #: The ending of the name of a block's file of words.
 WORDS = "-words"
 
@@ -72,6 +76,14 @@ class Phrases:
         self.first_item = np.cumsum(self.n_items) - self.n_items
         self.item = np.array([i for o in owners for i in o], np.int64)
 
+    def rarest(self) -> pa.Array:
+        """Of each window the word that the fewest windows of the block have."""
+        if not len(self.size):
+            return self.vocabulary.slice(0, 0)
+        times = np.bincount(self.back.ravel(), minlength=len(self.vocabulary) + 1)
+        times[0] = np.iinfo(times.dtype).max
+        return self.vocabulary.take(pa.array(np.unique(self.back[times[self.back].argmin(axis=0), np.arange(len(self.size))]) - 1))
+
 
 #: Each bit of a word, and those lower than it.
 BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -189,8 +201,9 @@ class Shard:
     def __init__(self, words: pa.Array, counts: np.ndarray, blocks: list[str]):
         coded = words.dictionary_encode()
         known, shortest = np.zeros(len(coded.dictionary), bool), None
+        self.blocks = blocks
         for block in blocks:
-            vocabulary, least = load(block + WORDS)
+            vocabulary, _, least = load(block + WORDS)
             if least is not None:
                 known |= pc.is_in(coded.dictionary, value_set=vocabulary).to_numpy(zero_copy_only=False)
                 shortest = least if shortest is None else min(shortest, least)
@@ -204,11 +217,18 @@ class Shard:
         long = sizes >= (shortest or 1)
         self.places = np.flatnonzero(there)[long[run]]
         self.index = FMIndex(code[self.places], sizes[long], len(self.vocabulary) + 1) if len(self.places) else None
+        self.symbols = np.unique(code[self.places])
+
+    def to_open(self) -> Iterator[Phrases]:
+        """The blocks of which a window can occur: those with a window whose rarest word is indexed."""
+        if self.index is not None:
+            indexed = self.vocabulary.take(pa.array(self.symbols - 1))
+            for block in self.blocks:
+                if pc.any(pc.is_in(load(block + WORDS)[1], value_set=indexed)).as_py():
+                    yield load(block)
 
     def occurrences(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """Places, among the words of all texts, at which windows occur; and those windows."""
-        if self.index is None or not len(phrases.size):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
         code = pc.index_in(phrases.vocabulary, value_set=self.vocabulary)
         code = np.r_[0, pc.fill_null(code, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1]
         back = code[phrases.back]
@@ -222,7 +242,7 @@ class Shard:
 
 def write_phrases(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> list[str]:
     """Blocks of phrases as files in the shared folder, made by the tasks that read the table; their names. Beside each
-    is a file of its words and the length of its shortest window."""
+    is a file of its words, each window's rarest, and the length of the shortest window."""
     uri = shared_dir(benchmark.sparkSession)
     rows = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("i"), benchmark[text_col].alias("t")).where("t is not null")
 
@@ -230,7 +250,7 @@ def write_phrases(benchmark: DataFrame, width: int, item_col: str, text_col: str
         for b in text_slices(batches, "t", BLOCK_BYTES):
             name = f"{uri}/phrases-{uuid.uuid4().hex}"
             phrases = Phrases(list(zip(*(c.to_pylist() for c in b.columns))), width)
-            for end, kept in (("", phrases), (WORDS, (phrases.vocabulary, min(phrases.size.tolist(), default=None)))):
+            for end, kept in (("", phrases), (WORDS, (phrases.vocabulary, phrases.rarest(), min(phrases.size.tolist(), default=None)))):
                 with open_output(name + end) as f:
                     f.write(pickle.dumps(kept))
             yield pa.RecordBatch.from_pydict({"name": [name]})
@@ -238,16 +258,27 @@ def write_phrases(benchmark: DataFrame, width: int, item_col: str, text_col: str
     return [r["name"] for r in by_bytes(rows).mapInArrow(run, "name string").collect()]
 
 
-@lru_cache(2)
-def load(uri: str) -> Phrases | tuple[pa.Array, int | None]:
+_HELD: OrderedDict[str, tuple[object, int]] = OrderedDict()
+
+
+def load(uri: str) -> Phrases | tuple[pa.Array, pa.Array, int | None]:
+    """A block's file, or that of its words. A worker holds those it used last, up to HELD_BYTES of them."""
+    if uri in _HELD:
+        _HELD.move_to_end(uri)
+        return _HELD[uri][0]
     if (path := local_path(uri)) is not None:
         with open(path, "rb") as f:
-            return pickle.load(f)
-    from pyarrow import fs
+            data = f.read()
+    else:
+        from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_file(path) as f:
-        return pickle.loads(f.read())
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as f:
+            data = f.read()
+    _HELD[uri] = pickle.loads(data), len(data)
+    while len(_HELD) > 1 and sum(n for _, n in _HELD.values()) > HELD_BYTES:
+        _HELD.popitem(last=False)
+    return _HELD[uri][0]
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -273,8 +304,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_
             edge = np.zeros(n + 1, np.int64)
             items: dict[int, set[str]] = {}
             shard = Shard(words, counts, blocks)
-            for block in blocks:
-                phrases = load(block)
+            for phrases in shard.to_open():
                 place, window = shard.occurrences(phrases)
                 np.add.at(edge, place, 1)
                 np.add.at(edge, place + phrases.size[window], -1)
