@@ -3,6 +3,7 @@ r"""Each operator against a plain version of its contract, on a small table with
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import struct
 import time
@@ -321,8 +322,9 @@ def test_decontamination(spark, docs, empty, monkeypatch):
                     hit[k : k + n] = [True] * n
         spans = [(k, next((j for j in range(k, len(w)) if not hit[j]), len(w))) for k in range(len(w)) if hit[k] and (k == 0 or not hit[k - 1])]
         want[d, len(w), sum(hit), tuple(sorted(have)), tuple(spans), sum(hit) > 0 and 20 * sum(hit) >= len(w)] += 1
-    for block in (8 << 20, 10):
+    for block, held in ((8 << 20, 64 << 20), (10, 64 << 20), (10, 0)):
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontamination, "HELD_BYTES", held)
         out = decontamination.find_benchmark(docs.select("doc_id", "text"), bench).collect()
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"]), tuple((s["from"], s["to"]) for s in r["spans"]), r["contaminated"]) for r in out) == want
     assert sum(n for x, n in want.items() if x[-1]) > 3
@@ -332,6 +334,41 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert decontamination.find_benchmark(docs.select("doc_id", "text"), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_only_blocks_that_can_occur_are_opened(monkeypatch, tmp_path):
+    """Of many blocks, a slice without long runs of their words opens none, and one with a phrase its own block."""
+    phrases = [prose(1000 + k, 40) for k in range(30)]
+    names, opened = [], []
+    for k, t in enumerate(phrases):
+        made = decontamination.Phrases([(str(k), t)], 13)
+        names.append(str(tmp_path / str(k)))
+        for end, kept in (("", made), (decontamination.WORDS, (made.vocabulary, made.rarest(), 13))):
+            (tmp_path / f"{k}{end}").write_bytes(pickle.dumps(kept))
+    real = decontamination.load
+    monkeypatch.setattr(decontamination, "load", lambda uri: opened.append(uri) or real(uri))
+
+    def slices(text):
+        opened.clear()
+        words_, counts = decontamination.plain_words(pa.array([text]))
+        found = [len(s.occurrences(p)[0]) for s in [decontamination.Shard(words_, counts, names)] for p in s.to_open()]
+        return sum(found), sum(not o.endswith(decontamination.WORDS) for o in opened)
+
+    assert slices(" ".join(f"other{i}" for i in range(500))) == (0, 0)
+    assert slices(" ".join(phrases[7].split()[:12])) == (0, 0)
+    times, blocks = slices("before " + phrases[7] + " after")
+    assert times == 28 and 1 <= blocks <= 30
+    assert len(decontamination.Phrases([("x", None), ("y", "...")], 13).rarest()) == 0
+
+
+def test_partitions_of_100_tb_are_bounded(spark):
+    """By sizes alone: parts of token files, and runs of shards' buckets."""
+    whole = 100 << 40
+    n = common.partitions_for(spark, whole)
+    assert n <= 1 << 16 and (1 << 30) < whole / n < (2 << 30) and common.partitions_for(spark, 1 << 40) == 1 << 15
+    buckets = -(-whole // (24 * sharding.BUCKET_BYTES)) * 24
+    run = sharding.run_of(buckets)
+    assert buckets / run <= 1 << 16 and run * sharding.BUCKET_BYTES < 2 << 30 and sharding.run_of(1000) == sharding.RUN
+
+
 @pytest.mark.parametrize("n_symbols", [2, 5, 300])
 def test_index_finds_what_is_there(n_symbols):
     r = np.random.default_rng(2)

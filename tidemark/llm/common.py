@@ -51,10 +51,15 @@ def drop_staged(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Partitions of a shuffle at most: the driver keeps a number for each pair of a map task and a partition.
+MOST_PARTITIONS = 1 << 16
+
+
 def partitions_for(spark: SparkSession, n_bytes: int, target: int = 32 << 20) -> int:
-    """Partitions of about `target` bytes each, never fewer than the session's default."""
+    """Partitions of about `target` bytes each, never fewer than the session's default, and not more than
+    MOST_PARTITIONS: beyond 2 TB they grow instead, to 1.5 GB each at 100 TB, which tasks sort on disk and stream."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-n_bytes // target))
+    return max(least, min(-(-n_bytes // target), MOST_PARTITIONS))
 
 
 def by_bytes(df: DataFrame) -> DataFrame:

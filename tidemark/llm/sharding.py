@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import MOST_PARTITIONS, shared_dir
 
 #: Bytes of records in a bucket, on average.
 BUCKET_BYTES = 4 << 20
-#: Buckets of a shard that one task writes, to one file.
+#: Buckets of a shard that one task writes, to one file, at least.
 RUN = 4
 
 #: The buckets' bases are broadcast up to so many (24 bytes each), and joined by a shuffle beyond.
@@ -28,6 +28,12 @@ def rendezvous(key: Column, n_shards: int, seed: int) -> Column:
     return F.greatest(*weigh)["s"] if n_shards > 1 else F.lit(0)
 
 
+def run_of(n_buckets: int) -> int:
+    """Buckets that one task writes, to one file: RUN, or more where there would be more tasks than MOST_PARTITIONS (of
+    1.5 GB each at 100 TB; a task holds 128 buckets of them at most before it sorts them on disk)."""
+    return max(RUN, -(-n_buckets // MOST_PARTITIONS))
+
+
 def shard_documents(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, uri: str | None = None) -> DataFrame:
     """Writes all records, shuffled, as Parquet under one folder per shard and returns them as read back.
 
@@ -54,8 +60,9 @@ def shard_documents(docs: DataFrame, n_shards: int, seed: int = 17, id_col: str
         rendezvous(F.col("id"), n_shards + 1, seed).alias("grown_shard"),
         scatter.alias("bucket"),
     )
-    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // RUN)
-    records = records.withColumn("run", F.floor(F.col("bucket") / RUN))
+    run = run_of(n_buckets)
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_buckets // run)
+    records = records.withColumn("run", F.floor(F.col("bucket") / run))
     buckets = records.repartition(n_tasks, "shard", "run").groupBy("shard", "run", "bucket")
     # Sorted first, so that the seed decides the order alone and a task run again writes the same.
     shuffled = buckets.agg(F.shuffle(F.sort_array(F.collect_list(F.struct("id", "text", "grown_shard"))), seed).alias("r"))
