@@ -23,9 +23,7 @@ from . import views as V
 from .registry import register
 
 W = V.with_views
-MOST = 5000
-ONE = "market = 'spot' AND symbol = 'S1USDT'"
-SPOT = {"dataset": "trades", "source": "driver", "market": "spot", "symbol": "S1USDT"}
+SPOT = {"dataset": "trades", "source": "driver", "market": "spot"}
 
 
 def house_of(spark: SparkSession) -> Warehouse:
@@ -33,61 +31,54 @@ def house_of(spark: SparkSession) -> Warehouse:
     return Warehouse(spark, root / "house", [root])
 
 
-def exported(house: Warehouse, df: DataFrame, name: str, header: bool = False) -> Path:
-    """df as one CSV file in the import root."""
+def exported(house: Warehouse, df: DataFrame, name: str, by: str, header: bool = False, form: str = "csv") -> dict[str, Path]:
+    """df in the import root, one file for each value of a column that df has besides the layout's; one task each."""
     folder = house.import_roots[0] / name
-    df.coalesce(1).write.option("header", header).csv(folder.as_uri())
-    return next(folder.glob("part-*.csv"))
+    df.repartition(by).write.option("header", header).option("maxRecordsPerFile", 0).partitionBy(by).format(form).save(folder.as_uri())
+    return {p.parent.name.partition("=")[2]: p for p in sorted(folder.glob(f"{by}=*/part-*.{form if form == 'csv' else '*parquet'}"))}
 
 
 def micros(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def spot_file(house: Warehouse, df: DataFrame, name: str) -> Path:
-    """Trades in the headerless layout of seven columns."""
+def spot_files(house: Warehouse, df: DataFrame, name: str) -> dict[str, Path]:
+    """Trades in the headerless layout of seven columns, a file for each symbol."""
     flags = F.initcap(F.col("is_buyer_maker").cast("string")), F.lit("True")
-    return exported(house, df.select("trade_id", "price", "qty", "quote_qty", micros("event_time").alias("t"), flags[0].alias("m"), flags[1].alias("b")), name)
+    return exported(house, df.select("trade_id", "price", "qty", "quote_qty", micros("event_time").alias("t"), flags[0].alias("m"), flags[1].alias("b"), "symbol"), name, "symbol")
 
 
-def spot_house(spark: SparkSession, d: str) -> Warehouse:
-    """One symbol's trades, and their revisions as a second file."""
-    house, df = house_of(spark), V.tape_raw(spark, d).where(ONE)
-    for k in (1, 2):
-        house.import_file(spot_file(house, df.where(f"imported_at = {k}"), f"spot{k}"), "trades", **SPOT)
-    return house
+def spot_house(spark: SparkSession, d: str) -> tuple[Warehouse, dict[str, Path]]:
+    """All symbols' spot trades, and their revisions as second files; and the first files."""
+    house, df = house_of(spark), V.tape_raw(spark, d).where("market = 'spot'")
+    files = [spot_files(house, df.where(f"imported_at = {k}"), f"spot{k}") for k in (1, 2)]
+    for each in files:
+        for symbol, path in each.items():
+            house.import_file(path, "trades", **SPOT, symbol=symbol)
+    return house, files[0]
 
 
 # -- imports -------------------------------------------------------------------------------------------------
-@register(
-    "k2_ingest_trades",
-    W(["tape"], f"""SELECT trade_id, price, qty, event_time, is_buyer_maker, true AS is_best_match, 'trades' AS dataset, 'driver' AS source, market, symbol
- FROM tape WHERE {ONE} ORDER BY event_time DESC, trade_id DESC LIMIT {MOST}"""),
-    "price qty",
-)
+@register("k2_ingest_trades", W(["tape"], "SELECT trade_id, price, qty, event_time, is_buyer_maker, true AS is_best_match, 'trades' AS dataset, 'driver' AS source, market, symbol FROM tape WHERE market = 'spot'"), "price qty")
 def _(spark, d):
-    """Imports of a file and of its revision, read as the newest rows of the latest revisions."""
-    return spot_house(spark, d).query_trades("trades", "spot", "S1USDT", limit=MOST).drop("quote_qty")
+    """Imports of files and of their revisions, read as all rows of the latest revisions."""
+    rows = tape.scoped(spot_house(spark, d)[0].select("trades", market="spot"), "trades")
+    return rows.select("trade_id", "price", "qty", "event_time", "is_buyer_maker", "is_best_match", "dataset", "source", "market", "symbol")
 
 
-@register(
-    "k2_ingest_aggtrades_zip",
-    W(["agg"], f"""SELECT agg_trade_id, first_trade_id, last_trade_id, span, price, qty, event_time, is_buyer_maker FROM agg
- WHERE market = 'um' AND symbol = 'S1USDT' ORDER BY event_time DESC, agg_trade_id DESC LIMIT {MOST}"""),
-    "price qty",
-)
+@register("k2_ingest_aggtrades_zip", W(["agg"], "SELECT agg_trade_id, first_trade_id, last_trade_id, price, qty, event_time, is_buyer_maker, symbol FROM agg WHERE market = 'um'"), "price qty")
 def _(spark, d):
     """Aggregate trades with a header, from ZIP files whose checksums are told."""
-    house, df = house_of(spark), V.agg_raw(spark, d).where("market = 'um' AND symbol = 'S1USDT'")
+    house, df = house_of(spark), V.agg_raw(spark, d).where("market = 'um'")
+    columns = "agg_trade_id", "price", F.col("qty").alias("quantity"), "first_trade_id", "last_trade_id", micros("event_time").alias("transact_time"), "is_buyer_maker", "symbol"
     for k in (1, 2):
-        columns = "agg_trade_id", "price", F.col("qty").alias("quantity"), "first_trade_id", "last_trade_id", micros("event_time").alias("transact_time"), "is_buyer_maker"
-        path = exported(house, df.where(f"imported_at = {k}").select(*columns), f"agg{k}", True)
-        packed = house.import_roots[0] / f"agg{k}.zip"
-        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-            z.write(path, "trades.csv")
-        house.import_file(packed, "aggtrades", dataset="aggtrades", source="driver", market="um", symbol="S1USDT", expected_sha256=sha256(packed))
-    rows = house.query_trades("aggtrades", "um", "S1USDT", limit=MOST)
-    return rows.select("agg_trade_id", "first_trade_id", "last_trade_id", "span", "price", "qty", "event_time", "is_buyer_maker")
+        for symbol, path in exported(house, df.where(f"imported_at = {k}").select(*columns), f"agg{k}", "symbol", True).items():
+            packed = house.import_roots[0] / f"agg{k}{symbol}.zip"
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+                z.write(path, "trades.csv")
+            house.import_file(packed, "aggtrades", dataset="aggtrades", source="driver", market="um", symbol=symbol, expected_sha256=sha256(packed))
+    rows = tape.scoped(house.select("aggtrades", market="um"), "aggtrades")
+    return rows.select("agg_trade_id", "first_trade_id", "last_trade_id", "price", "qty", "event_time", "is_buyer_maker", "symbol")
 
 
 CANDLE = "open high low close volume quote_asset_volume taker_buy_base_asset_volume taker_buy_quote_asset_volume"
@@ -95,80 +86,91 @@ CANDLE = "open high low close volume quote_asset_volume taker_buy_base_asset_vol
 
 @register(
     "k1_ingest_klines",
-    W(["tape"], f"""SELECT open_time, open, high, low, close, volume, close_time, quote_asset_volume, trade_count, taker_buy_base_asset_volume, taker_buy_quote_asset_volume
- FROM k WHERE {ONE} ORDER BY open_time DESC LIMIT {MOST}""", {"k": V.candle_sql(3600, "1h")}),
+    W(["tape"], """SELECT symbol, open_time, open, high, low, close, volume, close_time, quote_asset_volume, trade_count, taker_buy_base_asset_volume, taker_buy_quote_asset_volume
+ FROM k WHERE market = 'spot'""", {"k": V.candle_sql(3600, "1h")}),
     CANDLE,
 )
 def _(spark, d):
-    house, df = house_of(spark), V.candles_raw(spark, d, 3600, "1h").where(ONE)
+    house, df = house_of(spark), V.candles_raw(spark, d, 3600, "1h").where("market = 'spot'")
     millis = lambda c: F.floor(micros(c) / 1000)
     columns = "open high low close volume".split(), "quote_asset_volume trade_count taker_buy_base_asset_volume taker_buy_quote_asset_volume".split()
-    path = exported(house, df.select(millis("open_time").alias("a"), *columns[0], millis("close_time").alias("z"), *columns[1], F.lit(0).alias("ignore")), "klines")
-    house.import_file(path, "kline", **SPOT | {"dataset": "klines"}, interval="1h")
-    return house.query_candles("klines", "S1USDT", "1h", market="spot", limit=MOST).select("open_time", *columns[0], "close_time", *columns[1])
+    made = df.select(millis("open_time").alias("a"), *columns[0], millis("close_time").alias("z"), *columns[1], F.lit(0).alias("ignore"), "symbol")
+    for symbol, path in exported(house, made, "klines", "symbol").items():
+        house.import_file(path, "kline", **SPOT | {"dataset": "klines"}, symbol=symbol, interval="1h")
+    return house.select("klines", market="spot", interval="1h").select("symbol", "open_time", *columns[0], "close_time", *columns[1])
 
 
 VALUES = " ".join(series.METRICS.values)
 
 
-@register("k3_ingest_metrics", W(["metrics"], f"SELECT event_time, {', '.join(series.METRICS.values)} FROM metrics WHERE symbol = '5-LOW' ORDER BY event_time DESC LIMIT {MOST}"), VALUES)
+@register("k3_ingest_metrics", W(["metrics"], f"SELECT symbol, event_time, {', '.join(series.METRICS.values)} FROM metrics"), VALUES)
 def _(spark, d):
-    house, df = house_of(spark), latest(V.metrics_raw(spark, d).where("symbol = '5-LOW'"), series.METRICS.all_keys)
+    """Symbols with other characters than letters and digits in their labels are refused, so they go by their number."""
+    house, df = house_of(spark), latest(V.metrics_raw(spark, d), series.METRICS.all_keys)
     at = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("create_time")
-    path = exported(house, df.select(at, "symbol", *series.METRICS.values), "metrics", True)
-    house.import_file(path, "metrics", dataset="metrics", source="driver", market="um", symbol="5-LOW")
-    return house.query_series("metrics", "5-LOW", limit=MOST).select("event_time", *series.METRICS.values)
+    names = {s[:1]: s for (s,) in df.select("symbol").distinct().collect()}
+    made = df.select(at, "symbol", *series.METRICS.values, F.substring("symbol", 1, 1).alias("number"))
+    for number, path in exported(house, made, "metrics", "number", True).items():
+        house.import_file(path, "metrics", dataset="metrics", source="driver", market="um", symbol=f"P{number}")
+    back = F.element_at(F.create_map(*[F.lit(x) for k, v in names.items() for x in (f"P{k}", v)]), F.col("symbol"))
+    return house.select("metrics").select(back.alias("symbol"), "event_time", *series.METRICS.values)
 
 
-@register("k3_ingest_bookdepth", W(["bookdepth"], f"SELECT event_time, percentage, depth, notional FROM bookdepth WHERE percentage = -5 ORDER BY event_time DESC LIMIT {MOST}"), "depth notional")
+@register("k3_ingest_bookdepth", W(["bookdepth"], "SELECT event_time, percentage, depth, notional FROM bookdepth"), "depth notional")
 def _(spark, d):
+    """A file for each year."""
     house, df = house_of(spark), latest(V.bookdepth_raw(spark, d), series.BOOKDEPTH.all_keys)
-    path = exported(house, df.select(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "percentage", "depth", "notional"), "depth", True)
-    house.import_file(path, "bookdepth", dataset="bookdepth", source="driver", market="um", symbol="DEPTHUSDT")
-    return house.query_series("bookdepth", "DEPTHUSDT", percentage=-5.0, limit=MOST).select("event_time", "percentage", "depth", "notional")
+    made = df.select(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "percentage", "depth", "notional", F.year("event_time").alias("of"))
+    for path in exported(house, made, "depth", "of", True).values():
+        house.import_file(path, "bookdepth", dataset="bookdepth", source="driver", market="um", symbol="DEPTHUSDT")
+    return house.select("bookdepth").select("event_time", "percentage", "depth", "notional")
 
 
 @register("k4_generic_csv", "SELECT CAST(event_id AS INTEGER) AS event_id, event_type, value FROM events")
 def _(spark, d):
-    """Columns and types as found in the file."""
+    """Columns and types as found in the files."""
     house = house_of(spark)
-    path = exported(house, V.table(spark, d, "events").select("event_id", "event_type", "value"), "events", True)
-    house.import_file(path, "generic-csv", dataset="events", source="driver")
+    made = V.table(spark, d, "events").select("event_id", "event_type", "value", F.col("event_type").alias("of"))
+    for path in exported(house, made, "events", "of", True).values():
+        house.import_file(path, "generic-csv", dataset="events", source="driver")
     return spark.read.parquet(*[r["path"] for r in house.files().collect()]).drop("_warehouse_import_id", "_warehouse_imported_at")
 
 
 @register("k5_parquet", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")
 def _(spark, d):
     house = house_of(spark)
-    folder = house.import_roots[0] / "orders"
-    V.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").coalesce(1).write.parquet(folder.as_uri())
-    house.import_file(next(folder.glob("part-*.parquet")), "parquet", dataset="orders", source="driver")
+    made = V.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", F.col("o_orderstatus").alias("of"))
+    for path in exported(house, made, "orders", "of", form="parquet").values():
+        house.import_file(path, "parquet", dataset="orders", source="driver")
     return spark.read.parquet(*[r["path"] for r in house.files().collect()]).drop("_warehouse_import_id", "_warehouse_imported_at")
 
 
 @register(
     "k7_file_statistics",
-    W(["tape_raw"], f"""SELECT CAST(year(event_time) AS INTEGER) AS year, CAST(month(event_time) AS INTEGER) AS month, count(*) AS row_count, min(event_time) AS min_event_time, max(event_time) AS max_event_time
- FROM tape_raw WHERE {ONE} GROUP BY imported_at, year(event_time), month(event_time)"""),
+    W(["tape_raw"], """SELECT symbol, CAST(year(event_time) AS INTEGER) AS year, CAST(month(event_time) AS INTEGER) AS month, count(*) AS row_count, min(event_time) AS min_event_time, max(event_time) AS max_event_time
+ FROM tape_raw WHERE market = 'spot' GROUP BY imported_at, symbol, year(event_time), month(event_time)"""),
 )
 def _(spark, d):
     """One file for each month of an import, with its rows and bounds."""
-    return spot_house(spark, d).files().select("year", "month", "row_count", "min_event_time", "max_event_time")
+    return spot_house(spark, d)[0].files().select("symbol", "year", "month", "row_count", "min_event_time", "max_event_time")
 
 
-@register("q13_status_jobs", "SELECT * FROM (VALUES ('completed', CAST(2 AS BIGINT)), ('failed', CAST(1 AS BIGINT))) AS t(status, job_count)")
+@register(
+    "q13_status_jobs",
+    W(["tape_raw"], """SELECT 'completed' AS status, count(*) AS job_count, CAST(sum(n) AS BIGINT) AS row_count FROM (SELECT count(*) AS n FROM tape_raw WHERE market = 'spot' GROUP BY symbol, imported_at) AS x
+ UNION ALL SELECT 'failed', count(DISTINCT symbol), NULL FROM tape_raw WHERE market = 'spot'"""),
+)
 def _(spark, d):
-    """Two imports that end, the first of them asked for again, and one of a wrong layout."""
-    house = spot_house(spark, d)
-    first = next((house.import_roots[0] / "spot1").glob("part-*.csv"))
-    again = house.import_file(first, "trades", **SPOT)
-    if not again["duplicate"]:
-        raise AssertionError("the same file was imported twice")
-    try:
-        house.import_file(first, "trades", **SPOT | {"market": "um"})
-    except Exception:  # noqa: BLE001  what is under test is the state it leaves
-        pass
-    return spark.createDataFrame(sorted(house.status()["jobs"].items()), "status string, job_count bigint")
+    """Imports that end; the first file of each symbol is asked for again, which makes no job, and once as a wrong layout."""
+    house, firsts = spot_house(spark, d)
+    for symbol, path in firsts.items():
+        if not house.import_file(path, "trades", **SPOT, symbol=symbol)["duplicate"]:
+            raise AssertionError("the same file was imported twice")
+        try:
+            house.import_file(path, "trades", **SPOT | {"market": "um"}, symbol=symbol)
+        except Exception:  # noqa: BLE001  what is under test is the state it leaves
+            pass
+    return house.jobs().groupBy("status").agg(F.count("*").alias("job_count"), F.sum("row_count").alias("row_count"))
 
 
 HALF = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -176,28 +178,34 @@ HALF = "TIMESTAMP '2024-01-15 00:00:00'"
 
 @register(
     "p9_coverage_of_what_is_there",
-    W(["tape_raw"], f"""SELECT count(DISTINCT CAST(event_time AS DATE)) AS covered_day_count, min(CAST(event_time AS DATE)) AS first_day, max(CAST(event_time AS DATE)) AS last_day
- FROM (SELECT unnest(generate_series(date_trunc('day', min(event_time)), max(event_time), INTERVAL '1 day')) AS event_time FROM tape_raw WHERE {ONE} AND imported_at = 1 AND event_time < {HALF}) AS x"""),
+    W(["tape_raw"], f"""SELECT symbol, count(DISTINCT CAST(event_time AS DATE)) AS covered_day_count, min(CAST(event_time AS DATE)) AS first_day, max(CAST(event_time AS DATE)) AS last_day
+ FROM (SELECT symbol, unnest(generate_series(date_trunc('day', min(event_time)), max(event_time), INTERVAL '1 day')) AS event_time FROM tape_raw WHERE market = 'spot' AND imported_at = 1 AND event_time < {HALF} GROUP BY symbol) AS x GROUP BY symbol"""),
 )
 def _(spark, d):
-    """Of two imports, the files of the second are deleted: their days are no longer covered."""
-    house, df = house_of(spark), V.tape_raw(spark, d).where(f"{ONE} AND imported_at = 1")
-    house.import_file(spot_file(house, df.where(f"event_time < {HALF}"), "before"), "trades", **SPOT)
-    later = house.import_file(spot_file(house, df.where(f"event_time >= {HALF}"), "after"), "trades", **SPOT)
-    for r in house.files().where(F.col("import_id") == later["import_id"]).collect():
+    """Of two imports a symbol, the files of the second are deleted: their days are no longer covered."""
+    house, df = house_of(spark), V.tape_raw(spark, d).where("market = 'spot' AND imported_at = 1")
+    for symbol, path in spot_files(house, df.where(f"event_time < {HALF}"), "before").items():
+        house.import_file(path, "trades", **SPOT, symbol=symbol)
+    later = {house.import_file(path, "trades", **SPOT, symbol=symbol)["import_id"] for symbol, path in spot_files(house, df.where(f"event_time >= {HALF}"), "after").items()}
+    for r in house.files().where(F.col("import_id").isin(*later)).collect():
         Path(r["path"]).unlink()
-    c = house.coverage("trades")
-    return spark.createDataFrame([(c["covered_day_count"], c["first_day"], c["last_day"])], "covered_day_count bigint, first_day date, last_day date")
+    symbols = sorted(r[0] for r in house.files().select("symbol").distinct().collect())
+    told = [(s, *[c[k] for k in ("covered_day_count", "first_day", "last_day")]) for s in symbols for c in [house.coverage("trades", symbol=s)]]
+    return spark.createDataFrame(told, "symbol string, covered_day_count bigint, first_day date, last_day date")
 
 
-@register("p7_null_safe_labels", "SELECT * FROM (VALUES ('a', false), ('b', false), ('c', true)) AS t(step, duplicate)")
+@register(
+    "p7_null_safe_labels",
+    "SELECT n_nationkey, EXISTS (SELECT 1 FROM nation AS b WHERE b.n_nationkey < a.n_nationkey AND CASE WHEN b.n_regionkey % 2 = 1 THEN b.n_regionkey END IS NOT DISTINCT FROM CASE WHEN a.n_regionkey % 2 = 1 THEN a.n_regionkey END) AS duplicate, (SELECT count(*) FROM region) AS row_count FROM nation AS a",
+)
 def _(spark, d):
-    """Imports without a market are the same only as others without one."""
+    """One file imported for every nation under the market of its region, which even regions lack: imports without a
+    market are the same only as others without one."""
     house = house_of(spark)
-    path = exported(house, V.table(spark, d, "region").select("r_regionkey", "r_name"), "regions", True)
-    steps = [("a", None), ("b", "spot"), ("c", None)]
-    made = [(k, house.import_file(path, "generic-csv", dataset="regions", source="driver", market=m)["duplicate"]) for k, m in steps]
-    return spark.createDataFrame(made, "step string, duplicate boolean")
+    (path,) = exported(house, V.table(spark, d, "region").select("r_regionkey", "r_name", F.lit(1).alias("of")), "regions", "of", True).values()
+    nations = sorted(tuple(r) for r in V.table(spark, d, "nation").select("n_nationkey", "n_regionkey").collect())
+    made = [(k, house.import_file(path, "generic-csv", dataset="regions", source="driver", market=f"m{r}" if r % 2 else None)) for k, r in nations]
+    return spark.createDataFrame([(k, m["duplicate"], m["row_count"]) for k, m in made], "n_nationkey bigint, duplicate boolean, row_count bigint")
 
 
 # -- limits that bite, and orders ----------------------------------------------------------------------------
@@ -221,12 +229,12 @@ LEVELS = V.level_sql("tape", 86400)
 
 @register(
     "d4_footprint_order",
-    W(["tape"], f"SELECT market, symbol, bucket_start, price, row_number() OVER (ORDER BY market, symbol, bucket_start, volume DESC, price) AS place FROM ({LEVELS}) AS x"),
+    W(["tape"], f"SELECT market, symbol, bucket_start, price, row_number() OVER (PARTITION BY market, symbol, bucket_start ORDER BY volume DESC, price) AS place FROM ({LEVELS}) AS x"),
     "price",
 )
 def _(spark, d):
     df = tape.footprint(V.tape_raw(spark, d), "trades", 86400, "1900-01-01T00:00:00Z", "2200-01-01T00:00:00Z")
-    place = F.row_number().over(Window.orderBy("market", "symbol", *tape.footprint_order())).cast("long")
+    place = F.row_number().over(Window.partitionBy("market", "symbol", "bucket_start").orderBy(*tape.footprint_order())).cast("long")
     return df.select("market", "symbol", "bucket_start", "price", place.alias("place"))
 
 
@@ -249,7 +257,8 @@ def _(spark, d):
     df = V.candles_raw(spark, d, 86400, "1d")
     millis = lambda c: F.floor(micros(c) / 1000).cast("string")
     cells = F.array(millis("open_time"), *map(text, ("open", "high", "low", "close", "volume")), millis("close_time"), text("quote_asset_volume"), text("trade_count"), F.lit("0"))
-    return snapshots.klines(df.groupBy("market", "symbol").agg(F.to_json(F.collect_list(cells)).alias("body")).select("body"))
+    # An answer holds a month of a symbol.
+    return snapshots.klines(df.groupBy("market", "symbol", F.trunc("open_time", "month")).agg(F.to_json(F.collect_list(cells)).alias("body")).select("body"))
 
 
 @register("s10_tickers", W(["tickers"], "SELECT symbol, last_price, price_change_percent, quote_volume, high_price, low_price FROM tickers"), "last_price price_change_percent quote_volume high_price low_price")
@@ -260,8 +269,10 @@ def _(spark, d):
 
 @register("s11_order_books", W(["levels"], "SELECT symbol, side, price, qty FROM levels"), "price qty")
 def _(spark, d):
-    levels = lambda c: F.transform(c, lambda x: F.array(x["price"].cast("string"), x["qty"].cast("string")))
-    parsed = snapshots.order_books(bodies(V.books(spark, d, 10**6), "symbol", lastUpdateId=F.lit(1), bids=levels("bids"), asks=levels("asks")))
+    # An answer holds some levels of a symbol's book, at most 200.
+    some = lambda side: F.collect_list(F.when(F.col("side") == side, F.array(text("price"), text("qty"))))
+    books = V.levels(spark, d).groupBy("symbol", F.floor(F.col("p_partkey") / 200)).agg(some("bid").alias("bids"), some("ask").alias("asks"))
+    parsed = snapshots.order_books(bodies(books, "symbol", "bids", "asks", lastUpdateId=F.lit(1)))
     side = lambda name, c: parsed.select("symbol", F.lit(name).alias("side"), F.explode(c).alias("x")).select("symbol", "side", "x.price", "x.qty")
     return side("bid", "bids").unionByName(side("ask", "asks"))
 
@@ -314,22 +325,28 @@ def _(spark, d):
     return account.profiles(spark.createDataFrame(ProfileStore(path).status()))
 
 
-@register("ac6_refused_records", "SELECT * FROM (VALUES ('amount', true), ('id', true), ('missing', true), ('whole', false)) AS t(flaw, refused)")
+FLAWS = ("amount", "id", "missing", "none")
+
+
+@register("ac6_refused_records", "SELECT o_custkey % 8 AS batch, count(*) AS order_count, o_custkey % 4 <> 3 AND count(*) FILTER (WHERE o_orderkey % 97 = 0) > 0 AS refused FROM orders GROUP BY o_custkey % 8, o_custkey % 4")
 def _(spark, d):
-    """Open orders with a flaw are refused as a whole."""
-    orders = V.account_orders(spark, d).where("orderId % 50 = 0")
-    flawed = {
-        "amount": orders.withColumn("price", F.lit("1,5")),
-        "id": orders.withColumn("orderId", F.lit("12x")),
-        "missing": orders.withColumn("side", F.lit(None).cast("string")),
-        "whole": orders,
-    }
+    """Open orders in eight batches. In some batches a few orders have a flaw: the batch is refused as a whole."""
+    orders = V.account_orders(spark, d).withColumn("batch", F.pmod("time", F.lit(8)))
+    flaw = F.when((F.col("orderId") - 9007199254740993) % 97 == 0, F.element_at(F.array(*map(F.lit, FLAWS)), (F.col("batch") % 4 + 1).cast("int"))).otherwise("none")
+    orders = orders.withColumn("flaw", flaw).withColumns(
+        {
+            "price": F.when(F.col("flaw") == "amount", "1,5").otherwise(F.col("price")),
+            "orderId": F.when(F.col("flaw") == "id", "12x").otherwise(F.col("orderId").cast("string")),
+            "side": F.when(F.col("flaw") != "missing", F.col("side")),
+        }
+    )
 
     def refused(df: DataFrame) -> bool:
         try:
-            account.open_orders(df).collect()
+            account.open_orders(df).write.format("noop").mode("overwrite").save()
         except Exception as e:  # noqa: BLE001  Spark wraps what the check raises
             return "is not a" in str(e) or "is missing" in str(e)
         return False
 
-    return spark.createDataFrame([(k, refused(df)) for k, df in flawed.items()], "flaw string, refused boolean")
+    counts = sorted(tuple(r) for r in orders.groupBy("batch").count().collect())
+    return spark.createDataFrame([(k, n, refused(orders.where(F.col("batch") == k).drop("batch", "flaw"))) for k, n in counts], "batch bigint, order_count bigint, refused boolean")

@@ -75,12 +75,15 @@ def bookdepth_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def books(spark: SparkSession, sf_dir: str, depth: int = 100) -> DataFrame:
-    """part as order books by brand: even keys bid, odd ones ask from above all bids."""
-    p = table(spark, sf_dir, "part")
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as levels of order books by brand: even keys bid, odd ones ask from above all bids."""
     bid = F.col("p_partkey") % 2 == 0
-    levels = p.select(F.col("p_brand").alias("symbol"), F.when(bid, "bid").otherwise("ask").alias("side"), F.when(bid, F.col("p_retailprice")).otherwise(F.col("p_retailprice") + 10000).alias("price"), F.col("p_size").cast("double").alias("qty"))
-    return market.books_from_levels(levels, ["symbol"], depth)
+    price = F.when(bid, F.col("p_retailprice")).otherwise(F.col("p_retailprice") + 10000)
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol"), F.when(bid, "bid").otherwise("ask").alias("side"), price.alias("price"), F.col("p_size").cast("double").alias("qty"))
+
+
+def books(spark: SparkSession, sf_dir: str, depth: int = 100) -> DataFrame:
+    return market.books_from_levels(levels(spark, sf_dir).drop("p_partkey"), ["symbol"], depth)
 
 
 def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:

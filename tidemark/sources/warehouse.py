@@ -127,11 +127,8 @@ class Warehouse:
 
     def _same(self, info: dict) -> dict | None:
         """The completed import of the same file under the same labels whose files are all there."""
-        same = self.jobs().where("status = 'completed'")
-        for k in IDENTITY:
-            same = same.where(F.col(k).eqNullSafe(F.lit(info[k])))
-        for old in same.collect():
-            held = self.files().where(F.col("import_id") == old["import_id"]).select("path").collect()
+        for old in self.log.find("jobs", status="completed", **{k: info[k] for k in IDENTITY}):
+            held = self.log.find("files", import_id=old["import_id"])
             if held and all(Path(r["path"]).exists() for r in held):
                 return {"import_id": old["import_id"], "duplicate": True, "row_count": old["row_count"]}
         return None
@@ -183,7 +180,7 @@ class Warehouse:
         gone = [(r["path"],) for r in files.select("path").collect() if not self._there(r["path"])]
         return files.join(self.spark.createDataFrame(gone, "path string"), "path", "left_anti") if gone else files
 
-    def _select(self, dataset: str, start=None, end=None, **labels) -> DataFrame:
+    def select(self, dataset: str, start=None, end=None, **labels) -> DataFrame:
         """Data of the selection's files that may touch the window and are still there: an empty frame of the dataset's
         columns if there are none. The columns of known datasets are not looked for in the files."""
         found = catalog.overlapping(catalog.selected(self.files(), dataset=V.label(dataset, "dataset"), **labels), start, end)
@@ -195,7 +192,7 @@ class Warehouse:
 
     def query_candles(self, dataset: str, symbol: str, interval: str, source=None, market=None, start=None, end=None, limit: int = 500) -> DataFrame:
         V.limit(limit, V.MAX_ROWS)
-        df = self._select(dataset, source=source, market=market, symbol=symbol.upper(), interval=V.interval(interval))
+        df = self.select(dataset, source=source, market=market, symbol=symbol.upper(), interval=V.interval(interval))
         return candle_ops.candles(df, start, end, limit)
 
     def query_trades(self, dataset: str, market: str, symbol: str, source=None, limit: int = 500, bucket_seconds: int | None = None, by_price: bool = False, start=None, end=None, **scope) -> DataFrame:
@@ -204,7 +201,7 @@ class Warehouse:
         V.limit(limit, V.MAX_ROWS)
         mode = "prices" if by_price else "buckets" if bucket_seconds else "rows"
         V.tape_filters(dataset, mode, start=start, end=end, bucket_seconds=bucket_seconds, **scope)
-        df = self._select(dataset, start, end, source=source, market=market, symbol=symbol.upper())
+        df = self.select(dataset, start, end, source=source, market=market, symbol=symbol.upper())
         if mode == "rows":
             return tape.tape_rows(df, dataset, limit, start=start, end=end, **scope)
         if mode == "buckets":
@@ -217,7 +214,7 @@ class Warehouse:
         V.need(bucket_seconds is None or bucket_seconds <= V.MAX_BUCKET_SECONDS, f"bucket_seconds: at most {V.MAX_BUCKET_SECONDS}")
         V.limit(limit, V.MAX_ROWS)
         spec = series.METRICS if dataset == "metrics" else series.BOOKDEPTH
-        df = self._select(dataset, scope.get("start"), scope.get("end"), source=source, market=market, symbol=symbol.upper())
+        df = self.select(dataset, scope.get("start"), scope.get("end"), source=source, market=market, symbol=symbol.upper())
         if bucket_seconds is None:
             return series.series_rows(df, spec, limit, **scope)
         order = [F.asc("bucket_start"), *map(F.asc, spec.keys)]
@@ -237,7 +234,7 @@ class Warehouse:
         else:
             V.need(interval is not None and start is None and end is None, "candles: an interval and no window")
             make = candle_ops.candle_range
-        df = self._select(dataset, start, end, **labels)
+        df = self.select(dataset, start, end, **labels)
         return make(df).first().asDict()
 
     def coverage(self, dataset: str, start=None, end=None, **labels) -> dict:
