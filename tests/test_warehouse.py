@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 
+from tidemark.operators import sketches
 from tidemark.sources.warehouse import Warehouse
 from tidemark.validate import InvalidArgument
 
@@ -294,3 +295,26 @@ def test_deleted_files_cover_nothing(house, tmp_path):
     c = house.coverage("trades")
     assert (c["covered_day_count"], c["missing_day_count"], c["first_day"], c["last_day"]) == (1, 0, DAY.date(), DAY.date())
     assert house.query_trades("trades", "spot", "BTCUSDT").count() == 2
+
+
+def test_quantiles_need_no_data_files(house, tmp_path):
+    """Ten thousand trades in two files and a republished part: every quantile within the stated error, from the catalog alone."""
+    rows = [Trade(k, 1 + (k * 7919 % 10007) / 16, 1.0, DAY + dt.timedelta(seconds=k)) for k in range(10_000)]
+    for name, some in (("a", rows[:7000]), ("b", rows[7000:]), ("c", rows[:500])):
+        trades(house, tmp_path, spot(*some), name=f"{name}.csv")
+    trades(house, tmp_path, um(*rows[:20]), "um", name="d.csv")
+    (tmp_path / "house/data").rename(tmp_path / "away")
+    shares = [0, 0.5, 0.9, 0.999, 1]
+    told = {r["market"]: r for r in house.notional_quantiles("trades", shares).collect()}
+    values = sorted(t.notional for t in rows + rows[:500])
+    for share, value in zip(shares, told["spot"]["quantiles"]):
+        low, high = (sum(f(v) for v in values) / len(values) for f in (lambda v: v < value, lambda v: v <= value))
+        assert low - sketches.RANK_ERROR <= share <= high + sketches.RANK_ERROR
+    assert told["spot"]["row_count"] == 10_500 and told["spot"]["trade_count"] == pytest.approx(10_000, rel=0.025)
+    assert told["um"]["quantiles"][-1] == max(t.notional for t in rows[:20]) and told["um"]["trade_count"] == 20
+    late = house.notional_quantiles("trades", [1], start=f"{(DAY + dt.timedelta(seconds=9000)).isoformat()}Z").collect()
+    assert [(r["market"], r["row_count"]) for r in late] == [("spot", 3000)]
+    assert house.notional_quantiles("trades", [1], symbol="NONEUSDT").isEmpty()
+    for bad in (("klines", [0.5]), ("trades", []), ("trades", [1.5])):
+        with pytest.raises(InvalidArgument):
+            house.notional_quantiles(*bad)

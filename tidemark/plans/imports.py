@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import account, catalog, market, series, tape
+from ..operators import account, catalog, market, series, sketches, tape
 from ..operators.core import latest
 from ..sources import snapshots
 from ..sources.files import mounted, sha256
@@ -173,6 +173,23 @@ def _(spark, d):
     return house.jobs().groupBy("status").agg(F.count("*").alias("job_count"), F.sum("row_count").alias("row_count"))
 
 
+@register(
+    "t13_floor_of_sketches",
+    W(["tape_raw"], "SELECT symbol, count(*) AS row_count, true AS count_is_near, true AS floor_is_near FROM tape_raw WHERE market = 'spot' GROUP BY symbol"),
+)
+def _(spark, d):
+    """The floor of every symbol's notional from the sketches of its files, and whether it is within their stated error
+    of what the rows say: the rows at most as large as it are a share of 0.999, give or take that error."""
+    house, _ = spot_house(spark, d)
+    told = house.notional_quantiles("trades", [0.999], market="spot")
+    rows = V.tape_raw(spark, d).where("market = 'spot'").select("symbol", "trade_id", (F.col("price") * F.col("qty")).alias("notional"))
+    met = rows.join(told.drop("market"), "symbol").withColumn("floor", F.col("quantiles")[0])
+    at, n = 0.999, F.count("*")
+    near = (F.count_if(F.col("notional") <= F.col("floor")) / n >= at - sketches.RANK_ERROR) & (F.count_if(F.col("notional") < F.col("floor")) / n <= at + sketches.RANK_ERROR)
+    count = F.abs(F.first("trade_count") / F.countDistinct("trade_id") - 1) <= 0.025
+    return met.groupBy("symbol").agg(F.first("row_count").alias("row_count"), count.alias("count_is_near"), near.alias("floor_is_near"))
+
+
 HALF = "TIMESTAMP '2024-01-15 00:00:00'"
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import validate as V
 from ..operators import candles as candle_ops
-from ..operators import catalog, series, tape
+from ..operators import catalog, series, sketches, tape
 from ..operators.core import capped
 from .commits import CommitLog
 from .files import DEFAULT_BYTES, MOST_BYTES, audit_url, download, inside_any, mounted, sha256, unzip_csv, verify
@@ -118,7 +118,8 @@ class Warehouse:
                 done = [("files", f) for f in files] + [self._job(import_id, "completed", info, rows=rows)]
                 self.log.append(done, seen, lambda since: self._refuse(since, info))
             except Exception as e:
-                shutil.rmtree(out, ignore_errors=True)
+                for folder in (out, self._sketched(import_id)):
+                    shutil.rmtree(folder, ignore_errors=True)
                 self.log.append([self._job(import_id, "failed", info, str(e))])
                 if isinstance(e, ImportedMeanwhile) and (old := self._same(info)):
                     return old
@@ -156,13 +157,22 @@ class Warehouse:
         df.sortWithinPartitions(layout.time).write.partitionBy("year", "month").option("compression", "zstd").parquet(str(out))
         return layout.time
 
+    def _sketched(self, import_id: str) -> Path:
+        return self.root / "catalog" / "sketches" / f"import={import_id}"
+
     def _described(self, import_id: str, info: dict, out: Path, time: str | None) -> list[dict]:
         """An import's files: where and how large they are, their rows and bounds."""
         df = self.spark.read.parquet(str(out))
         empty = F.lit(None).cast("timestamp_ntz")
         low, high = (F.min(time), F.max(time)) if time else (F.min(empty), F.max(empty))
         per = df.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("file_size_bytes"))
-        stats = per.agg(F.count("*").alias("row_count"), low.alias("min_event_time"), high.alias("max_event_time"))
+        more = sketches.of_file(info["dataset"]) if info["profile"] in V.TAPE_DATASETS else []
+        stats = per.agg(F.count("*").alias("row_count"), low.alias("min_event_time"), high.alias("max_event_time"), *more)
+        if more:
+            # The sketches stay where they are; only what the catalog says of a file comes to the driver.
+            place = str(self._sketched(import_id))
+            stats.write.parquet(place)
+            stats = self.spark.read.schema(stats.schema).parquet(place).drop("notionals", "ids")
         part = lambda name: F.regexp_extract("path", f"/{name}=(\\d+)/", 1)
         made = {"path": F.regexp_replace(F.url_decode("path"), "^file:/*", "/")} | {k: F.when(part(k) != "", part(k).try_cast("int")) for k in ("year", "month")}
         labels = {k: info[k] for k in ("dataset", "source", "profile", "market", "symbol", "interval")}
@@ -237,6 +247,20 @@ class Warehouse:
         df = self.select(dataset, start, end, **labels)
         return make(df).first().asDict()
 
+    def notional_quantiles(self, dataset: str, shares: Iterable[float], start=None, end=None, **labels) -> DataFrame:
+        """Per market and symbol, about: quantiles of the notional of all rows imported, revisions too, and how many trades
+        they are. From sketches that imports keep; no data file is read. A window selects files, not rows."""
+        V.need(dataset in V.TAPE_DATASETS, f"dataset: one of {', '.join(V.TAPE_DATASETS)}")
+        shares = [V.number(s, "shares", minimum=0) for s in shares]
+        V.need(bool(shares) and max(shares) <= 1, "shares: from 0 to 1")
+        found = catalog.overlapping(catalog.selected(self.files(), dataset=dataset, **labels), start, end)
+        imports = sorted(r[0] for r in found.select("import_id").distinct().collect())
+        schema = "path string, row_count bigint, notionals binary, ids binary"
+        paths = [str(self._sketched(i)) for i in imports]
+        held = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        held = held.withColumn("path", F.regexp_replace(F.url_decode("path"), "^file:/*", "/"))
+        return sketches.notional_quantiles(held.join(found.select("path", "market", "symbol"), "path"), shares)
+
     def coverage(self, dataset: str, start=None, end=None, **labels) -> dict:
         """Days that files which are still there cover, and those missing."""
         found = catalog.selected(self.existing_files(), dataset=dataset, **labels)
