@@ -35,6 +35,26 @@ def test_places_and_totals(spark, rows_a_block):
     assert scan.numbered(df.limit(0), ["s"], order).isEmpty()
 
 
+def test_sessions(spark, rows_a_block):
+    """Gaps and islands, equal times and one session of hundreds of rows; a gap of just the limit begins none."""
+    r = random.Random(12)
+    now, rows = 0, []
+    for i, s in enumerate(symbols(900, 5)):
+        now += r.choice([0, 0, 1, 2, 9, 10, 11]) if i < 450 else r.choice([0, 1])
+        rows.append((s, now if i % 97 else None, i))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, t long, id long")
+    got = {x.id: x.session for x in scan.sessions(df, ["s"], "t", F.lit(10)).collect()}
+    want = {}
+    for s in {x[0] for x in rows}:
+        n, last = 1, None
+        for _, t, i in sorted((x for x in rows if x[0] == s), key=lambda x: (x[1] is not None, x[1] or 0)):
+            n += t is not None and last is not None and t > last + 10
+            last = t if t is not None else last
+            want[i] = n
+    assert got == want and len(set(want.values())) > 20
+
+
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_asof(spark, rows_a_block, strict, how):

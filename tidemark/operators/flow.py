@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio, rescaled_ratio
+from .scan import sessions
 from .tape import scoped
 
 #: Quote units from which a trade of a major market counts as large, and a span that is unusual there.
@@ -52,6 +53,15 @@ def sweeps(tape: DataFrame, floor: float = LARGE_NOTIONAL, long_span: int = LONG
     return out.select("market", "symbol", "agg_trade_id", "event_time", (F.col("price") * F.col("qty")).alias("notional"), span.alias("span"), F.when(span > long_span, "sweep").otherwise("heavy_fill").alias("kind"))
 
 
+def sweep_sessions(tape: DataFrame, gap_seconds: int, floor: float = LARGE_NOTIONAL, long_span: int = LONG_SPAN, by: Sequence[str] = ("market", "symbol")) -> DataFrame:
+    """Large aggregate trades that follow one another within gap_seconds, as one: from when to when, how many, how
+    many of them sweeps, and their notional."""
+    out = sessions(sweeps(tape, floor, long_span), by, "event_time", F.make_dt_interval(secs=F.lit(gap_seconds)))
+    return out.groupBy(*by, "session").agg(
+        F.min("event_time").alias("first_event_time"), F.max("event_time").alias("last_event_time"), F.count("*").alias("trade_count"), F.count_if(F.col("kind") == "sweep").alias("sweep_count"), F.sum("notional").alias("notional")
+    )
+
+
 def absorption(levels: DataFrame, bucket_seconds: int, by: Sequence[str] = ("market", "symbol"), min_hits: int = 2, min_one_sided: float = 0.8, min_cover: float = 0.5) -> DataFrame:
     """Levels hit often, from one side, through most of the bucket, with the bucket's close still at the level's
     side: candidates only. Progress is the bucket's last level against its first."""

@@ -63,6 +63,21 @@ def running_total(df: DataFrame, value: str, by: Sequence[str], order: Sequence[
     return beside(out, before, [*by, "__part"]).select(*df.columns, (F.col("__so_far") + F.coalesce("__base", F.lit(0))).alias(name))
 
 
+def sessions(df: DataFrame, by: Sequence[str], time: str, gap: Column, name: str = "session") -> DataFrame:
+    """df with each row's session in its group, from 1: a row later than the one before it by more than `gap`, an interval,
+    begins one. Blocks know the last time before them and the sessions begun there, so a session may span many.
+    Rows without a time are a group's first session's, as they come first."""
+    ranged = in_ranges(df, by, [F.col(time)])
+    keys, w = [*by, "__part"], Window.partitionBy("__part", *by).orderBy(time)
+    before = from_before(ranged, by, {"__last": F.max(time)}, {"__late": F.max("__last")})
+    earlier = F.coalesce(F.max(time).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__late"))
+    late = F.coalesce(F.col(time) > F.col("__earlier") + gap, F.lit(False)).cast("long")
+    marked = beside(ranged, before, keys).withColumn("__earlier", earlier).withColumn("__late", late)
+    begun = from_before(marked, by, {"__n": F.sum("__late")}, {"__base": F.sum("__n")})
+    so_far = F.sum("__late").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    return beside(marked.withColumn("__so_far", so_far), begun, keys).select(*df.columns, (F.col("__so_far") + F.coalesce("__base", F.lit(0)) + 1).alias(name))
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], time: str, right_time: str | None = None, ties: Sequence[str] = (), how: str = "left", strict: bool = False, within: Column | None = None) -> DataFrame:
     """Each row of left with the latest row of right that has the same `by` and is not later (strict: is earlier).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history, tape
+from ..operators import flow, history, tape
 from ..operators.core import latest
 from ..operators.scan import asof_join
 from ..sources.shared import shared_folder
@@ -43,6 +43,21 @@ def _(spark, d):
     return history.trade_delta(V.tape_raw(spark, d), "trades", ["market"]).select("market", "trade_id", "event_time", "cvd")
 
 
+LARGE = "SELECT 'HOT' AS market, CAST(NULL AS VARCHAR) AS symbol, event_time, price * qty AS notional, span FROM agg WHERE price * qty >= 1000"
+
+
+@register(
+    "t5_sweep_sessions",
+    W(["agg"], """SELECT market, symbol, session, min(event_time) AS first_event_time, max(event_time) AS last_event_time, count(*) AS trade_count, count(*) FILTER (WHERE span > 50) AS sweep_count, sum(notional) AS notional FROM (
+ SELECT *, CAST(sum(CASE WHEN event_time > before + INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (ORDER BY event_time) AS BIGINT) + 1 AS session FROM (SELECT *, lag(event_time) OVER (ORDER BY event_time) AS before FROM l) AS x) AS y GROUP BY market, symbol, session""", {"l": LARGE}),
+    "notional",
+)
+def _(spark, d):
+    """All trades as those of one symbol, whose name is not known."""
+    df = latest(V.agg_raw(spark, d), tape.keys("aggtrades")).withColumns({"market": F.lit("HOT"), "symbol": F.lit(None).cast("string")})
+    return flow.sweep_sessions(df, 600, 1000, 50)
+
+
 ONE = "SELECT *, row_number() OVER (PARTITION BY market ORDER BY open_time) AS i, lag(close) OVER (PARTITION BY market ORDER BY open_time) AS before FROM k"
 #: Each recursion is a sum of shares of the first n, then weighted; a line is there from the 26th candle on.
 _STEP = "CASE WHEN {i} < 1 THEN 0 WHEN {i} <= {n} THEN {y} + {x} / {n} ELSE {y} * (1 - {w}) + {x} * {w} END"
