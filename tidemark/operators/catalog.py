@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,21 @@ def covered_days(files: DataFrame) -> DataFrame:
     return known.where(first <= last).select(F.explode(F.sequence(first, last)).alias("day")).distinct()
 
 
+def coverage_levels(files: DataFrame, levels: Sequence[str] = ("dataset", "market", "symbol")) -> DataFrame:
+    """For each level and for all: file_count, row_count, bytes, and day_count, the distinct days between the bounds of any
+    of its files. `depth` says how many of the levels a row is of; labels that are null are groups of their own. One
+    expansion of the catalog for all levels; a day is counted once before it is sent, so no level's days meet as rows."""
+    first, last = utc_day(F.col("min_event_time")), utc_day(F.col("max_event_time"))
+    days = F.when(first <= last, F.sequence(first, last))
+    each = files.select(*levels, "row_count", "file_size_bytes", F.posexplode_outer(days).alias("nth", "day"))
+    own = F.coalesce(F.col("nth"), F.lit(0)) == 0
+    once = lambda c: F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0)).alias(c)
+    out = each.rollup(*levels).agg(
+        F.count_if(own).alias("file_count"), once("row_count"), once("file_size_bytes"), F.count_distinct("day").alias("day_count"), (len(levels) - F.bit_count(F.grouping_id())).cast("int").alias("depth")
+    )
+    return out.select("depth", *levels, "file_count", "row_count", F.col("file_size_bytes").alias("byte_count"), "day_count")
+
+
 def _expected(days: DataFrame, start: str | None, end: str | None) -> DataFrame:
     ends = days.agg(F.min("day").alias("first"), F.max("day").alias("last"))
     return ends.select("first", "last", (utc_day(bound_to_utc(start)) if start else F.col("first")).alias("from"), (utc_day(bound_to_utc(end)) if end else F.col("last")).alias("to"))

@@ -50,3 +50,17 @@ def running_sum(df: DataFrame, value: str, order: str, name: str, by: Sequence[s
 def time_range(df: DataFrame, time: str, by: Sequence[str] = ()) -> DataFrame:
     """row_count, min_time and max_time; without `by`, one row even of an empty table."""
     return df.groupBy(*by).agg(F.count("*").alias("row_count"), F.min(time).alias("min_time"), F.max(time).alias("max_time"))
+
+
+def changes(before: DataFrame, after: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """What became of rows: for each distinct one n_before and n_after, how often it is there, and of those times how many
+    were removed, added and kept: EXCEPT ALL both ways and INTERSECT ALL in one pass. Nulls equal nulls.
+
+    Rows are counted before the shuffle, so one that is repeated very often is one row of it a task.
+    """
+    columns = list(columns or before.columns)
+    here, gone = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = before.select(*columns, here.alias("n_before"), gone.alias("n_after")).unionByName(after.select(*columns, gone.alias("n_before"), here.alias("n_after")))
+    out = both.groupBy(*columns).agg(F.sum("n_before").alias("n_before"), F.sum("n_after").alias("n_after"))
+    b, a = F.col("n_before"), F.col("n_after")
+    return out.withColumns({"n_removed": F.greatest(b - a, gone), "n_added": F.greatest(a - b, gone), "n_kept": F.least(b, a)})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import account, catalog, market, series, sketches, tape
-from ..operators.core import latest
+from ..operators.core import changes, latest
 from ..sources import snapshots
 from ..sources.files import mounted, sha256
 from ..sources.profiles import ProfileStore
@@ -225,6 +225,31 @@ def _(spark, d):
     return spark.createDataFrame([(k, m["duplicate"], m["row_count"]) for k, m in made], "n_nationkey bigint, duplicate boolean, row_count bigint")
 
 
+SEEN = "SELECT nullif(symbol, 'S3USDT') AS symbol, floor(price / 10) AS level, is_buyer_maker FROM tape_raw WHERE trade_id % 7 = 0 AND imported_at = "
+
+
+@register(
+    "r8_revision_changes",
+    W(["tape_raw"], """SELECT kind, symbol, level, is_buyer_maker, count(*) AS times FROM (SELECT 'removed' AS kind, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) AS x UNION ALL SELECT 'added', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) AS y
+ UNION ALL SELECT 'kept', * FROM (SELECT * FROM a INTERSECT ALL SELECT * FROM b) AS z) AS w GROUP BY kind, symbol, level, is_buyer_maker""", {"a": SEEN + "1", "b": SEEN + "2"}),
+)
+def _(spark, d):
+    """Republished trades against what they were, by level: one symbol's name is not known, and most rows are repeated."""
+    df = V.tape_raw(spark, d).where("trade_id % 7 = 0").withColumns({"symbol": F.nullif("symbol", F.lit("S3USDT")), "level": F.floor(F.col("price") / 10).cast("double")})
+    out = changes(df.where("imported_at = 1"), df.where("imported_at = 2"), ["symbol", "level", "is_buyer_maker"])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n_{k}").alias("times")) for k in ("removed", "added", "kept")])
+    return out.select("symbol", "level", "is_buyer_maker", F.inline(F.filter(kinds, lambda k: k["times"] > 0)))
+
+
+@register(
+    "q11_coverage_levels",
+    W(["manifest"], """SELECT CAST(3 - bit_count(GROUPING(dataset, market, symbol)) AS INTEGER) AS depth, dataset, market, symbol, count(*) FILTER (WHERE nth = 1) AS file_count, CAST(sum(row_count) FILTER (WHERE nth = 1) AS BIGINT) AS row_count, CAST(sum(file_size_bytes) FILTER (WHERE nth = 1) AS BIGINT) AS byte_count, count(DISTINCT day) AS day_count FROM days GROUP BY ROLLUP (dataset, market, symbol)""",
+      {"days": "SELECT dataset, market, symbol, row_count, file_size_bytes, unnest(generate_series(date_trunc('day', min_event_time), max_event_time, INTERVAL '1 day')) AS day, unnest(range(1, 2 + datediff('day', min_event_time, max_event_time))) AS nth FROM manifest"}),
+)
+def _(spark, d):
+    return catalog.coverage_levels(V.manifest(spark, d))
+
+
 # -- limits that bite, and orders ----------------------------------------------------------------------------
 MANY = "'S' || CAST(user_id % 97 AS VARCHAR) || CASE WHEN user_id % 97 < 80 THEN 'USDT' ELSE 'EUR' END"
 
