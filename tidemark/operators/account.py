@@ -46,18 +46,34 @@ def balances(rows: DataFrame, include_zero: bool = False) -> DataFrame:
     return out if include_zero else out.where(~is_zero("total"))
 
 
-#: Names of a position's fields before and after; those that end in ? may be missing.
-POSITION = "symbol positionSide positionAmt:positionAmount entryPrice breakEvenPrice? markPrice unRealizedProfit:unrealizedProfit liquidationPrice leverage marginType isolatedMargin notional? updateTime"
-ORDER = "symbol orderId clientOrderId side positionSide type status timeInForce price origQty:originalQuantity executedQty:executedQuantity stopPrice reduceOnly closePosition time updateTime"
-INCOME = "symbol incomeType income asset info time tranId:transactionId tradeId?"
-
-
-def renamed(rows: DataFrame, names: str, text: tuple[str, ...] = ()) -> DataFrame:
+def same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+#: The fields of each record, in order, and what they are named here.
+POSITION = {
+    **same("symbol", "positionSide"),
+    "positionAmt": "positionAmount",
+    **same("entryPrice", "breakEvenPrice", "markPrice"),
+    "unRealizedProfit": "unrealizedProfit",
+    **same("liquidationPrice", "leverage", "marginType", "isolatedMargin", "notional", "updateTime"),
+}
+ORDER = {
+    **same("symbol", "orderId", "clientOrderId", "side", "positionSide", "type", "status", "timeInForce", "price"),
+    "origQty": "originalQuantity",
+    "executedQty": "executedQuantity",
+    **same("stopPrice", "reduceOnly", "closePosition", "time", "updateTime"),
+}
+INCOME = {**same("symbol", "incomeType", "income", "asset", "info", "time"), "tranId": "transactionId", "tradeId": "tradeId"}
+#: Fields that an answer may lack.
+OPTIONAL = {"breakEvenPrice", "notional", "tradeId"}
+
+
+def renamed(rows: DataFrame, names: dict[str, str], text: tuple[str, ...] = ()) -> DataFrame:
     out = []
-    for item in names.split():
-        before, _, after = item.rstrip("?").partition(":")
-        c = F.col(before) if before in rows.columns or not item.endswith("?") else F.lit(None).cast("string")
-        out.append((c.cast("string") if before in text else c).alias(after or before))
+    for before, after in names.items():
+        c = F.col(before) if before in rows.columns or before not in OPTIONAL else F.lit(None).cast("string")
+        out.append((c.cast("string") if before in text else c).alias(after))
     return rows.select(*out)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ratio, rescaled_ratio
+from ..sources.shared import stored
 from .scan import sessions
 from .tape import scoped
 
@@ -134,11 +135,11 @@ def roundness_baseline(levels: DataFrame, by: Sequence[str] = ("market", "symbol
 
 def exact_quantile(df: DataFrame, value: str, share: float, by: Sequence[str], name: str) -> DataFrame:
     """The interpolated quantile of each group, exactly. A sketch brackets it, so only distinct values within a few
-    ten-thousandths of the rank are put in order, with their counts; no group's values are gathered."""
+    ten-thousandths of the rank are put in order, with their counts; no group's values are gathered. df is made once."""
     slack = 2 / ACCURACY
     low, high = max(0.0, share - slack), min(1.0, share + slack)
     bracket = F.percentile_approx(value, F.array(F.lit(low), F.lit(high)), F.lit(ACCURACY))
-    rows = df.where(F.col(value).isNotNull())
+    rows = stored(df.where(F.col(value).isNotNull()).select(*by, value))
     # Groups of few rows, in which a rank is more than the slack, are taken whole.
     ends = rows.groupBy(*by).agg(F.count("*").alias("n"), bracket.alias("b"), F.min(value).alias("least"), F.max(value).alias("most"))
     few = F.col("n") <= ACCURACY

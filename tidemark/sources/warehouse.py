@@ -29,6 +29,8 @@ from .files import DEFAULT_BYTES, MOST_BYTES, audit_url, download, inside_any, m
 from .schemas import FILES, JOBS, PROFILES, layouts, table_schema
 
 MESSAGE_CHARS = 2000
+#: Bytes of text that one task reads and writes.
+FILE_BYTES = 64 << 20
 IDENTITY = ("checksum", "dataset", "source", "profile", "market", "symbol", "interval", "options")
 
 
@@ -154,6 +156,8 @@ class Warehouse:
         labels = ["dataset", "source", "market", "symbol"] + ["interval"] * (profile == "kline")
         df = df.withColumns({k: F.lit(info[k]).cast("string") for k in labels} | {"import_id": F.lit(import_id), "imported_at": now})
         df = df.withColumns({"year": F.year(layout.time), "month": F.month(layout.time)})
+        # A month's rows are in as many files as the import has of these, and not one for each core.
+        df = df.coalesce(max(1, -(-path.stat().st_size // FILE_BYTES)))
         df.sortWithinPartitions(layout.time).write.partitionBy("year", "month").option("compression", "zstd").parquet(str(out))
         return layout.time
 
