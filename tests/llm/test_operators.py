@@ -18,7 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontamination, language, language_model, near_duplicates, packing, quality, repeats, sharding, token_counts, token_files, tokenization
+from tidemark.llm import common, decontamination, language, language_model, near_duplicates, packing, quality, repeats, resampling, secrets, sharding, token_counts, token_files, tokenization
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -713,6 +713,10 @@ def test_a_text_longer_than_a_slice(spark):
     assert (r["n_words"], r["n_removed"], r["kept"]) == (n, n, "")
     assert packing.pack_documents(d, PATH, 2).where("doc_id = 1").agg(F.sum("length")).first()[0] == len(ids(long)) + 1
     assert one(sharding.shard_documents(d, 3))["size"] == len(long.encode()) + 8
+    assert one(token_files.read_token_files(spark, token_files.write_token_files(d, PATH, 2)))["n_tokens"] == len(ids(long)) + 1
+    r = one(resampling.resample(d, bench))
+    assert (r["n_words"], r["n_features"]) == (n, 2 * n - 1)
+    assert one(secrets.scan_secrets(d))["base"] == []
     assert one(language_model.score_texts(d, F.lit(True)))["n_tokens"] == n + 1
 
 
