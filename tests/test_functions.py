@@ -1,11 +1,16 @@
+import datetime as dt
+import functools
 import math
 
+import duckdb
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import decimals as D
 from tidemark.functions import expressions as E
 from tidemark.operators import account, candles, catalog, flow, market
+from tidemark.plans import catalogue
 from tidemark.validate import InvalidArgument
 
 
@@ -123,3 +128,33 @@ def test_exact_quantiles(spark, share):
     got = {r["g"]: r["q"] for r in flow.exact_quantile(df, "v", share, ["g"], "q").collect()}
     want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", share).alias("q")).collect()}
     assert got == pytest.approx(want)
+
+
+def test_floor_is_the_sql_to_the_last_digit(spark, tmp_path):
+    """Groups whose floor ends at a half of the last digit kept: in the first a step of the interpolation decides, in the
+    second the rounding. Then one with a null key, one of one row and one without a value."""
+    pairs = {0: (35162, 13775.3, 13782.15), 1: (10784, 14300.46, 14300.61), None: (1500, 10.0, 11.0), 3: (1, 7.77, 7.77), 4: (3, None, None)}
+    each = []
+    for user, (n, a, z) in pairs.items():
+        value = lambda v: F.lit(v).cast("double")
+        at = F.when(F.col("i") <= math.floor(0.999 * (n - 1)), value(a)).otherwise(value(z))
+        each.append(spark.range(n).withColumnRenamed("id", "i").select(F.lit(user).cast("long").alias("user_id"), at.alias("value"), "i"))
+    rows = functools.reduce(DataFrame.unionByName, each)
+    # No number is divisible by 7, so none was published again.
+    number = 7 * (F.col("i") + 100_000 * F.coalesce("user_id", F.lit(9))) + 1
+    rows.select(number.alias("event_id"), F.lit("view").alias("event_type"), F.lit('{"k": 1}').alias("props"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"), "user_id", "value").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    names = "market symbol notional_floor".split()
+    want = {r[:2]: r[2] for r in con.execute(f"select {', '.join(names)} from ({catalogue.oracle_sql()['t13_floor_p999']})").fetchall()}
+    got = {tuple(r)[:2]: r["notional_floor"] for r in catalogue.queries()["t13_floor_p999"](spark, str(tmp_path)).select(*names).collect()}
+    assert got == want and len(want) == 5 and want["spot", "S4USDT"] is None
+    exact = {r[0]: r[1] for r in con.execute("select user_id, quantile_cont(value, 0.999) from events group by user_id").fetchall()}
+    assert {r["user_id"]: r["q"] for r in flow.exact_quantile(rows, "value", 0.999, ["user_id"], "q").collect()} == exact
+
+
+def test_sql_rounds_halves_away_from_zero(spark):
+    values = [0.5, 1.5, 2.5, -0.5, -1.5, 14300.492549999999, 1.00005, 0.00004999, -0.00001, 0.0, 1e300, -1e305, 1.7e308, math.inf, None]
+    got = [tuple(r) for r in spark.createDataFrame([(v,) for v in values], "v double").select(E.sql_round(F.col("v"), 0), E.sql_round(F.col("v"), 4)).collect()]
+    assert got == [duckdb.execute("select round(?::double, 0), round(?::double, 4)", [v, v]).fetchone() for v in values]
+    assert "-0.0" not in str(got)

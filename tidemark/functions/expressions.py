@@ -66,6 +66,21 @@ def round8(c: Column) -> Column:
     return F.round(c, 8)
 
 
+def sql_round(c: Column, digits: int) -> Column:
+    """Rounded as SQL engines round a double: half away from zero of the double times a power of ten. Spark's round goes
+    by the shortest decimal text, so the two differ where a product ends at a half that the text just misses."""
+    scaled = c * 10.0**digits
+    near = F.rint(scaled)
+    whole = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near)
+    return F.when(F.abs(scaled) < float("inf"), whole / 10.0**digits + 0.0).otherwise(c)
+
+
+def between_values(low: Column, high: Column, share: Column) -> Column:
+    """low * (1 - share) + high * share in DuckDB's last bit, which joins the first product and the sum in one rounding.
+    None may be null."""
+    return F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - share, high * share).cast("double")
+
+
 def basis_percent(mark: Column, index: Column) -> Column:
     return ratio(mark - index, index) * 100
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import ratio, rescaled_ratio
+from ..functions.expressions import between_values, ratio, rescaled_ratio
 from ..sources.shared import stored
-from .scan import sessions
+from .scan import beside, sessions
 from .tape import scoped
 
 #: Quote units from which a trade of a major market counts as large, and a span that is unusual there.
@@ -134,27 +134,28 @@ def roundness_baseline(levels: DataFrame, by: Sequence[str] = ("market", "symbol
 
 
 def exact_quantile(df: DataFrame, value: str, share: float, by: Sequence[str], name: str) -> DataFrame:
-    """The interpolated quantile of each group, exactly. A sketch brackets it, so only distinct values within a few
-    ten-thousandths of the rank are put in order, with their counts; no group's values are gathered. df is made once."""
+    """The interpolated quantile of each group, exactly: every group has one, null keys are one key and nulls are no
+    values. A sketch brackets it, so only distinct values within a few ten-thousandths of the rank are put in order, with
+    their counts; no group's values are gathered. df is made once."""
     slack = 2 / ACCURACY
     low, high = max(0.0, share - slack), min(1.0, share + slack)
     bracket = F.percentile_approx(value, F.array(F.lit(low), F.lit(high)), F.lit(ACCURACY))
-    rows = stored(df.where(F.col(value).isNotNull()).select(*by, value))
+    rows = stored(df.select(*by, value))
     # Groups of few rows, in which a rank is more than the slack, are taken whole.
-    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), bracket.alias("b"), F.min(value).alias("least"), F.max(value).alias("most"))
+    ends = rows.groupBy(*by).agg(F.count(value).alias("n"), bracket.alias("b"), F.min(value).alias("least"), F.max(value).alias("most"))
     few = F.col("n") <= ACCURACY
     first, last = F.when(few | F.lit(low == 0), F.col("least")).otherwise(F.col("b")[0]), F.when(few | F.lit(high == 1), F.col("most")).otherwise(F.col("b")[1])
     ends = ends.select(*by, "n", first.alias("from"), last.alias("to"))
-    met = rows.join(ends, list(by))
-    below = F.sum((F.col(value) < F.col("from")).cast("long"))
-    counts = met.groupBy(*by).agg(below.alias("below"))
-    inside = met.where(F.col(value).between(F.col("from"), F.col("to"))).groupBy(*by, "n", value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(value))
-    placed = inside.join(counts, list(by)).withColumn("last", upto + F.col("below")).withColumn("place", F.lit(share) * (F.col("n") - 1))
+    met = beside(rows, ends, by).where(F.col(value).isNull() | (F.col(value) <= F.col("to")))
+    # The values below the bracket are one row without a value, the first of its group.
+    inside = met.groupBy(*by, "n", F.when(F.col(value) >= F.col("from"), F.col(value)).alias(value)).agg(F.count(value).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first(value)))
+    placed = inside.withColumn("last", upto).withColumn("place", F.lit(share) * (F.col("n") - 1))
     first = F.col("last") - F.col("c")
     holds = lambda at: F.max(F.when((first <= at) & (at < F.col("last")), F.col(value)))
     out = placed.groupBy(*by).agg(holds(F.floor("place")).alias("a"), holds(F.ceil("place")).alias("z"), F.first("place").alias("place"))
-    return out.select(*by, (F.col("a") + (F.col("z") - F.col("a")) * (F.col("place") - F.floor("place"))).alias(name))
+    part = F.col("place") - F.floor("place")
+    return out.select(*by, F.when(part > 0, F.when(F.col("z").isNotNull(), between_values(F.col("a"), F.col("z"), part))).otherwise(F.col("a")).alias(name))
 
 
 def notional_floor(tape: DataFrame, dataset: str, share: float = 0.999, by: Sequence[str] = ("market", "symbol")) -> DataFrame:
