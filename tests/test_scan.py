@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import candles, history, scan
+from tidemark.plans import catalogue
+from tidemark.plans import views as V
 
 
 @pytest.fixture(params=[1 << 17, 40])
@@ -137,3 +140,19 @@ def test_the_last_of_a_history_is_the_latest_candle_s(spark):
     last = history.indicator_history(df, ["symbol"]).orderBy(F.desc("open_time")).first()
     fold = candles.indicator_frame(df, ["symbol"]).first()
     assert (last.sma20, last.ema20, last.rsi14, last.atr14, last.macd_line, last.macd_signal, last.upper_band, last.lower_band) == pytest.approx((fold.sma20, fold.ema20, fold.rsi14, fold.atr14, fold.macd.line, fold.macd.signal, fold.bollinger20.upper, fold.bollinger20.lower), abs=2e-8)
+
+
+def test_places_in_the_whole_footprint(spark, tmp_path, monkeypatch):
+    """One order over all markets, symbols and days, in ranges of a few rows, with unknown prices, sizes and symbols."""
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 40)
+    i = F.col("event_id")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumns(
+        {"value": F.when(i % 5 != 0, F.floor("value")), "user_id": F.when(i % 11 != 0, F.col("user_id")), "props": F.when(i % 13 != 0, F.col("props"))}
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    sql = V.with_views(["tape"], f"SELECT market, symbol, bucket_start, price, row_number() OVER (ORDER BY market, symbol, bucket_start, volume DESC, price) AS place FROM ({V.level_sql('tape', 86400)}) AS x ORDER BY place")
+    got = catalogue.queries()["d4_footprint_order"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [tuple(r) for r in got] == con.execute(sql).fetchall()
+    assert [r["place"] for r in got] == list(range(1, len(got) + 1)) and len(got) > 500

@@ -93,7 +93,7 @@ def footprint(tape: DataFrame, dataset: str, bucket_seconds: int, start: str, en
 
 
 def footprint_order() -> list:
-    return [F.asc("bucket_start"), F.desc("volume"), F.asc("price")]
+    return [F.asc_nulls_last("bucket_start"), F.desc_nulls_last("volume"), F.asc_nulls_last("price")]
 
 
 def tape_range(tape: DataFrame, dataset: str, by: Sequence[str] = ()) -> DataFrame:

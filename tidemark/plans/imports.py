@@ -9,15 +9,16 @@ import json
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import account, catalog, market, series, sketches, tape
 from ..operators.core import changes, latest
+from ..operators.scan import numbered
 from ..sources import snapshots
 from ..sources.files import mounted, sha256
 from ..sources.profiles import ProfileStore
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, stored
 from ..sources.warehouse import Warehouse
 from . import views as V
 from .registry import register
@@ -271,13 +272,15 @@ LEVELS = V.level_sql("tape", 86400)
 
 @register(
     "d4_footprint_order",
-    W(["tape"], f"SELECT market, symbol, bucket_start, price, row_number() OVER (PARTITION BY market, symbol, bucket_start ORDER BY volume DESC, price) AS place FROM ({LEVELS}) AS x"),
+    W(["tape"], f"SELECT market, symbol, bucket_start, price, row_number() OVER (ORDER BY market, symbol, bucket_start, volume DESC, price) AS place FROM ({LEVELS}) AS x"),
     "price",
 )
 def _(spark, d):
+    """The place of each level in the whole footprint, by ranges of it."""
     df = tape.footprint(V.tape_raw(spark, d), "trades", 86400, "1900-01-01T00:00:00Z", "2200-01-01T00:00:00Z")
-    place = F.row_number().over(Window.partitionBy("market", "symbol", "bucket_start").orderBy(*tape.footprint_order())).cast("long")
-    return df.select("market", "symbol", "bucket_start", "price", place.alias("place"))
+    order = [F.asc_nulls_last("market"), F.asc_nulls_last("symbol"), *tape.footprint_order()]
+    levels = numbered(stored(df.select("market", "symbol", "bucket_start", "price", "volume")), [], order, "nth")
+    return levels.select("market", "symbol", "bucket_start", "price", (F.col("nth") + 1).alias("place"))
 
 
 # -- answers in JSON -----------------------------------------------------------------------------------------
